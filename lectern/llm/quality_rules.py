@@ -24,19 +24,21 @@ SYMBOLS = "[#*$%&|<>]+"
 
 @dataclass(frozen=True)
 class LineRules:
-    """Parameters of the line rules and of the two document decisions."""
+    """Parameters of the line rules and of the two document decisions. Shares are of the characters of a line."""
 
     window: int = 5
     min_words: int = 10
     max_repeat_percent: int = 20
-    #: A line's words may carry so many symbols a word, and so large a share of capitals among its letters.
-    max_symbols_per_word: float = 0.3
-    max_upper_share: float = 0.6
-    min_letters_for_case: int = 12
-    #: So many separator bars or menu arrows make a line navigation.
+    max_symbol_share: float = 0.06
+    max_upper_share: float = 0.4
+    #: A line this short may be all capitals (acronyms, initials).
+    min_chars_for_case: int = 12
+    #: More separator bars or menu arrows than this make a line navigation.
     max_separators: int = 2
-    #: A line of so many words without end punctuation fails; shorter ones too unless they hold a digit (addresses, dates).
-    terminal: str = r"[.!?:;…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
+    #: Looked for in the last characters of a line; a digit at the end passes too (addresses, dates, amounts).
+    terminal: str = r"([.!?:;…。！？][\"'”’»)\]]*|[0-9][^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$"
+    #: A boilerplate phrase fails a line of at most so many characters; in a longer line it is part of prose.
+    max_boilerplate_chars: int = 160
     boilerplate: str = (
         r"(?i)(all rights reserved|cookie (policy|settings|consent)|privacy policy|terms of (use|service)|enable javascript"
         r"|^[\x20\x09-\x0D]*(licensed under|released under|this work is licensed|copyright (\(c\)|©|\d{4}))|lorem ipsum)"
@@ -50,13 +52,30 @@ DEFAULT = LineRules()
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, SPACE), "")
+    """Maximal runs of other characters than space and U+0009 to U+000D. Splitting at one character avoids the regex engine."""
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def n_words(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+def _without(text: Column, pattern: str) -> Column:
+    """Characters of text that pattern matches."""
+    return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
+
+
+def _grams(hashes: Column) -> Column:
+    """64-bit mixes of each window of five hashes, by doubling; elements past the last whole window are null."""
+    after = lambda a, k: F.slice(a, k + 1, F.size(a))
+    mix = lambda a, b, bits: F.zip_with(a, b, lambda x, y: F.shiftleft(x, bits).bitwiseXOR(y))
+    pair = lambda h: mix(h, after(h, 1), 5)
+    four = lambda p: mix(p, after(p, 2), 10)
+    return _let(hashes, lambda h: mix(_let(pair(h), four), after(h, 4), 5))
+
+
 def _let(value: Column, body) -> Column:
     """body(value) with the value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -85,44 +104,41 @@ def with_metrics(df: DataFrame, text: str = "text", rules: LineRules = DEFAULT)
     k = rules.window
     df = df.withColumn("__qr_text", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("__qr_words", words_of(F.col("__qr_text")))
-    df = df.withColumn("__qr_hashes", F.transform("__qr_words", lambda w: F.xxhash64(w)))
     n = F.size("__qr_words")
-    hashes = F.col("__qr_hashes")
-    grams = F.when(
-        n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
-    ).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("__qr_grams", grams)
+    hashes = F.transform("__qr_words", lambda w: F.xxhash64(w))
+    grams = F.slice(_grams(hashes), 1, F.greatest(n - k + 1, F.lit(0)))
+    lines = F.filter(F.split("__qr_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumn("__qr_grams", grams).withColumn("__qr_lines", lines)
     grams = F.col("__qr_grams")
     plain = F.size(F.array_distinct(grams)) == F.size(grams)
-    lines = F.filter(F.split("__qr_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("__qr_lines", lines)
-    return df.select(
-        *[c for c in df.columns if c not in ("__qr_hashes", "__qr_grams", "__qr_lines")],
+    out = df.select(
+        *[c for c in df.columns if c not in ("__qr_grams", "__qr_lines")],
         n.cast("long").alias("n_words"),
         F.char_length(F.array_join("__qr_words", "")).cast("long").alias("word_chars"),
-        (F.char_length("__qr_text") - F.char_length(F.regexp_replace("__qr_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.when(F.col("__qr_text").rlike(SYMBOLS), _without(F.col("__qr_text"), SYMBOLS)).otherwise(F.lit(0)).cast("long").alias("n_symbols"),
         (F.size("__qr_lines") - F.size(F.array_distinct("__qr_lines"))).cast("long").alias("n_dup_lines"),
         F.when(plain, F.lit(0)).otherwise(_covered(grams, k)).cast("long").alias("n_repeat_words"),
-    ).withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
+    )
+    return out.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
 
 
 def line_passes(line: Column, rules: LineRules = DEFAULT) -> Column:
-    """The verdict on one line. A line without words passes (it is paragraph spacing)."""
+    """The verdict on one line. A line without words passes (it is paragraph spacing).
+
+    Most lines hold few capitals and no symbols; one pass finds that, and only the others are looked at closely.
+    """
     blank = ~line.rlike(r"[^\x20\x09-\x0D]")
-    n = F.size(words_of(line))
-    symbols = F.char_length(line) - F.char_length(F.regexp_replace(line, SYMBOLS, ""))
-    letters = F.char_length(F.regexp_replace(line, r"\P{L}+", ""))
-    upper = letters - F.char_length(F.regexp_replace(F.regexp_replace(line, r"\P{L}+", ""), r"\p{Lu}+", ""))
-    separators = F.char_length(line) - F.char_length(F.regexp_replace(line, "[|»›→]+", ""))
-    shouting = (letters >= rules.min_letters_for_case) & (upper > rules.max_upper_share * letters)
-    unfinished = ~line.rlike(rules.terminal) & ~line.rlike(r"[0-9][^\x20\x09-\x0D]*[\x20\x09-\x0D]*$")
-    return blank | ~(
-        (symbols > rules.max_symbols_per_word * n)
-        | (separators > rules.max_separators)
-        | shouting
-        | unfinished
-        | line.rlike(rules.boilerplate)
-        | line.rlike(rules.navigation)
+    length = F.char_length(line)
+    odd = _without(line, r"[#*$%&|<>»›→\p{Lu}]+") > min(rules.max_symbol_share, rules.max_upper_share) * length
+    symbols = _without(line, SYMBOLS) > rules.max_symbol_share * length
+    separators = _without(line, "[|»›→]+") > rules.max_separators
+    shouting = (length >= rules.min_chars_for_case) & (_without(line, r"\p{Lu}+") > rules.max_upper_share * length)
+    short = length <= rules.max_boilerplate_chars
+    return F.when(blank, True).otherwise(
+        F.substring(line, -12, 12).rlike(rules.terminal)
+        & ~(odd & (symbols | separators | shouting))
+        & ~(line.rlike("[|»›→]") & separators)
+        & ~(short & (line.rlike(rules.boilerplate) | line.rlike(rules.navigation)))
     )
 
 
@@ -130,7 +146,8 @@ def with_verdict(df: DataFrame, rules: LineRules = DEFAULT) -> DataFrame:
     """with_metrics(...) plus clean_text, n_kept_words and kept."""
     clean = F.array_join(F.filter(F.split("__qr_text", "\n"), lambda x: line_passes(x, rules)), "\n")
     df = df.withColumn("clean_text", clean)
-    df = df.withColumn("n_kept_words", n_words(F.col("clean_text")))
+    same = F.col("clean_text") == F.col("__qr_text")
+    df = df.withColumn("n_kept_words", F.when(same, F.col("n_words")).otherwise(n_words(F.col("clean_text"))))
     return df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_kept_words") >= rules.min_kept_percent * F.col("n_words")))
 
 
