@@ -29,9 +29,9 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         at = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(at)
+        df.write.mode("overwrite").option("compression", compression).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:

@@ -9,12 +9,49 @@ from pyspark.sql import DataFrame, SparkSession
 from lectern.llm.common import read_table
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sst_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.sst import read_digests, write_shards
+
+    docs = read_table(spark, sf_dir, "documents")
+    return read_digests(spark, write_shards(spark, docs, tokenizer_path("byte_bpe_50k.json"), end_id=2))
+
+
+def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.ogg import store_and_probe
+
+    return store_and_probe(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pieces import encoded_digests
+
+    return encoded_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.quality_rules import quality_report
 
     return quality_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_quality_rules": op10_quality_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sst_token_shards": op1_sst_token_shards,
+    "op3_ogg_media": op3_ogg_media,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_poisson_mix": op5_poisson_mix,
+    "op10_quality_rules": op10_quality_rules,
+}
 
 ORACLE_SQL: dict[str, str] = {}
