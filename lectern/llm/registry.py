@@ -40,6 +40,12 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.simhash import groups
+
+    return groups(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.quality_rules import quality_report
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ogg_media": op3_ogg_media,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_poisson_mix": op5_poisson_mix,
+    "op8_simhash_groups": op8_simhash_groups,
     "op10_quality_rules": op10_quality_rules,
 }
 
