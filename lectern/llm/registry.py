@@ -46,6 +46,12 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.suffixdedup import repeat_digests
+
+    return repeat_digests(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.quality_rules import quality_report
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_poisson_mix": op5_poisson_mix,
     "op8_simhash_groups": op8_simhash_groups,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
