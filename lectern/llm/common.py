@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,15 @@ def id_fold(doc_id: Column, n: int) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices_of(batch: pa.RecordBatch, text_at: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts hold about most_bytes at most; a longer text is a slice of its own."""
+    text = batch.column(text_at)
+    sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in text], np.int64) if batch.num_rows else np.zeros(0, np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop

@@ -22,6 +22,12 @@ def op1_sst_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(spark, write_shards(spark, docs, tokenizer_path("byte_bpe_50k.json"), end_id=2))
 
 
+def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pulearn import quality_scores
+
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.ogg import store_and_probe
 
@@ -40,6 +46,12 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.langspans import languages
+
+    return languages(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.simhash import groups
 
@@ -60,9 +72,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sst_token_shards": op1_sst_token_shards,
+    "op2_pu_quality": op2_pu_quality,
     "op3_ogg_media": op3_ogg_media,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_poisson_mix": op5_poisson_mix,
+    "op7_language_spans": op7_language_spans,
     "op8_simhash_groups": op8_simhash_groups,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
