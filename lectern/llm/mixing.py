@@ -10,8 +10,8 @@ below its own size threshold), and the global shuffle, which deals rows by range
 or document spreads evenly. Sizes are counted over all documents.
 
 Defined results: a null source is a source of its own named "" ; null and empty texts weigh nothing but are drawn like the
-others of their source; a source without a target gets a target of 0 in `targets` mode and its equal share by default; a
-source whose texts are all empty has rate 0... its documents go; repeated rows are drawn alike, as the hash sees their id
+others of their source; a source that `targets` doesn't name has target 0; a source whose texts are all empty has rate 0, so
+its documents go; repeated rows are drawn alike, as the hash sees their id
 and text; an empty table gives an empty result; columns named like the added ones are replaced.
 """
 
@@ -42,11 +42,11 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), top), state, step, lambda s: s["k"])
 
 
-def source_rates(docs: DataFrame, targets: Mapping[str, float] | None = None, budget: float = 1.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """source, chars, rate: one row a source. Without targets each source gets the same share."""
+def source_rates(docs: DataFrame, targets: Mapping[str, float] | None = None, budget: float = 1.0, alpha: float = 0.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """source, chars, rate: one row a source. Without targets a source's share goes with its size to the power alpha: 0 equal shares, 1 as it is."""
     sizes = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("source")).agg(F.sum(F.coalesce(F.char_length(text_col), F.lit(0)).cast("long")).alias("chars"))
     if targets is None:
-        weighted = sizes.withColumn("weight", F.lit(1.0))
+        weighted = sizes.withColumn("weight", F.pow(F.col("chars").cast("double"), F.lit(float(alpha))))
     else:
         known = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]) if targets else F.create_map().cast("map<string,double>")
         weighted = sizes.withColumn("weight", F.coalesce(known[F.col("source")].cast("double"), F.lit(0.0)))
@@ -57,13 +57,13 @@ def source_rates(docs: DataFrame, targets: Mapping[str, float] | None = None, bu
     return weighted.join(F.broadcast(totals)).select("source", "chars", F.least(rate, F.lit(MOST_RATE)).alias("rate"))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, budget: float = 1.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, budget: float = 1.0, alpha: float = 0.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with copy (0, 1, ...) and mix_key, each document as often as drawn, dealt and sorted by mix_key.
 
     mix_key is md5 of seed, document and copy: reading files in order gives the mixed order.
     """
     docs = docs.drop("copy", "mix_key")
-    rates = source_rates(docs, targets, budget, source_col, text_col).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
+    rates = source_rates(docs, targets, budget, alpha, source_col, text_col).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
     name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     drawn = docs.join(rates, F.coalesce(F.col(source_col), F.lit("")) == F.col("__mix_source"))
     drawn = drawn.withColumn("__mix_name", name).withColumn("__mix_n", poisson_inverse(hex_uniform(F.col("__mix_name")), F.col("__mix_rate")))

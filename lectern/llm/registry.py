@@ -46,6 +46,12 @@ def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.htmlrender import render_pages
+
+    return render_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.langspans import languages
 
@@ -76,10 +82,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ogg_media": op3_ogg_media,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_poisson_mix": op5_poisson_mix,
+    "op6_html_text": op6_html_text,
     "op7_language_spans": op7_language_spans,
     "op8_simhash_groups": op8_simhash_groups,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP5_SQL = """
+WITH sizes AS (
+  SELECT coalesce(source, '') AS s, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS chars FROM documents GROUP BY 1
+), totals AS (
+  SELECT sum(chars) AS all_chars, CAST(sum(CASE WHEN chars > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS n FROM sizes
+), rates AS (
+  SELECT s, CASE WHEN chars > 0 THEN least(1.0 / n * all_chars / chars, 50.0) ELSE 0.0 END AS rate FROM sizes, totals
+), terms AS (
+  SELECT s, k, exp(-rate + CASE WHEN k = 0 THEN 0 ELSE k * ln(greatest(rate, 1e-300)) END - lgamma(k + 1)) AS p FROM rates, range(0, 140) AS r(k)
+), cdf AS (
+  SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM terms
+), drawn AS (
+  SELECT d.*, '42|' || coalesce(CAST(doc_id AS VARCHAR) || '|', '|') || md5(coalesce(text, '')) AS name,
+    CAST(('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR) || '|', '|') || md5(coalesce(text, ''))), 1, 12)) AS BIGINT) / 281474976710656.0 AS u
+  FROM documents d
+), counted AS (
+  SELECT doc_id, text, lang, source, n_chars, name, (SELECT count(*) FROM cdf WHERE cdf.s = coalesce(drawn.source, '') AND cdf.c <= drawn.u) AS n FROM drawn
+)
+SELECT doc_id, text, lang, source, n_chars, CAST(c.copy AS INTEGER) AS copy, md5(name || '|' || CAST(c.copy AS VARCHAR)) AS mix_key
+FROM counted, range(0, 140) AS c(copy) WHERE c.copy < n
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_poisson_mix": OP5_SQL}
