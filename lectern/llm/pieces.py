@@ -26,6 +26,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: Piece types of the model format.
@@ -187,5 +188,5 @@ def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_co
                 more = [pa.array(rows, pa.list_(pa.int32())), pa.array([agenda.decode(i) for i in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, ids_col, decoded_col])
 
-    schema = fields.add(ids_col, "array<int>").add(decoded_col, "string")
+    schema = fields.add(ids_col, T.ArrayType(T.IntegerType())).add(decoded_col, T.StringType())
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
