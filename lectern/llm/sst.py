@@ -32,15 +32,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Workspace
+from lectern.llm.common import Workspace, slices_of
 
 MAGIC = b"LSST0001"
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES = 256 * 1024
+#: Texts are encoded in slices of about so many bytes.
+SLICE_BYTES = 12 << 20
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 MANIFEST = "part int, path string, n_docs long, n_ids long, n_bytes long"
@@ -209,10 +212,11 @@ class WordEncoder:
     """Ids of whole texts with the tokenizers library, a word at a time.
 
     For a byte-level tokenizer whose pre-tokens never run over a space followed by a visible character, a text's ids are
-    those of its parts cut before such spaces. Each new part is encoded by the library once and then looked up.
+    those of its parts cut before such spaces. Each new part is encoded by the library once and then looked up. The words
+    are kept in two generations, so that frequent ones outlive the many that come once.
     """
 
-    MOST = 1 << 20
+    MOST = 1 << 19
 
     def __init__(self, path: str, id_bytes: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -221,39 +225,65 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.kind = {2: "<u2", 4: "<u4"}[id_bytes]
-        self.inner: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _glued(self, parts: list[str]) -> list[str]:
-        """The parts after the first with their spaces; parts that are empty or begin with white space stay with the part before."""
-        out: list[str] = []
-        for p in parts:
-            if out and (not p or p[0].isspace()):
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of words, each with a space before it."""
+        if len(self.young) > self.MOST:
+            self.young, self.old = {}, self.young
+        found = [self.young.get(w) for w in words]
+        for k, f in enumerate(found):
+            if f is None and (f := self.old.get(words[k])) is not None:
+                found[k] = self.young[words[k]] = f
+        new = [k for k, f in enumerate(found) if f is None]
+        for k, f in zip(new, self._encode([" " + words[k] for k in new])):
+            found[k] = self.young[words[k]] = f
+        return found
+
+    def _glued(self, text: str) -> list[str]:
+        """The first part, then the others without their space; parts that are empty or begin with white space stay with the part before."""
+        first, *rest = text.split(" ")
+        out = [first]
+        for p in rest:
+            if not p or p[0].isspace():
                 out[-1] += " " + p
             else:
                 out.append(p)
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.inner) > self.MOST:
-            self.inner = {}
-        split = [(t or "").split(" ") for t in texts]
-        new = set().union(*split) - self.inner.keys() if split else set()
-        odd = {p for p in new if not p or p[0].isspace()}
-        if odd:
-            for k, parts in enumerate(split):
-                if not odd.isdisjoint(parts):
-                    # an odd part right after the first belongs to the first
-                    glued = self._glued(["\x00" + parts[0], *parts[1:]])
-                    split[k] = [glued[0][1:], *glued[1:]]
-            new = set().union(*(s[1:] for s in split)) - self.inner.keys()
-        words = list(new)
-        self.inner.update(zip(words, self._encode([" " + w for w in words])))
-        firsts = self._encode([s[0] for s in split])
-        look = self.inner.__getitem__
-        return [f + b"".join(map(look, s[1:])) for f, s in zip(firsts, split)]
+        """For each text its ids as little-endian numbers."""
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array([t or "" for t in texts], pa.string()), " ")
+        at = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        firsts = [words[k] for k in index[at[:-1]].tolist()]
+        odd = np.asarray(pc.or_(pc.equal(pc.binary_length(coded.dictionary), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(coded.dictionary, 0, 1))))
+        for k in np.flatnonzero(odd).tolist():
+            words[k] = "-"
+        own = self._look_up(words) + self._encode(firsts)
+        index[at[:-1]] = np.arange(len(words), len(own))
+        width = np.dtype(self.kind).itemsize
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // width
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(own), self.kind)
+        each = sizes[index]
+        ends = np.cumsum(each)
+        data = ids[np.repeat(starts[index] - (ends - each), each) + np.arange(int(ends[-1]))].tobytes()
+        borders = (np.concatenate([[0], ends])[at] * width).tolist()
+        out = [data[a:b] for a, b in zip(borders, borders[1:])]
+        if odd.any():
+            # the place of a first part no longer points into words, so only parts after it count
+            bad = np.append(odd, np.zeros(len(firsts), bool))[index]
+            for k in np.flatnonzero(np.add.reduceat(bad, at[:-1])).tolist():
+                first, *rest = self._glued(texts[k])
+                out[k] = self._encode([first])[0] + b"".join(self._look_up(rest))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -271,8 +301,7 @@ def _writer(out_dir: str, tokenizer: str, end_id: int, id_bytes: int):
         where = f"{out_dir}/shard-{part:06d}-{uuid.uuid4().hex}.sst"
         end = end_id.to_bytes(id_bytes, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                own = batch.slice(at, 500)
+            for own in slices_of(batch, 1, SLICE_BYTES):
                 if writer is None:
                     store, path = filesystem(where)
                     store.create_dir(path.rpartition("/")[0], recursive=True)
