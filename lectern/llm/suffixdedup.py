@@ -247,20 +247,31 @@ def _ranges_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _crowded_ranges(space: Workspace, segs: DataFrame, n: int, gram: int) -> DataFrame:
-    """h, s, ranges for grams with too many segments: by bands of offsets, then by single windows, both counted with partial sums."""
+    """h, s, ranges for grams with too many segments.
+
+    Offsets are cut into bands. Segments that share the bytes common to all windows of a band go on; those that agree on
+    the band's whole bytes are repeated there and stand as one row from then on; only what is left is dealt window by
+    window. All counts have partial sums.
+    """
     width = -(-(n - gram + 1) // BANDS)
     two = lambda x: F.struct(F.xxhash64(x).alias("x"), F.xxhash64(F.lit(7), x).alias("y"))
     low, high = F.col("j") * width, F.least((F.col("j") + 1) * width - 1, F.lit(n - gram))
     bands = segs.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).where((high >= F.col("least")) & (low <= F.col("most")))
     core = F.expr(f"substring(seg, most - j * {width} + 1, {n} - (least(j * {width} + {width - 1}, {n - gram}) - j * {width}))")
-    bands = space.put(bands.select("h", "s", "c", "most", "least", "seg", "j", two(core).alias("core")), "bands")
+    bands = bands.withColumns({"x": F.greatest(low, F.col("least")), "y": F.least(high, F.col("most"))})
+    whole = F.expr(f"substring(seg, most - y + 1, {n} + y - x)")
+    bands = space.put(bands.select("h", "s", "c", "most", "seg", "j", "x", "y", two(core).alias("core"), two(whole).alias("whole")), "bands")
     shared = bands.groupBy("h", "j", "core").count().where("count > 1").drop("count")
     left = bands.join(space.put(shared, "shared"), ["h", "j", "core"], "left_semi")
-    windows = left.select("h", "s", "c", F.explode(F.sequence(F.greatest(low, F.col("least")), F.least(high, F.col("most")))).alias("o"), "seg", "most")
-    windows = space.put(windows.select("h", "s", "c", "o", two(F.expr(f"substring(seg, most - o + 1, {n})")).alias("w")), "windows")
+    same = space.put(left.groupBy("h", "x", "y", "whole").agg(F.count("*").alias("same"), F.min("s").alias("one")), "same")
+    left = space.put(left.join(same, ["h", "x", "y", "whole"]), "left")
+    alike = left.where("same > 1 AND c = 1").select("h", "s", (-F.col("y")).alias("from"), (n - F.col("x")).alias("to"))
+    windows = left.where("s = one").select("h", "s", "c", "same", F.explode(F.sequence("x", "y")).alias("o"), "seg", "most")
+    windows = space.put(windows.select("h", "s", "c", "same", "o", two(F.expr(f"substring(seg, most - o + 1, {n})")).alias("w")), "windows")
     twice = space.put(windows.groupBy("h", "o", "w").count().where("count > 1").drop("count"), "twice")
-    found = windows.where("c = 1").join(twice, ["h", "o", "w"], "left_semi")
-    return found.groupBy("h", "s").agg(F.flatten(F.collect_list(F.array(-F.col("o"), n - F.col("o")))).cast("array<int>").alias("ranges"))
+    single = windows.where("c = 1 AND same = 1").join(twice, ["h", "o", "w"], "left_semi").select("h", "s", (-F.col("o")).alias("from"), (n - F.col("o")).alias("to"))
+    found = alike.unionByName(single)
+    return found.groupBy("h", "s").agg(F.flatten(F.collect_list(F.array("from", "to"))).cast("array<int>").alias("ranges"))
 
 
 def repeat_spans(space: Workspace, staged: DataFrame, n: int = N, gram: int = GRAM, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
