@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-@dataclass(frozen=True)
-class Query:
-    run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
-
+from lectern.plans import hierarchy, metadata, mutate, retrieve, scalars, texts
+from lectern.plans.query import Query
 
 QUERIES: dict[str, Query] = {}
+for _module in (retrieve, metadata, hierarchy, scalars, texts, mutate):
+    QUERIES |= _module.QUERIES

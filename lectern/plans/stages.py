@@ -1,0 +1,23 @@
+"""Written stages in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class Stages:
+    """put() writes a frame below spark.checkpoint.dir (set here only where it is unset) and reads it back."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not top:
+            top = "file://" + tempfile.mkdtemp(prefix="lectern_stages_")
+            spark.conf.set("spark.checkpoint.dir", top)
+        self.spark, self.path = spark, f"{top.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
