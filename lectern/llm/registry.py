@@ -111,4 +111,36 @@ SELECT doc_id, text, lang, source, n_chars, CAST(c.copy AS INTEGER) AS copy, md5
 FROM counted, range(0, 140) AS c(copy) WHERE c.copy < n
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_poisson_mix": OP5_SQL}
+def op10_sql() -> str:
+    """The line rules and the base rules with the production parameters; \\n-split lines, words by white space."""
+    from lectern.llm.quality_rules import DEFAULT as R
+    from lectern.llm.quality_rules import SPACE, SYMBOLS
+
+    q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    count = lambda text, pattern: f"(length({text}) - length(regexp_replace({text}, {q(pattern)}, '', 'g')))"
+    words = lambda text: f"list_filter(string_split_regex({text}, {q(SPACE)}), lambda w: w <> '')"
+    has_word = lambda text: f"regexp_matches({text}, '[^\\x20\\x09-\\x0D]')"
+    k = R.window
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {words("t")} AS ws, string_split(t, chr(10)) AS ls FROM d),
+grams AS (SELECT doc_id, i, array_to_string(ws[i:i + {k - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM w WHERE len(ws) >= {k})),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, {k}) AS r(j) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(ls) AS x FROM w),
+judged AS (
+  SELECT doc_id, x, {has_word("x")} AS filled, NOT {has_word("x")} OR (
+    regexp_matches(right(x, 12), {q(R.terminal)})
+    AND NOT ({count("x", SYMBOLS)} > {R.max_symbol_share} * length(x) OR {count("x", "[|»›→]+")} > {R.max_separators}
+      OR (length(x) >= {R.min_chars_for_case} AND {count("x", "[[:upper:]" + chr(92) + "p{Lu}]+")} > {R.max_upper_share} * length(x)))
+    AND NOT (length(x) <= {R.max_boilerplate_chars} AND (regexp_matches(x, {q(R.boilerplate)}) OR regexp_matches(x, {q(R.navigation)})))) AS passes FROM lines),
+by_doc AS (SELECT doc_id, count(*) FILTER (WHERE filled) - count(DISTINCT x) FILTER (WHERE filled) AS dup, CAST(coalesce(sum(len({words("x")})) FILTER (WHERE passes), 0) AS BIGINT) AS kept_words FROM judged GROUP BY doc_id),
+metrics AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST({count("t", SYMBOLS)} AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, kept_words AS n_kept_words FROM w JOIN by_doc USING (doc_id) LEFT JOIN covered c ON c.doc_id = w.doc_id),
+base AS (SELECT *, n_words < {R.min_words} OR 100 * n_repeat_words > {R.max_repeat_percent} * n_words AS base_failed FROM metrics)
+SELECT *, NOT base_failed AND 100 * n_kept_words >= {R.min_kept_percent} * n_words AS kept FROM base
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_poisson_mix": OP5_SQL, "op10_quality_rules": op10_sql()}

@@ -56,3 +56,16 @@ def test_stages(spark, tmp_path):
 
 def test_run_on_tables(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_sql_where_there_is_some(spark):
+    import duckdb
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    for name, sql in registry.ORACLE_SQL.items():
+        got = registry.QUERIES[name](spark, data)
+        names = sorted(got.columns)
+        want = con.execute(f"SELECT {', '.join(names)} FROM ({sql})").fetchall()
+        assert Counter(tuple(r) for r in got.select(*names).collect()) == Counter(want)
