@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import slices_of
+
 MOST_DEEP = 200
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -388,8 +390,7 @@ def render_pages(pages: DataFrame, html_col: str = "html", text_col: str = "text
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                own = batch.slice(k, 256)
+            for own in slices_of(batch, len(keep), 4 << 20):
                 text = pa.array([render(p.as_py()) for p in own.column(len(keep))], pa.string())
                 yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], text], names=[*keep, text_col])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Workspace
+from lectern.llm.common import Workspace, slices_of
 
 PACKET = 576
 RATE = 8000
@@ -167,8 +167,7 @@ def probe(media: bytes) -> dict:
 
 def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            own = batch.slice(at, 256)
+        for own in slices_of(batch, 1, 4 << 20):
             media = pa.array([mux(payload_of_text(t)) for t in own.column(1).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([own.column(0), media], names=["id", "media"])
 
@@ -183,8 +182,8 @@ PROBED = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail
 
 def _probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            own, out = batch.slice(at, 256), defaultdict(list)
+        for own in slices_of(batch, 1, 4 << 20):
+            out = defaultdict(list)
             for media in own.column(1):
                 for k, v in probe(media.as_buffer().to_pybytes()).items():
                     out[k].append(v)

@@ -6,7 +6,7 @@ heap. Symbols that are no piece fall back to bytes.
 
 A vocabulary in which the space mark stands only at the start of pieces (checked on loading) never merges over the border
 before a word, so a text's ids are those of its words; each new word goes through the agenda once, and in the same Arrow
-batch its ids are compared with the sentencepiece library's. One whole text of each batch is compared too. A difference
+batch its ids are compared with the sentencepiece library's. One whole text of each slice of a batch is compared too. A difference
 raises PieceMismatch. Where the vocabulary lacks that property, whole texts go through the agenda and all are compared.
 
 One projection, no shuffle; memory holds a slice of an Arrow batch and a bounded table of words.
@@ -28,7 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.common import slices_of
+
 MARK = "▁"
+#: Texts are encoded in slices of about so many bytes; one whole text of each is compared with the library.
+SLICE_BYTES = 1 << 20
 #: Piece types of the model format.
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 
@@ -154,8 +158,7 @@ def _mapped(path: str, make, names: list[str], types: list[pa.DataType]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agenda = agenda_for(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                own = batch.slice(at, 256)
+            for own in slices_of(batch, 1, SLICE_BYTES):
                 rows = [make(agenda, *x) for x in agenda.encode_batch(own.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=["id", *names])
 
@@ -182,8 +185,7 @@ def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_co
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agenda = agenda_for(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                own = batch.slice(at, 256)
+            for own in slices_of(batch, text_at, SLICE_BYTES):
                 rows = [ids for _, ids in agenda.encode_batch(own.column(text_at).to_pylist())]
                 more = [pa.array(rows, pa.list_(pa.int32())), pa.array([agenda.decode(i) for i in rows], pa.string())]
                 yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, ids_col, decoded_col])

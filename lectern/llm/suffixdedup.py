@@ -37,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Workspace
+from lectern.llm.common import Workspace, slices_of
 from lectern.llm.deepshallow import deep_shallow_order, lcp, neighbour_lcps
 
 N = 200
 GRAM = 64
 PIECE = 1 << 18
+#: Packed texts are opened in slices of about so many bytes.
+PACKED_BYTES = 1 << 20
 MOST_IN_GROUP = 512
 BANDS = 8
 MASK64 = (1 << 64) - 1
@@ -154,8 +156,7 @@ ANCHOR = "h long, s long, dk long, a long, most int, least int"
 def _anchors(n: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                own = batch.slice(k, 512)
+            for own in slices_of(batch, 1, PACKED_BYTES):
                 (h, index, place, most, least), segments = find_anchors(_unpack(own.column(1)), n, gram)
                 dk = own.column(0).to_numpy()[index.astype(np.int64)]
                 cols = [h.astype(np.uint64).view(np.int64), np.array(segments, np.uint64).view(np.int64), dk, place.astype(np.int64), most.astype(np.int32), least.astype(np.int32)]
@@ -168,8 +169,8 @@ def _cut_segments(n: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                own, out = batch.slice(k, 256), []
+            for own in slices_of(batch, 0, PACKED_BYTES):
+                out = []
                 for t, parts in zip(_unpack(own.column(0)), own.column(1).to_pylist()):
                     out += [(p["h"], p["s"], p["c"], p["most"], p["least"], t[p["a"] - p["most"] : p["a"] - p["least"] + n]) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=["h", "s", "c", "most", "least", "seg"])
@@ -318,8 +319,8 @@ def cut_out(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(0, batch.num_rows, 512):
-            own, out = batch.slice(k, 512), []
+        for own in slices_of(batch, 1, PACKED_BYTES):
+            out = []
             for t, r in zip(_unpack(own.column(1)), own.column(2)):
                 spans = merged(r.values.to_numpy().tolist() if r.is_valid else None)
                 out.append((len(t), sum(b - a for a, b in spans), len(spans), hashlib.sha256(cut_out(t, spans)).hexdigest()))
