@@ -159,3 +159,21 @@ def provider_markdown(payload: Column) -> Column:
     joined = F.nullif(F.array_join(F.filter(F.transform(pages, lambda p: p["markdown"]), lambda m: m.isNotNull()), "\n\n"), F.lit(""))
     names = ("$.markdown", "$.md_results", "$.result", "$.text", "$.content", "$.choices[0].message.content", "$.output.choices[0].message.content[0].text")
     return F.coalesce(joined, *[F.nullif(F.get_json_object(payload, n), F.lit("")) for n in names])
+
+
+def import_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items from a JSON (lines or array), CSV or Parquet file by its ending: every column that isn't part of the model becomes a field."""
+    from lectern.operators.exports import push_payload
+
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "csv":
+        rows = spark.read.option("header", "true").csv(path)
+    elif kind in ("json", "jsonl"):
+        rows = spark.read.option("multiLine", str(kind == "json").lower()).json(path)
+    elif kind == "parquet":
+        rows = spark.read.parquet(path)
+    else:
+        raise InvalidParams(f"unknown kind of file: {kind}")
+    if "item_type" not in rows.columns:
+        rows = rows.withColumn("item_type", F.lit(None).cast("string"))
+    return push_payload(rows)

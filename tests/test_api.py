@@ -58,3 +58,26 @@ def test_changes(lib):
     assert lib.call("items.list").total == 2
     lib.call("settings.set", key="rag.topK", value="9")
     assert lib.call("settings.get", key="rag.topK") == 9
+
+
+def test_command_line(spark, tmp_path, lib, capsys):
+    from lectern.__main__ import main
+
+    lib.t["items"].write.parquet(str(tmp_path / "items"))
+    assert main(["--tables", str(tmp_path), "--output", "table", "search.byTag", "tag=x"]) == 0
+    assert "[" in capsys.readouterr().out
+    assert main(["--tables", str(tmp_path), "--save", str(tmp_path / "new"), "items.trash", "key=B"]) == 0
+    assert spark.read.parquet(str(tmp_path / "new/items")).where("deleted").count() == 1
+    assert main(["--tables", str(tmp_path), "items.get", "key=none"]) == 1 and "not found" in capsys.readouterr().err
+
+
+def test_import_files(spark, tmp_path):
+    from lectern.sources.artifacts import import_items
+
+    (tmp_path / "a.json").write_text('[{"title": "T", "DOI": "", "date": "2001", "creators": [{"first_name": null, "last_name": "L", "creator_type": null}]}]')
+    row = import_items(spark, str(tmp_path / "a.json")).first()
+    assert row.item_type == "journalArticle" and row.fields == {"title": "T", "date": "2001"} and row.creators[0].creator_type == "author"
+    (tmp_path / "b.csv").write_text("title,year\nA,1\n")
+    assert import_items(spark, str(tmp_path / "b.csv")).first().fields == {"title": "A", "year": "1"}
+    with pytest.raises(InvalidParams):
+        import_items(spark, "x.doc")
