@@ -59,6 +59,9 @@ SCRIPT_RANGES = {
 SCRIPTS = [*SCRIPT_RANGES, "other"]
 _STARTS, _ENDS, _NAMES = (np.array(x) for x in zip(*sorted((a, b, SCRIPTS.index(s)) for s, own in SCRIPT_RANGES.items() for a, b in own)))
 UNKNOWN = "und"
+#: Texts are taken in slices of about so many bytes, and their different words so many at a time: both bound a worker's memory.
+SLICE_BYTES = 2 << 20
+WORDS_AT_ONCE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -119,7 +122,7 @@ def _counts(config: LangConfig):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for own in slices_of(batch, 1, 8 << 20):
+            for own in slices_of(batch, 1, SLICE_BYTES):
                 langs = np.array(own.column(0).to_pylist(), object)
                 for lang in sorted(set(langs)):
                     _, words, index = _coded(own.column(1).filter(pa.array(langs == lang)))
@@ -148,6 +151,10 @@ class LangModel:
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each word its scores (the best is 0) and its number of letters; words without letters are neutral."""
+        parts = [self._word_scores(words[k : k + WORDS_AT_ONCE]) for k in range(0, max(1, len(words)), WORDS_AT_ONCE)]
+        return np.concatenate([p[0] for p in parts]).astype(np.float32), np.concatenate([p[1] for p in parts])
+
+    def _word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         letters = [letters_of(w) for w in words]
         sizes = np.fromiter(map(len, letters), np.int64, len(letters))
         cells, owner = _cells(letters, self.config)
@@ -244,7 +251,7 @@ def predictions(docs: DataFrame, model: LangModel, held_out, id_col: str = "doc_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in slices_of(batch, 2, 8 << 20):
+            for own in slices_of(batch, 2, SLICE_BYTES):
                 n = own.num_rows
                 pred, score, spans = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
                 if model.langs:
@@ -268,7 +275,7 @@ def spans(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in slices_of(batch, 1, 8 << 20):
+            for own in slices_of(batch, 1, SLICE_BYTES):
                 rows = []
                 if model.langs:
                     at, labels, sizes = _labelled(model, own.column(1))
