@@ -5,8 +5,9 @@ characters), a document's mean repetition rate is  budget * W / w, budget being
 document's count is drawn by inverting the Poisson distribution at a uniform number made from a hash of seed and document,
 so it is reproducible and independent of partitioning. Copies are exploded and shuffled globally by a second hash.
 
-Shuffles: one small aggregation over sources (partial sums first), a join with one row a source (Spark broadcasts it only
-below its own size threshold), and the global shuffle, which deals rows by range of a hash of document and copy: a hot source
+Shuffles: one small aggregation over sources (partial sums first), whose result is written to the shared folder; a join with
+that table of one row a source, which Spark broadcasts below its own size threshold and else shuffles, splitting hot sources;
+and the global shuffle, which deals rows by range of a hash of document and copy: a hot source
 or document spreads evenly. Sizes are counted over all documents.
 
 Defined results: a null source is a source of its own named "" ; null and empty texts weigh nothing but are drawn like the
@@ -22,6 +23,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import Workspace
+
 #: Counts stop here; above a mean of 50 the normal approximation would be better, and rates that high aren't mixing.
 MOST_COPIES = 255
 MOST_RATE = 50.0
@@ -63,7 +66,8 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, budget: flo
     mix_key is md5 of seed, document and copy: reading files in order gives the mixed order.
     """
     docs = docs.drop("copy", "mix_key")
-    rates = source_rates(docs, targets, budget, alpha, source_col, text_col).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
+    # written, so that its size is known when the join is planned
+    rates = Workspace(docs.sparkSession, "mix").put(source_rates(docs, targets, budget, alpha, source_col, text_col), "rates").select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
     name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     drawn = docs.join(rates, F.coalesce(F.col(source_col), F.lit("")) == F.col("__mix_source"))
     drawn = drawn.withColumn("__mix_name", name).withColumn("__mix_n", poisson_inverse(hex_uniform(F.col("__mix_name")), F.col("__mix_rate")))
