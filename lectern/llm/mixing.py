@@ -3,7 +3,9 @@
 Each source has a target share of the output. With W the share and w the source's present share of tokens (here: of
 characters), a document's mean repetition rate is  budget * W / w, budget being the output's size over the input's. A
 document's count is drawn by inverting the Poisson distribution at a uniform number made from a hash of seed and document,
-so it is reproducible and independent of partitioning. Copies are exploded and shuffled globally by a second hash.
+so it is reproducible and independent of partitioning. A mean above `PART_RATE` is split into equal parts no larger, each
+drawn with its own hash; the sum of independent Poisson counts is Poisson with the sum of the means, so no rate is cut.
+Copies are exploded in blocks and shuffled globally by a second hash.
 
 Shuffles: one small aggregation over sources (partial sums first), whose result is written to the shared folder; a join with
 that table of one row a source, which Spark broadcasts below its own size threshold and else shuffles, splitting hot sources;
@@ -25,9 +27,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import Workspace
 
-#: Counts stop here; above a mean of 50 the normal approximation would be better, and rates that high aren't mixing.
-MOST_COPIES = 255
-MOST_RATE = 50.0
+#: Mean of a single draw at most: its terms neither underflow nor take many steps.
+PART_RATE = 50.0
+#: Copies of a document stand in arrays of this length at most.
+BLOCK = 1000
 
 
 def hex_uniform(key: Column) -> Column:
@@ -41,10 +44,18 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
     step = lambda s, k: F.when(s["c"] > u, s).otherwise(
         F.struct(k.alias("k"), (s["p"] * rate / k).alias("p"), (s["c"] + s["p"] * rate / k).alias("c"))
     )
-    top = F.least(F.lit(MOST_COPIES), (rate + 10 * F.sqrt(rate) + 12).cast("int"))
+    top = (rate + 10 * F.sqrt(rate) + 12).cast("int")
     return F.aggregate(F.sequence(F.lit(1), top), state, step, lambda s: s["k"])
 
 
+def poisson_count(name: Column, rate: Column) -> Column:
+    """A Poisson count of any mean, drawn by the hash of name; above PART_RATE the sum of draws of equal parts, each by the hash of name and part."""
+    parts = F.ceil(rate / F.lit(PART_RATE))
+    part = lambda k: poisson_inverse(hex_uniform(F.concat(name, F.lit("|part|"), k.cast("string"))), rate / parts).cast("long")
+    many = F.aggregate(F.sequence(F.lit(1).cast("long"), parts), F.lit(0).cast("long"), lambda n, k: n + part(k))
+    return F.when(rate <= PART_RATE, poisson_inverse(hex_uniform(name), rate).cast("long")).otherwise(many)
+
+
 def source_rates(docs: DataFrame, targets: Mapping[str, float] | None = None, budget: float = 1.0, alpha: float = 0.0, source_col: str = "source", text_col: str = "text") -> DataFrame:
     """source, chars, rate: one row a source. Without targets a source's share goes with its size to the power alpha: 0 equal shares, 1 as it is."""
     sizes = docs.groupBy(F.coalesce(F.col(source_col), F.lit("")).alias("source")).agg(F.sum(F.coalesce(F.char_length(text_col), F.lit(0)).cast("long")).alias("chars"))
@@ -57,7 +68,7 @@ def source_rates(docs: DataFrame, targets: Mapping[str, float] | None = None, bu
     weighted = weighted.withColumn("weight", F.when(F.col("chars") > 0, F.col("weight")).otherwise(F.lit(0.0)))
     totals = weighted.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
     rate = F.when(F.col("weight") > 0, F.lit(float(budget)) * (F.col("weight") / F.col("all_weight")) * F.col("all_chars") / F.col("chars")).otherwise(F.lit(0.0))
-    return weighted.join(F.broadcast(totals)).select("source", "chars", F.least(rate, F.lit(MOST_RATE)).alias("rate"))
+    return weighted.join(F.broadcast(totals)).select("source", "chars", rate.alias("rate"))
 
 
 def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, budget: float = 1.0, alpha: float = 0.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -70,7 +81,8 @@ def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, budget: flo
     rates = Workspace(docs.sparkSession, "mix").put(source_rates(docs, targets, budget, alpha, source_col, text_col), "rates").select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
     name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     drawn = docs.join(rates, F.coalesce(F.col(source_col), F.lit("")) == F.col("__mix_source"))
-    drawn = drawn.withColumn("__mix_name", name).withColumn("__mix_n", poisson_inverse(hex_uniform(F.col("__mix_name")), F.col("__mix_rate")))
-    copies = drawn.where("__mix_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__mix_n") - 1)))
+    drawn = drawn.withColumn("__mix_name", name).withColumn("__mix_n", poisson_count(F.col("__mix_name"), F.col("__mix_rate")))
+    blocks = drawn.where("__mix_n > 0").withColumn("__mix_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_n") - 1, F.lit(BLOCK).cast("long"))))
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("__mix_from"), F.least(F.col("__mix_from") + BLOCK, F.col("__mix_n")) - 1))).withColumn("copy", F.col("copy").cast("int"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", "__mix_name", F.col("copy").cast("string"))))
-    return keyed.drop("__mix_source", "__mix_rate", "__mix_name", "__mix_n").repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    return keyed.drop("__mix_source", "__mix_rate", "__mix_name", "__mix_n", "__mix_from").repartitionByRange("mix_key").sortWithinPartitions("mix_key")

@@ -179,6 +179,27 @@ def test_poisson_mean(spark):
         assert got == pytest.approx(rate, rel=0.02)
 
 
+def test_mixing_of_small_sources_is_not_cut(spark):
+    """A source far below 1/(50 S) of all characters still gets its equal share."""
+    rows = [(k, "x" * 4000, "large") for k in range(60)] + [(100 + k, f"{k:02d} small doc", "small") for k in range(10)] + [(200, "y", "tiny")]
+    own = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {"large": 240_000, "small": 120, "tiny": 1}
+    rates = {r.source: r.rate for r in mixing.source_rates(own).collect()}
+    assert rates == pytest.approx({s: sum(sizes.values()) / 3 / n for s, n in sizes.items()}) and rates["small"] > 600 and rates["tiny"] > 80_000
+    copies = {}
+    for r in mixing.mix(own).select("doc_id", "copy").collect():
+        copies.setdefault(r.doc_id, []).append(r.copy)
+    unit = lambda name: int(hashlib.md5(name.encode()).hexdigest()[:12], 16) / 2**48
+    for d, t, s in rows:
+        name, parts = f"42|{d}|{hashlib.md5(t.encode()).hexdigest()}", math.ceil(rates[s] / 50)
+        n = poisson(unit(name), rates[s]) if parts == 1 else sum(poisson(unit(f"{name}|part|{k}"), rates[s] / parts) for k in range(1, parts + 1))
+        assert sorted(copies.get(d, [])) == list(range(n))
+    assert sum(len(copies[100 + k]) for k in range(10)) * 12 == pytest.approx(sizes["large"] / 3, rel=0.05)
+    assert len(copies[200]) == pytest.approx(rates["tiny"], rel=0.02)
+    # the whole job: targets and a budget that need a rate above 50 in one source
+    assert mixing.mix(own.where("source = 'small'"), {"small": 1.0}, budget=120.0).count() == pytest.approx(1200, rel=0.15)
+
+
 def test_shards(spark, docs):
     manifest = sst.write_shards(spark, docs, registry.tokenizer_path("byte_bpe_50k.json"))
     got = sorted(sst.read_digests(spark, manifest).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.start))
