@@ -21,9 +21,7 @@ chunks AS (SELECT doc_id, unnest(list_append(f.done, f.now)) AS chunk, generate_
 
 @query("T2 W4", _FOLD + " SELECT doc_id, i, md5(chunk) AS digest, length(chunk) AS n FROM chunks")
 def chunk_sentences(spark, sf):
-    d = table(spark, sf, "documents")
-    pieces = F.filter(F.split("text", chunks.SENTENCE_END), lambda s: s != "")
-    own = d.where((F.length("text") > 512) & (F.size(pieces) > 1)).select("doc_id", F.posexplode(chunks.split_text(F.col("text"), 512, 64)).alias("i", "chunk"))
+    own = table(spark, sf, "documents").select("doc_id", F.posexplode(chunks.split_text(F.col("text"), 512, 64)).alias("i", "chunk"))
     return own.select("doc_id", "i", F.md5("chunk").alias("digest"), F.length("chunk").alias("n"))
 
 
@@ -44,9 +42,7 @@ def sections(spark, sf):
 
 @query("T4 W5 F16", f"WITH {_TURNS} SELECT conv_id, role AS section, CAST(k AS INTEGER) AS chunk_index, md5(text) AS digest FROM turns WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(length(text)) <= 512)")
 def chunk_text(spark, sf):
-    docs = markdown_docs(spark, sf)
-    short = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max(F.length("text")).alias("m")).where("m <= 512")
-    rows = chunks.chunk_documents(docs.join(short, "conv_id", "left_semi"), 512, 64)
+    rows = chunks.chunk_documents(markdown_docs(spark, sf), 512, 64)
     return rows.select("conv_id", "section", "chunk_index", F.md5("text").alias("digest"))
 
 
