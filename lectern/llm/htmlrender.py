@@ -5,7 +5,7 @@ table parts, options; void elements; stray end tags). Visibility rules leave out
 scripts, styles, templates, the `hidden` attribute, inline display:none and visibility:hidden, and form values. Everything
 else is rendered: white space collapses except in pre and textarea, blocks start on new lines, paragraphs, headings and
 lists are set apart by an empty line, list items carry markers and indents, and table cells are padded to the width of their
-column.
+column. What stands in a table outside its cells is shown above it.
 
 One projection, no shuffle; a page at a time. Pages nest at most `MOST_DEEP` levels; deeper elements become children of the
 deepest one, so their text is kept and the renderer's stack is bounded.
@@ -37,6 +37,10 @@ BLOCK = CLOSES_P | frozenset("html body li dt dd tr caption legend optgroup opti
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
 UNSEEN = frozenset("head script style template title noscript iframe object audio video canvas svg math datalist noembed noframes textarea select input".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CELLS, SECTIONS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot"))
+PARTS = CELLS | SECTIONS | {"tr"}
+#: Has rows or lines of its own; parts of a table in it aren't the outer table's.
+OWN_GRID = frozenset(("table", "td", "th", "caption"))
 #: An opening tag closes these open elements, up to the named border.
 IMPLIED_ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -135,7 +139,8 @@ class TreeBuilder:
             if self.open[-1].tag in ("thead", "tbody", "tfoot"):
                 self._push(Element("tr"))
         element = Element(tag, attributes)
-        if tag in VOID or empty and tag in ("svg", "path", "math"):
+        # a form between the parts of a table stays empty; what follows it is the table's
+        if tag in VOID or empty and tag in ("svg", "path", "math") or tag == "form" and self.open[-1].tag in ("table", "thead", "tbody", "tfoot", "tr"):
             self.open[-1].children.append(element)
         else:
             self._push(element)
@@ -331,13 +336,66 @@ def _list(e: Element, out: Lines, pre: bool) -> None:
             _render_element(child, out, pre)
 
 
-def _rows(e: Element) -> Iterator[Element]:
+def _stray(child: Element | str, before: Lines) -> None:
+    """What stands in a table outside its cells is shown above it."""
+    if isinstance(child, str):
+        before.add(child)
+    elif child.tag == "br":
+        before._end(force=True)
+    elif not hidden(child):
+        _render_element(child, before, False)
+
+
+def _holds(e: Element, tags: frozenset[str]) -> bool:
+    """Whether a shown element with one of these tags lies in e, outside the cells and tables in it."""
+    return any(isinstance(x, Element) and not hidden(x) and (x.tag in tags or x.tag not in OWN_GRID and _holds(x, tags)) for x in e.children)
+
+
+def _rows(e: Element, before: Lines) -> Iterator[list[Element]]:
+    """The cells of each row, in order; other visible content goes to before. An element put between the parts of a table, as a form, is looked through."""
+    loose: list[Element] = []
     for child in e.children:
-        if isinstance(child, Element) and not hidden(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+        if isinstance(child, str):
+            before.add(child)
+        elif hidden(child):
+            continue
+        elif child.tag in CELLS:
+            loose.append(child)
+        elif child.tag == "tr" or child.tag in SECTIONS or child.tag not in OWN_GRID and _holds(child, PARTS):
+            if loose:
+                yield loose
+                loose = []
+            yield from _cells(child, before) if child.tag == "tr" else _rows(child, before)
+        else:
+            _stray(child, before)
+    if loose:
+        yield loose
+
+
+def _cells(row: Element, before: Lines) -> Iterator[list[Element]]:
+    """The cells of a row and, after it, those of rows that broken markup put inside it."""
+    cells: list[Element] = []
+    inner: list[list[Element]] = []
+
+    def walk(e: Element) -> None:
+        for child in e.children:
+            if isinstance(child, str):
+                before.add(child)
+            elif hidden(child):
+                continue
+            elif child.tag in CELLS:
+                cells.append(child)
+            elif child.tag == "tr" or child.tag in SECTIONS:
+                inner.extend(_cells(child, before) if child.tag == "tr" else _rows(child, before))
+            elif child.tag not in OWN_GRID and _holds(child, PARTS):
+                walk(child)
+            else:
+                _stray(child, before)
+
+    walk(row)
+    if cells:
+        yield cells
+    yield from inner
 
 
 def _span(e: Element) -> int:
@@ -347,23 +405,13 @@ def _span(e: Element) -> int:
 
 def _table(e: Element) -> list[str]:
     before, grid = Lines(), []
-    for child in e.children:
-        if isinstance(child, Element):
-            if child.tag not in ("tr", "thead", "tbody", "tfoot", "col", "colgroup") and not hidden(child):
-                _render_element(child, before, False)
-        else:
-            before.add(child)
-    for row in _rows(e):
+    for row in _rows(e, before):
         cells: list[list[str]] = []
-        for c in row.children:
-            if isinstance(c, Element) and not hidden(c) and c.tag in ("td", "th"):
-                inner = Lines()
-                _render(c, inner, False)
-                cells += [inner.result(), *([[]] * (_span(c) - 1))]
-            elif isinstance(c, str) and c.strip():
-                before.add(c)
-        if cells:
-            grid.append(cells)
+        for c in row:
+            inner = Lines()
+            _render(c, inner, False)
+            cells += [inner.result(), *([[]] * (_span(c) - 1))]
+        grid.append(cells)
     widths = [max((_width(x) for r in grid if k < len(r) for x in r[k]), default=0) for k in range(max(map(len, grid), default=0))]
     lines = before.result()
     for r in grid:

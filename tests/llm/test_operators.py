@@ -348,3 +348,22 @@ def test_render_pages(spark):
     out = htmlrender.render_pages(df)
     assert out.columns == ["page_id", "url", "text"] and sorted((r.page_id, r.text) for r in out.collect()) == [(1, "a"), (2, "")]
     assert htmlrender.render_pages(df.limit(0)).count() == 0
+
+
+def test_broken_tables_keep_all_words():
+    assert htmlrender.render("<table><tr><td>a</td></tr><form><tr><td>b</td></form></table>") == "a\nb"
+    assert htmlrender.render("<table><form hidden><tr><td>b</td></tr></form></table>") == "b"
+    assert htmlrender.render("<table><tr><form><td>x</td></form></tr></table>") == "x"
+    assert htmlrender.render("<table><tr><td>a</td></tr>note</table>") == "note\na"
+    assert htmlrender.render("<table><tr><div>n</div><td>x<td>y</tr><tr hidden><td>z</tr></table>") == "n\nx  y"
+    r = random.Random(7)
+    tags = "table tr td th thead tbody tfoot form div b p a caption colgroup center".split()
+    for _ in range(3000):
+        bits = ["<table>"]
+        for k in range(r.randint(1, 40)):
+            tag = r.choice(tags)
+            bits.append(r.choice([f"<{tag}>", f"<{tag}>", f"</{tag}>", f" w{k} "]))
+        page = "".join(bits)
+        assert Counter(htmlrender.render(page).split()) == Counter(re.findall(r"w\d+", page)), page
+    deep = "<table>" + "<div><tr><b><td>" * 400 + " end " + "<table><tr><td>" * 400 + " last "
+    assert sorted(htmlrender.render(deep).split()) == ["end", "last"]
