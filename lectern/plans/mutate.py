@@ -37,8 +37,8 @@ def trash_restore(spark, sf):
 
 
 def _new(spark, sf):
-    """Every fifth document pushed again: with its DOI, its title, or neither."""
-    own = items(spark, sf).where("item_type NOT IN ('note', 'attachment') AND doc_id % 5 = 2")
+    """Every item but notes and attachments pushed again: with its DOI, its title, or neither."""
+    own = items(spark, sf).where("item_type NOT IN ('note', 'attachment')")
     kind = F.col("doc_id") % 3
     return own.select(F.col("doc_id").alias("ref"), F.when(kind == 0, F.col("fields")["DOI"]).otherwise("").alias("doi"), F.when(kind == 2, F.concat(F.lit("brand new "), F.col("doc_id").cast("string"))).otherwise(F.col("title")).alias("title"), F.create_map(F.lit("DOI"), F.lit(""), F.lit("abstractNote"), F.lit("pushed")).alias("fields"), (F.col("doc_id") % 2 == 0).alias("has_file"))
 

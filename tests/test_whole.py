@@ -60,3 +60,37 @@ def test_chunk_text_of_all_conversations(spark, tmp_path):
         want.update((conv, title, i, md5(c)) for i, (title, c) in enumerate(chunks))
     got = Counter(tuple(r) for r in QUERIES["chunk_text"].run(spark, str(tmp_path)).collect())
     assert got == want and len({r[0] for r in got}) == len(TEXTS) - 2 and sum(got.values()) > len(turns)
+
+
+def library(spark, path):
+    """60 documents, some with equal or short titles: (key, doc_id, doi, title, kind) of each."""
+    docs = [(k, "tiny" if k % 13 == 5 else f"the title of document number {k % 23}", "en", "src1", 9) for k in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    kinds = {0: "note", 1: "attachment"}
+    return [(f"I{d:08d}", d, f"10.1000/{d % 300}" if d % 4 == 0 else "", t[:60], kinds.get(d % 10, "item")) for d, t, *_ in docs]
+
+
+def duplicate(own, doi, title):
+    by_doi = min((k for k, _, x, _, _ in own if doi and x == doi), default=None)
+    return by_doi or min((k for k, _, _, x, _ in own if len(title) >= 10 and x == title), default=None)
+
+
+def test_dup_lookup_of_all_items(spark, tmp_path):
+    own = library(spark, tmp_path)
+    got = {r.ref: r.dup_key for r in QUERIES["dup_lookup"].run(spark, str(tmp_path)).collect()}
+    assert got == {d: duplicate(own, doi, title) for _, d, doi, title, _ in own} and None in got.values()
+
+
+def test_upserts_of_all_items(spark, tmp_path):
+    own = library(spark, tmp_path)
+    pushed = {}
+    for _, d, doi, title, kind in own:
+        if kind == "item":
+            pushed[d] = duplicate(own, doi if d % 3 == 0 else "", f"brand new {d}" if d % 3 == 2 else title)
+    with_pdf = {f"I{d - d % 10 + 3:08d}" for _, d, _, _, kind in own if kind == "attachment" and (d % 20 == 1 or d % 40 == 11)}
+    keys = {d: k or f"new-{d}" for d, k in pushed.items()}
+    run = lambda name: Counter(tuple(r) for r in QUERIES[name].run(spark, str(tmp_path)).collect())
+    assert run("upsert_skip") == Counter((d, "skipped_duplicate" if k else "created", keys[d], d % 2 == 0 and keys[d] not in with_pdf) for d, k in pushed.items())
+    assert run("upsert_update") == Counter([(k, doi, k in pushed.values()) for k, _, doi, _, _ in own] + [(f"new-{d}", "", True) for d, k in pushed.items() if not k])
+    assert run("upsert_create") == Counter((d, "created", f"new-{d}") for d in pushed)
