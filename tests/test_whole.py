@@ -94,3 +94,24 @@ def test_upserts_of_all_items(spark, tmp_path):
     assert run("upsert_skip") == Counter((d, "skipped_duplicate" if k else "created", keys[d], d % 2 == 0 and keys[d] not in with_pdf) for d, k in pushed.items())
     assert run("upsert_update") == Counter([(k, doi, k in pushed.values()) for k, _, doi, _, _ in own] + [(f"new-{d}", "", True) for d, k in pushed.items() if not k])
     assert run("upsert_create") == Counter((d, "created", f"new-{d}") for d in pushed)
+
+
+def test_hit_rows_of_all_kinds(spark, tmp_path):
+    texts = {k: "the nation" if k % 2 else "nothing" for k in range(40)} | {k: "the tion and, ered" for k in (3, 10, 21, 32)}
+    rows = [(k, t, "en", "src1", 9) for k, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    score = lambda t: sum(x in t for x in ("the tion and, ered", "the", "tion", "and", "ered"))
+    want = sorted((-score(t), f"I{k:08d}") for k, t in texts.items() if score(t))[:20]
+    got = QUERIES["hit_rows"].run(spark, str(tmp_path)).collect()
+    assert sorted((-r.score, r.chunk_id) for r in got) == want and [r for r in want if r[0] == -5] == [(-5, f"I{k:08d}") for k in (3, 10, 21, 32)]
+
+
+def test_relation_changes_of_all_rows(spark, tmp_path):
+    lines = [(o, (o * 37 + n * 11) % 900, n) for o in range(1, 300) for n in range(1, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pairs = {(a, b) for a, b, _ in lines} | {(b, a) for a, b, _ in lines}
+    # a pair that is removed goes both ways
+    want = {(a, b) for a, b in pairs if a % 5 != b % 5}
+    got = [tuple(r) for r in QUERIES["relation_changes"].run(spark, str(tmp_path)).select("key_a", "key_b").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 1000
