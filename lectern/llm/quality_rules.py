@@ -35,7 +35,7 @@ class LineRules:
     min_chars_for_case: int = 12
     #: More separator bars or menu arrows than this make a line navigation.
     max_separators: int = 2
-    #: Looked for in the last characters of a line; a digit at the end passes too (addresses, dates, amounts).
+    #: Looked for in the last word of a line, whatever blanks follow; a digit in it passes too (addresses, dates, amounts).
     terminal: str = r"([.!?:;…。！？][\"'”’»)\]]*|[0-9][^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$"
     #: A boilerplate phrase fails a line of at most so many characters; in a longer line it is part of prose.
     max_boilerplate_chars: int = 160
@@ -122,6 +122,12 @@ def with_metrics(df: DataFrame, text: str = "text", rules: LineRules = DEFAULT)
     return out.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
 
 
+def last_word(line: Column) -> Column:
+    """What follows the last inner space or tab of a line, without the blanks at its end."""
+    tail = F.rtrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    return F.substring_index(F.substring_index(tail, " ", -1), "\t", -1)
+
+
 def line_passes(line: Column, rules: LineRules = DEFAULT) -> Column:
     """The verdict on one line. A line without words passes (it is paragraph spacing).
 
@@ -135,7 +141,7 @@ def line_passes(line: Column, rules: LineRules = DEFAULT) -> Column:
     shouting = (length >= rules.min_chars_for_case) & (_without(line, r"\p{Lu}+") > rules.max_upper_share * length)
     short = length <= rules.max_boilerplate_chars
     return F.when(blank, True).otherwise(
-        F.substring(line, -12, 12).rlike(rules.terminal)
+        last_word(line).rlike(rules.terminal)
         & ~(odd & (symbols | separators | shouting))
         & ~(line.rlike("[|»›→]") & separators)
         & ~(short & (line.rlike(rules.boilerplate) | line.rlike(rules.navigation)))

@@ -367,3 +367,13 @@ def test_broken_tables_keep_all_words():
         assert Counter(htmlrender.render(page).split()) == Counter(re.findall(r"w\d+", page)), page
     deep = "<table>" + "<div><tr><b><td>" * 400 + " end " + "<table><tr><td>" * 400 + " last "
     assert sorted(htmlrender.render(deep).split()) == ["end", "last"]
+
+
+def test_end_punctuation_of_padded_lines_and_long_words(spark):
+    cases = {
+        "A padded sentence of words." + " " * 40: True, "A padded sentence of words.\t \x0b\r" + "\t" * 20: True, "no end of a sentence" + " " * 40: False, "see https://host/1/" + "path" * 20: True,
+        "see https://host/" + "path" * 20: False, "He said “yes.”" + "”" * 20: True, "a 1 b " + "c" * 30: False, "a.\tb" + "c" * 30: False, "9" * 50_000 + " then none": False,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, line string")
+    got = {r.line: r.ok for r in df.select("line", quality_rules.line_passes(F.col("line")).alias("ok")).collect()}
+    assert got == cases
