@@ -72,7 +72,7 @@ def store_hits(spark, sf):
 @query("P7 K7 E22", "SELECT doc_id AS chunk_index, '**' || substr(text, 1, 20) || '** — ' || lang || ' [item:I' || CAST(doc_id AS VARCHAR) || '] (section: ' || source || ', score: ' || CAST(doc_id % 90 AS VARCHAR) || '.50)' || chr(10) || chr(10) || '> ' || substr(text, 1, 40) || chr(10) AS markdown FROM documents")
 def citations(spark, sf):
     d = table(spark, sf, "documents")
-    rows = d.select(F.concat(F.lit("I"), F.col("doc_id").cast("string")).alias("item_key"), F.lit("a").alias("attachment_id"), F.substring("text", 1, 20).alias("title"), F.col("lang").alias("authors"), F.col("source").alias("section"), F.col("doc_id").alias("chunk_index"), F.substring("text", 1, 40).alias("text"), (F.col("doc_id") % 90 + 0.5).alias("score"))
+    rows = d.select(F.concat(F.lit("I"), F.col("doc_id").cast("string")).alias("item_key"), F.lit("a").alias("attachment_id"), F.col("text").alias("title"), F.col("lang").alias("authors"), F.col("source").alias("section"), F.col("doc_id").alias("chunk_index"), "text", (F.col("doc_id") % 90 + 0.5).alias("score"))
     return retrieval.citation_markdown(retrieval.citations(rows)).select("chunk_index", "markdown")
 
 

@@ -115,3 +115,10 @@ def test_relation_changes_of_all_rows(spark, tmp_path):
     want = {(a, b) for a, b in pairs if a % 5 != b % 5}
     got = [tuple(r) for r in QUERIES["relation_changes"].run(spark, str(tmp_path)).select("key_a", "key_b").collect()]
     assert sorted(got) == sorted(want) and len(got) > 1000
+
+
+def test_citations_of_whole_texts(spark, tmp_path):
+    texts = ["short", "two\nlines of a text\n\nand more " * 20, "x" * 5000]
+    spark.createDataFrame([(k, t, "en", "src1") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.chunk_index: r.markdown for r in QUERIES["citations"].run(spark, str(tmp_path)).collect()}
+    assert got == {k: f"**{t}** — en [item:I{k}] (section: src1, score: {k}.50)\n\n> {t}\n" for k, t in enumerate(texts)}
