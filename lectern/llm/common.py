@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset (as in tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset, a folder in the SQL warehouse serves a local session, whose executors are in the driver's process;
+    on a cluster it is an error, since a folder of the driver's machine isn't shared.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lectern_shared_")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lectern"
     return found.rstrip("/")
 
 
@@ -26,21 +32,54 @@ class Workspace:
     """A fresh folder in the shared folder for the tables that one run of an operator writes.
 
     put() writes a frame and reads it back, which cuts lineage: a lost executor costs a reread, not a recomputation.
+    Tables that no later frame reads are dropped by the operator; what its lazy result still reads is deleted when the
+    session ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
+        self.names: list[str] = []
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _LIVE.append(self.path)
 
     def put(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         at = f"{self.path}/{name}"
+        self.names.append(name)
         df.write.mode("overwrite").option("compression", compression).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no frame still to be run reads."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that no frame still to be run reads."""
+        for name in names:
+            _delete(self.spark, f"{self.path}/{name}")
+            self.names.remove(name)
+
+    def drop_others(self, *names: str) -> None:
+        """Delete all tables but these."""
+        self.drop(*[x for x in dict.fromkeys(self.names) if x not in names])
+
+
+#: Folders of this process's workspaces.
+_LIVE: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """On leaving, delete the folders of the workspaces made inside: what was read from them must have been written elsewhere."""
+    n = len(_LIVE)
+    yield
+    for path in _LIVE[n:]:
+        _delete(spark, path)
+    del _LIVE[n:]
 
 
 def crc32_of_id(doc_id) -> int:
@@ -57,11 +96,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices_of(batch: pa.RecordBatch, text_at: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose texts hold about most_bytes at most; a longer text is a slice of its own."""
-    text = batch.column(text_at)
-    sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in text], np.int64) if batch.num_rows else np.zeros(0, np.int64)
-    ends, at = np.cumsum(sizes), 0
+def slices_of(batch: pa.RecordBatch, text_at: int | pa.Array, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts (a column, or an array as long) hold about most_bytes at most; a longer text is a slice of its own."""
+    text = batch.column(text_at) if isinstance(text_at, int) else text_at
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
