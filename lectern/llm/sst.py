@@ -4,16 +4,21 @@ A shard is one file:
 
     data blocks   entries (shared key bytes, own key bytes, value bytes as varints; key suffix; value), prefix-compressed
                   against the key before, restarted in each block; the block is zstd-compressed and ends with a crc32
-    index block   for each data block its first key, last key, offset and length (sparse: one entry a block)
-    Bloom filter  k bits a key over all keys of the shard
-    footer        fixed size: places of index and filter, counts, id width, magic
+    Bloom filters k bits a key, one filter for each run of blocks with about FILTER_KEYS keys
+    index block   for each data block its first key, last key, offset, length and number of filter (sparse: one entry a block)
+    filter index  offset and bits of each filter
+    footer        fixed size: places of the index and the filter index, counts, id width, checksum, magic
 
 Keys are document ids as 8 big-endian bytes with the sign bit turned, so byte order is number order; a null id is the empty
-key and sorts first. A lookup reads the footer, the filter and the index, then one block.
+key and sorts first. A lookup takes the shards whose key range in the manifest holds the key, then reads footer, index,
+one filter and one block.
 
 Layout of the job: rows are dealt by range of (id, hash of the text), so that shards hold consecutive ids and a hot id is
-split too, then sorted inside the task and streamed into the file; memory holds one block. A task writes under a name of
-its own attempt and its manifest row names the file, so lost or repeated attempts leave only files nobody reads.
+split too, then sorted inside the task and streamed into the file; memory holds one data block, the keys of one filter and
+the sparse index. A task writes under a name of its own attempt and its manifest row names the file, so lost or repeated
+attempts leave only files nobody reads.
+
+Ids are the library's with the tokenizer as loaded and add_special_tokens=False: added tokens in a text become their ids.
 
 Defined results: null and empty texts give just the end id; repeated ids give one entry each, ordered by hash of the text;
 an empty table gives no shards and an empty result; other columns of the input are not read.
@@ -24,6 +29,7 @@ from __future__ import annotations
 import bisect
 import functools
 import io
+import json
 import os
 import struct
 import uuid
@@ -39,14 +45,17 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import Workspace, slices_of
 
-MAGIC = b"LSST0001"
+MAGIC = b"LSST0002"
 FOOTER = struct.Struct("<QQQQQQII8s")
+FILTER = struct.Struct("<QQ")
 BLOCK_BYTES = 256 * 1024
 #: Texts are encoded in slices of about so many bytes.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
-MANIFEST = "part int, path string, n_docs long, n_ids long, n_bytes long"
+#: A filter is closed at the end of the block in which it has so many keys.
+FILTER_KEYS = 1 << 16
+MANIFEST = "part int, path string, n_docs long, n_ids long, n_bytes long, first_key binary, last_key binary"
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -100,12 +109,17 @@ class ShardWriter:
         self.pack = zstandard.ZstdCompressor(level=1).compress
         self.at = self.n = self.n_ids = 0
         self.block, self.size, self.first, self.last = [], 0, b"", b""
+        self.least = b""
         self.index: list[bytes] = []
+        #: Keys of the open filter; place and bits of the closed ones.
         self.keys: list[bytes] = []
+        self.filters: list[bytes] = []
 
     def add(self, key: bytes, value: bytes) -> None:
         if self.n and key < self.last:
             raise ValueError("keys must come in ascending order")
+        if not self.n:
+            self.least = key
         if self.block:
             shared = len(os.path.commonprefix((self.last, key)))
         else:
@@ -129,21 +143,31 @@ class ShardWriter:
             data = self.pack(b"".join(self.block))
             place = self.at
             self._write(data + struct.pack("<I", zlib.crc32(data)))
-            self.index.append(_varint(len(self.first)) + self.first + _varint(len(self.last)) + self.last + _varint(place) + _varint(len(data)))
+            number = _varint(len(self.filters))
+            self.index.append(_varint(len(self.first)) + self.first + _varint(len(self.last)) + self.last + _varint(place) + _varint(len(data)) + number)
             self.block, self.size = [], 0
+            if len(self.keys) >= FILTER_KEYS:
+                self._close_filter()
 
-    def close(self) -> None:
-        self._flush()
+    def _close_filter(self) -> None:
         bits = max(64, BLOOM_BITS_PER_KEY * len(self.keys))
         bloom = np.zeros((bits + 7) // 8, np.uint8)
         for key in self.keys:
             for p in _bloom_places(key, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
+        self.filters.append(FILTER.pack(self.at, bits))
+        self._write(bloom.tobytes())
+        self.keys = []
+
+    def close(self) -> None:
+        self._flush()
+        if self.keys:
+            self._close_filter()
         index, index_at = b"".join(self.index), self.at
         self._write(index)
-        bloom_at = self.at
-        self._write(bloom.tobytes())
-        self._write(FOOTER.pack(index_at, len(index), bloom_at, bits, self.n, self.n_ids, self.id_bytes, zlib.crc32(index), MAGIC))
+        filters_at = self.at
+        self._write(b"".join(self.filters))
+        self._write(FOOTER.pack(index_at, len(index), filters_at, len(self.filters), self.n, self.n_ids, self.id_bytes, zlib.crc32(index), MAGIC))
 
 
 class ShardReader:
@@ -155,11 +179,13 @@ class ShardReader:
         self.file, self.unpack = file, zstandard.ZstdDecompressor().decompress
         self.file.seek(0, io.SEEK_END)
         end = self.file.tell()
-        index_at, index_len, self.bloom_at, self.bits, self.n_docs, self.n_ids, self.id_bytes, crc, magic = FOOTER.unpack(self._at(end - FOOTER.size, FOOTER.size))
+        index_at, index_len, filters_at, n_filters, self.n_docs, self.n_ids, self.id_bytes, crc, magic = FOOTER.unpack(self._at(end - FOOTER.size, FOOTER.size))
         index = self._at(index_at, index_len)
         if magic != MAGIC or zlib.crc32(index) != crc:
             raise ValueError("not a whole shard")
-        self.firsts, self.lasts, self.places, at = [], [], [], 0
+        self.filters = list(FILTER.iter_unpack(self._at(filters_at, n_filters * FILTER.size)))
+        self.blooms: dict[int, bytes] = {}
+        self.firsts, self.lasts, self.places, self.filter_of, at = [], [], [], [], 0
         while at < len(index):
             n, at = _read_varint(index, at)
             self.firsts.append(index[at : at + n])
@@ -168,7 +194,8 @@ class ShardReader:
             place, at = _read_varint(index, at + n)
             n, at = _read_varint(index, at)
             self.places.append((place, n))
-        self.bloom = None
+            n, at = _read_varint(index, at)
+            self.filter_of.append(n)
 
     def _at(self, place: int, n: int) -> bytes:
         self.file.seek(place)
@@ -192,56 +219,96 @@ class ShardReader:
         for k in range(len(self.places)):
             yield from self.block(k)
 
-    def may_hold(self, key: bytes) -> bool:
-        if self.bloom is None:
-            self.bloom = self._at(self.bloom_at, (self.bits + 7) // 8)
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(key, self.bits))
+    def may_hold(self, key: bytes, number: int) -> bool:
+        """What the filter of that number says about the key."""
+        place, bits = self.filters[number]
+        if number not in self.blooms:
+            self.blooms[number] = self._at(place, (bits + 7) // 8)
+        bloom = self.blooms[number]
+        return all(bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(key, bits))
 
     def get(self, key: bytes) -> list[bytes]:
-        """All values of a key: filter, then binary search in the index, then the blocks that can hold it."""
+        """All values of a key: binary search in the index, then, where the filter lets it pass, the blocks that can hold it."""
         found: list[bytes] = []
-        if self.may_hold(key):
-            k = bisect.bisect_left(self.lasts, key)
-            while k < len(self.places) and self.firsts[k] <= key:
+        k = bisect.bisect_left(self.lasts, key)
+        while k < len(self.places) and self.firsts[k] <= key:
+            if self.may_hold(key, self.filter_of[k]):
                 found += [v for x, v in self.block(k) if x == key]
-                k += 1
+            k += 1
         return found
 
 
 class WordEncoder:
-    """Ids of whole texts with the tokenizers library, a word at a time.
+    """Ids of whole texts with the tokenizers library, a word at a time where that gives the library's ids.
+
+    With a plain byte-level pre-tokenizer (checked on loading) no pre-token runs over a space followed by a visible character, so
+    a text's ids are those of its parts cut before such spaces. Each new part is encoded by the library once and then
+    looked up. Texts in which an added token stands, and all texts under any other pre-tokenizer, normaliser or model, are
+    encoded whole by the library. One text of each slice is encoded whole as well; should it differ, words are given up and
+    the library encodes everything from that slice on.
 
-    For a byte-level tokenizer whose pre-tokens never run over a space followed by a visible character, a text's ids are
-    those of its parts cut before such spaces. Each new part is encoded by the library once and then looked up. The words
-    are kept in two generations, so that frequent ones outlive the many that come once.
+    The words are kept in two generations, so that frequent ones outlive the many that come once. A generation ends when
+    its words and ids take MOST_BYTES.
     """
 
-    MOST = 1 << 19
+    MOST_BYTES = 48 << 20
+    #: What an entry of a table takes besides its characters and ids.
+    ENTRY_BYTES = 200
 
     def __init__(self, path: str, id_bytes: int = 2):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.kind = {2: "<u2", 4: "<u4"}[id_bytes]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
+        made = json.loads(self.tok.to_str())
+        before = made.get("pre_tokenizer") or {}
+        added = made.get("added_tokens") or []
+        self.by_word = (
+            before.get("type") == "ByteLevel"
+            and before.get("use_regex", True)
+            and not before.get("add_prefix_space")
+            and made.get("normalizer") is None
+            and made["model"].get("type") == "BPE"
+            and not made["model"].get("dropout")
+        )
+        self.added = [t["content"] for t in added]
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids as little-endian numbers."""
+        whole = [t or "" for t in texts]
+        if not self.by_word:
+            return self._encode(whole)
+        marked = [k for k, t in enumerate(whole) if any(a in t for a in self.added)]
+        plain = [k for k, t in enumerate(whole) if t] if not marked else sorted({k for k, t in enumerate(whole) if t} - set(marked))
+        out = [b""] * len(whole)
+        for own, by in ((marked, self._encode), (plain, self._by_words)):
+            for k, ids in zip(own, by([whole[k] for k in own])):
+                out[k] = ids
+        if plain and self._encode([whole[plain[0]]])[0] != out[plain[0]]:
+            self.by_word = False
+            return self._encode(whole)
+        return out
+
     def _look_up(self, words: list[str]) -> list[bytes]:
         """Ids of words, each with a space before it."""
-        if len(self.young) > self.MOST:
-            self.young, self.old = {}, self.young
+        if self.young_bytes > self.MOST_BYTES:
+            self.young, self.old, self.young_bytes = {}, self.young, 0
         found = [self.young.get(w) for w in words]
         for k, f in enumerate(found):
             if f is None and (f := self.old.get(words[k])) is not None:
                 found[k] = self.young[words[k]] = f
+                self.young_bytes += len(words[k]) + len(f) + self.ENTRY_BYTES
         new = [k for k, f in enumerate(found) if f is None]
         for k, f in zip(new, self._encode([" " + words[k] for k in new])):
             found[k] = self.young[words[k]] = f
+            self.young_bytes += len(words[k]) + len(f) + self.ENTRY_BYTES
         return found
 
     def _glued(self, text: str) -> list[str]:
@@ -255,11 +322,11 @@ class WordEncoder:
                 out.append(p)
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian numbers."""
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens."""
         if not texts:
             return []
-        cut = pc.split_pattern(pa.array([t or "" for t in texts], pa.string()), " ")
+        cut = pc.split_pattern(pa.array(texts, pa.string()), " ")
         at = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.flatten().dictionary_encode()
         words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
@@ -312,7 +379,9 @@ def _writer(out_dir: str, tokenizer: str, end_id: int, id_bytes: int):
         if writer:
             writer.close()
             stream.close()
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": where, "n_docs": writer.n, "n_ids": writer.n_ids, "n_bytes": writer.at}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())]))
+            row = {"part": part, "path": where, "n_docs": writer.n, "n_ids": writer.n_ids, "n_bytes": writer.at, "first_key": writer.least, "last_key": writer.last}
+            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema(list(zip(row, kinds))))
 
     return write
 
@@ -357,13 +426,16 @@ def read_digests(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return shards.mapInArrow(_read_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(manifest_rows: list, doc_ids: list[int | None]) -> dict:
-    """Ids of a few documents by binary search, without Spark: {doc_id: list of id arrays}. manifest_rows: collected manifest."""
+def lookup(manifest: DataFrame, doc_ids: list[int | None]) -> dict:
+    """Ids of a few documents: {doc_id: list of id arrays}. Only shards whose key range holds one of them are opened."""
+    keys = {d: key_of(d) for d in doc_ids}
+    holds = functools.reduce(lambda a, b: a | b, [(F.col("first_key") <= F.lit(k)) & (F.lit(k) <= F.col("last_key")) for k in keys.values()], F.lit(False))
     found: dict = {d: [] for d in doc_ids}
-    for row in manifest_rows:
+    for row in manifest.where(holds).orderBy("part").collect():
         store, path = filesystem(row["path"])
         with store.open_input_file(path) as file:
             shard = ShardReader(file)
-            for d in doc_ids:
-                found[d] += [np.frombuffer(v, {2: "<u2", 4: "<u4"}[shard.id_bytes]) for v in shard.get(key_of(d))]
+            for d, k in keys.items():
+                if row["first_key"] <= k <= row["last_key"]:
+                    found[d] += [np.frombuffer(v, {2: "<u2", 4: "<u4"}[shard.id_bytes]) for v in shard.get(k)]
     return found
