@@ -1,8 +1,10 @@
 """Media columns in Ogg: texts stored as 8-bit samples in an Ogg stream, read back page by page.
 
-The writer puts two logical streams into one physical stream: samples (a header packet, then packets of 576 samples) and
-notes (a header packet and a comment). The reader verifies each page's checksum, rebuilds packets from lacing values over
-page borders, separates the logical streams by serial number and derives times from granule positions.
+The writer interleaves two logical streams page by page: samples (a header packet, then packets of 576 samples) and notes (a
+header packet, then a cue after each page of samples, which names the position reached). The reader verifies each page's
+checksum, rebuilds packets from lacing values over page borders, separates the logical streams by serial number and derives
+the time of every packet: a page's granule position is that of the last packet that ends on it, the packets before it
+end earlier by the lengths of those behind them, and on a last page that is cut short time runs forward up to its position.
 
 The media column is written to a table in the shared folder and probed from there; both jobs are one projection each, with
 no shuffle, and hold a few documents of an Arrow batch at a time.
@@ -82,19 +84,45 @@ def mux(payload: bytes, packet_bytes: int = PACKET, rate: int = RATE) -> bytes:
     """The payload as one physical stream. Equal payloads give equal bytes."""
     cut = [payload[k : k + packet_bytes] for k in range(0, len(payload), packet_bytes)]
     head = b"\x01pcm8" + struct.pack("<BII", 1, rate, packet_bytes)
-    samples = pages_of([head, *cut], [0, *(min((k + 1) * packet_bytes, len(payload)) for k in range(len(cut)))], SAMPLES)
-    notes = pages_of([b"\x01note", b"SAMPLES=%d;FILL=255" % len(payload)], [0, 0], NOTES)
-    return b"".join([samples[0], notes[0], *notes[1:], *samples[1:]])
+    first, *samples = pages_of([head, *cut], [0, *(min((k + 1) * packet_bytes, len(payload)) for k in range(len(cut)))], SAMPLES)
+    note_head = b"\x01note"
+    out, reached = [first, _page(FIRST, 0, NOTES, 0, bytes([len(note_head)]), note_head)], 0
+    for k, page in enumerate(samples, 1):
+        ends_at = HEAD.unpack_from(page)[3]
+        reached = ends_at if ends_at >= 0 else reached
+        cue = b"CUE=%d;SAMPLES=%d;OF=%d" % (k, reached, len(payload))
+        out += [page, _page(LAST if k == len(samples) else 0, reached, NOTES, k, bytes([len(cue)]), cue)]
+    return b"".join(out)
 
 
 class Stream:
+    """A logical stream: its packets, and for each the granule position at which it ends (times); position is that of the last."""
+
     def __init__(self, serial: int):
         self.serial, self.packets, self.times, self.part = serial, [], [], []
-        self.pages, self.ended = 0, False
+        self.pages, self.ended, self.position, self.frame = 0, False, 0, 0
+
+    def lengths(self, packets: list[bytes]) -> np.ndarray:
+        """How long each packet plays, in granules. Header packets and notes take no time."""
+        if not self.frame and not self.packets and packets[0].startswith(b"\x01pcm8") and len(packets[0]) >= 14:
+            self.frame = packets[0][5] or 1
+            return np.array([0, *(len(p) // self.frame for p in packets[1:])], np.int64)
+        return np.array([len(p) // self.frame if self.frame else 0 for p in packets], np.int64)
+
+    def add(self, packets: list[bytes], granule: int, last: bool) -> None:
+        """Packets that end on one page, in order."""
+        own = self.lengths(packets)
+        forward = self.position + np.cumsum(own)
+        cut_short = last and granule < int(forward[-1])
+        # the last packet ends at the page's position; each one before, earlier by what follows it
+        times = np.minimum(forward, granule) if cut_short else granule - (int(own.sum()) - np.cumsum(own))
+        self.packets += packets
+        self.times += times.tolist()
+        self.position = granule
 
 
 def demux(media: bytes) -> dict[int, Stream]:
-    """The logical streams: packets, and for each the granule position of the page on which it ends."""
+    """The logical streams with their packets and the time of each packet."""
     streams: dict[int, Stream] = {}
     at, n = 0, len(media)
     while at < n:
@@ -122,10 +150,14 @@ def demux(media: bytes) -> dict[int, Stream]:
         s.pages += 1
         stops = np.flatnonzero(lacing < 255)
         borders = np.cumsum(lacing, dtype=np.int64)[stops] + start if len(stops) else stops
+        done = []
         for stop in borders.tolist():
-            s.packets.append(b"".join([*s.part, media[start:stop]]) if s.part else media[start:stop])
-            s.times.append(granule)
+            done.append(b"".join([*s.part, media[start:stop]]) if s.part else media[start:stop])
             s.part, start = [], stop
+        if bool(done) != (granule >= 0):
+            raise OggError(f"page {number} of stream {serial} has a granule position that doesn't fit its packets")
+        if done:
+            s.add(done, granule, bool(flags & LAST))
         if start < end or (segments and lacing[-1] == 255):
             s.part.append(media[start:end])
         if flags & LAST:
@@ -149,11 +181,18 @@ def probe(media: bytes) -> dict:
     s = streams[SAMPLES]
     channels, rate, unit = struct.unpack("<BII", s.packets[0][5:14])
     payload = b"".join(s.packets[1:])
-    if s.times[-1] != len(payload) // channels:
-        raise OggError("the granule position doesn't match the samples")
+    if s.times[1:] != (np.cumsum([len(p) for p in s.packets[1:]]) // channels).tolist():
+        raise OggError("the granule positions don't match the samples")
+    notes = streams[NOTES]
+    if any(int(p.split(b"SAMPLES=")[1].split(b";")[0]) != t for p, t in zip(notes.packets[1:], notes.times[1:])):
+        raise OggError("a cue isn't at its time")
     x = np.frombuffer(payload, np.uint8)
     high = x > 127
-    feature = f"packets={len(s.packets) - 1};pages={s.pages};ms={s.times[-1] * 1000 // rate};sum={int(x.sum(dtype=np.int64))};high={int(high.sum())};turns={int((high[1:] != high[:-1]).sum())};peak={int(x.max())}"
+    middle = s.times[(len(s.times) - 1) // 2]
+    feature = (
+        f"packets={len(s.packets) - 1};pages={s.pages};cues={len(notes.packets) - 1};ms={s.times[-1] * 1000 // rate};middle_ms={middle * 1000 // rate}"
+        f";sum={int(x.sum(dtype=np.int64))};high={int(high.sum())};turns={int((high[1:] != high[:-1]).sum())};peak={int(x.max())}"
+    )
     return {
         "n_bytes": len(payload.rstrip(FILL)),
         "payload_bytes": len(payload),
