@@ -9,13 +9,15 @@ Copies are exploded in blocks and shuffled globally by a second hash.
 
 Shuffles: one small aggregation over sources (partial sums first), whose result is written to the shared folder; a join with
 that table of one row a source, which Spark broadcasts below its own size threshold and else shuffles, splitting hot sources;
-and the global shuffle, which deals rows by range of a hash of document and copy: a hot source
-or document spreads evenly. Sizes are counted over all documents.
+and the global shuffle, which deals rows by the leading digits of a hash of document and copy. The hash is uniform, so
+the borders are known beforehand (no sampling run) and a hot source or document spreads evenly. Sizes are counted over all
+documents.
 
 Defined results: a null source is a source of its own named "" ; null and empty texts weigh nothing but are drawn like the
 others of their source; a source that `targets` doesn't name has target 0; a source whose texts are all empty has rate 0, so
-its documents go; repeated rows are drawn alike, as the hash sees their id
-and text; an empty table gives an empty result; columns named like the added ones are replaced.
+its documents go; repeated rows are drawn alike, as the hash sees their id and text; an empty table gives an empty result;
+columns named like the added ones (copy_col, key_col) are replaced, so name these otherwise where such columns must stay;
+names starting with `__mix_` are reserved.
 """
 
 from __future__ import annotations
@@ -35,7 +37,12 @@ BLOCK = 1000
 
 def hex_uniform(key: Column) -> Column:
     """A number in [0, 1) from the first 12 hex digits of md5."""
-    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    return hex_share(F.md5(key))
+
+
+def hex_share(digits: Column) -> Column:
+    """The first 12 hex digits as a fraction in [0, 1)."""
+    return F.conv(F.substring(digits, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def poisson_inverse(u: Column, rate: Column) -> Column:
@@ -71,18 +78,21 @@ def source_rates(docs: DataFrame, targets: Mapping[str, float] | None = None, bu
     return weighted.join(F.broadcast(totals)).select("source", "chars", rate.alias("rate"))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, budget: float = 1.0, alpha: float = 0.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, float] | None = None, budget: float = 1.0, alpha: float = 0.0, seed: int = 42, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str = "copy", key_col: str = "mix_key", parts: int | None = None) -> DataFrame:
     """docs with copy (0, 1, ...) and mix_key, each document as often as drawn, dealt and sorted by mix_key.
 
-    mix_key is md5 of seed, document and copy: reading files in order gives the mixed order.
+    mix_key is md5 of seed, document and copy: reading files in order gives the mixed order. It is dealt to `parts` partitions
+    (the session's number of shuffle partitions) of equal ranges.
     """
-    docs = docs.drop("copy", "mix_key")
+    docs = docs.drop(copy_col, key_col)
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # written, so that its size is known when the join is planned
     rates = Workspace(docs.sparkSession, "mix").put(source_rates(docs, targets, budget, alpha, source_col, text_col), "rates").select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
     name = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     drawn = docs.join(rates, F.coalesce(F.col(source_col), F.lit("")) == F.col("__mix_source"))
     drawn = drawn.withColumn("__mix_name", name).withColumn("__mix_n", poisson_count(F.col("__mix_name"), F.col("__mix_rate")))
     blocks = drawn.where("__mix_n > 0").withColumn("__mix_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_n") - 1, F.lit(BLOCK).cast("long"))))
-    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("__mix_from"), F.least(F.col("__mix_from") + BLOCK, F.col("__mix_n")) - 1))).withColumn("copy", F.col("copy").cast("int"))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", "__mix_name", F.col("copy").cast("string"))))
-    return keyed.drop("__mix_source", "__mix_rate", "__mix_name", "__mix_n", "__mix_from").repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    copies = blocks.withColumn(copy_col, F.explode(F.sequence(F.col("__mix_from"), F.least(F.col("__mix_from") + BLOCK, F.col("__mix_n")) - 1))).withColumn(copy_col, F.col(copy_col).cast("int"))
+    keyed = copies.withColumn(key_col, F.md5(F.concat_ws("|", "__mix_name", F.col(copy_col).cast("string"))))
+    keyed = keyed.drop("__mix_source", "__mix_rate", "__mix_name", "__mix_n", "__mix_from")
+    return keyed.repartitionById(parts, F.floor(hex_share(F.col(key_col)) * parts).cast("int")).sortWithinPartitions(key_col)
