@@ -95,22 +95,28 @@ WITH sizes AS (
 ), totals AS (
   SELECT sum(chars) AS all_chars, CAST(sum(CASE WHEN chars > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS n FROM sizes
 ), rates AS (
-  SELECT s, CASE WHEN chars > 0 THEN least(1.0 / n * all_chars / chars, 50.0) ELSE 0.0 END AS rate FROM sizes, totals
+  SELECT s, CASE WHEN chars > 0 THEN 1.0 / n * all_chars / chars ELSE 0.0 END AS rate FROM sizes, totals
+), parted AS (
+  SELECT s, greatest(1, CAST(ceil(rate / 50.0) AS BIGINT)) AS parts, rate / greatest(1, ceil(rate / 50.0)) AS rate FROM rates
 ), terms AS (
-  SELECT s, k, exp(-rate + CASE WHEN k = 0 THEN 0 ELSE k * ln(greatest(rate, 1e-300)) END - lgamma(k + 1)) AS p FROM rates, range(0, 140) AS r(k)
+  SELECT s, k, exp(-rate + CASE WHEN k = 0 THEN 0 ELSE k * ln(greatest(rate, 1e-300)) END - lgamma(k + 1)) AS p FROM parted, range(0, 140) AS r(k)
 ), cdf AS (
   SELECT s, k, sum(p) OVER (PARTITION BY s ORDER BY k) AS c FROM terms
+), named AS (
+  SELECT row_number() OVER () AS id, coalesce(source, '') AS s, d.*, '42|' || coalesce(CAST(doc_id AS VARCHAR) || '|', '|') || md5(coalesce(text, '')) AS name FROM documents d
 ), drawn AS (
-  SELECT d.*, '42|' || coalesce(CAST(doc_id AS VARCHAR) || '|', '|') || md5(coalesce(text, '')) AS name,
-    CAST(('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR) || '|', '|') || md5(coalesce(text, ''))), 1, 12)) AS BIGINT) / 281474976710656.0 AS u
-  FROM documents d
+  SELECT id, s, CAST(('0x' || substr(md5(CASE WHEN parts = 1 THEN name ELSE name || '|part|' || CAST(part AS VARCHAR) END), 1, 12)) AS BIGINT) / 281474976710656.0 AS u
+  FROM (SELECT n.id, n.s, n.name, p.parts, unnest(range(1, p.parts + 1)) AS part FROM named n JOIN parted p USING (s))
 ), counted AS (
-  SELECT doc_id, text, lang, source, n_chars, name, (SELECT count(*) FROM cdf WHERE cdf.s = coalesce(drawn.source, '') AND cdf.c <= drawn.u) AS n FROM drawn
+  SELECT id, sum((SELECT count(*) FROM cdf WHERE cdf.s = drawn.s AND cdf.c <= drawn.u)) AS n FROM drawn GROUP BY id
+), copies AS (
+  SELECT id, unnest(range(0, CAST(n AS BIGINT))) AS copy FROM counted
 )
-SELECT doc_id, text, lang, source, n_chars, CAST(c.copy AS INTEGER) AS copy, md5(name || '|' || CAST(c.copy AS VARCHAR)) AS mix_key
-FROM counted, range(0, 140) AS c(copy) WHERE c.copy < n
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, md5(name || '|' || CAST(copy AS VARCHAR)) AS mix_key
+FROM named JOIN copies USING (id)
 """
 
+
 def op10_sql() -> str:
     """The line rules and the base rules with the production parameters; \\n-split lines, words by white space."""
     from lectern.llm.quality_rules import DEFAULT as R
