@@ -6,12 +6,14 @@ by Unicode ranges of its letters, leaves only the languages that were seen to us
 text, with a penalty for each change of language, labels spans; the text's language is the one with most letters.
 
 Learning: at most `max_docs` documents a language (those with the least hash of their id), whole texts, counted by Spark
-into hashed n-gram cells; the counts that reach the driver are bounded by cells times languages. Prediction is one
-projection over all documents; each word of a slice is scored once.
+into hashed n-gram cells; the counts that reach the driver are bounded by cells times languages. The sample is found by a
+histogram of hashes (partial counts), so that only ids up to the histogram's cut are ranked: a language that holds most of
+the rows never meets in one task. Prediction is one projection over all documents; each word of a slice is scored once.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and have no span; a text whose scripts no
 language was seen to use keeps all languages as candidates; very long texts are labelled whole; ties go to the first language
-in alphabetical order; repeated rows give equal results; an empty table gives an empty result, and with nothing learned
+in alphabetical order; repeated rows give equal results, and an id that stands in several rows of a language counts once
+for `max_docs` and is learnt from with all its rows; an empty table gives an empty result, and with nothing learned
 every text is `und`.
 """
 
@@ -201,7 +203,8 @@ class LangModel:
     def _paths_together(self, start: np.ndarray, lengths: np.ndarray, scores: np.ndarray, labels: np.ndarray) -> None:
         """Texts in order of falling length, one step for all that are that long."""
         longest, cost = int(lengths[0]), self.config.switch
-        v = scores[start].copy()
+        # in the precision of `_path`, so that a text's labels don't depend on which of the two labels it
+        v = scores[start].astype(np.float64)
         moved = np.zeros((len(scores), scores.shape[1]), bool)
         best = np.zeros(len(scores), np.int64)
         active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(longest)]
@@ -221,11 +224,24 @@ class LangModel:
                 now[:n] = np.where(moved[here, now[:n]], best[here], now[:n])
 
 
+def least_hashes(rows: DataFrame, most: int, bits: int = 14) -> DataFrame:
+    """id, lang: of the rows (id, lang) the `most` different ids of each language with the least hash.
+
+    Ids are counted by the leading bits of their hash; buckets behind the one in which a language's count reaches `most` go
+    unranked.
+    """
+    rows = rows.select("id", "lang").distinct().withColumn("h", F.xxhash64("id")).withColumn("b", F.shiftright("h", 64 - bits))
+    counts = rows.groupBy("lang", "b").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = counts.withColumn("before", before).where(F.col("before") < most).select("lang", "b")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    return rows.join(near, ["lang", "b"], "left_semi").withColumn("rank", rank).where(F.col("rank") <= most).select("id", "lang")
+
+
 def learn(docs: DataFrame, learn_from, config: LangConfig = LangConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """A model from the rows of docs for which the column learn_from(id) is true and the language is known."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(learn_from(F.col("id")) & F.col("lang").isNotNull() & F.col("id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = rows.withColumn("h", F.xxhash64("id")).withColumn("rank", rank).where(F.col("rank") <= config.max_docs).select("id", "lang").distinct()
+    chosen = least_hashes(rows, config.max_docs).select("id", "lang")
     # at most max_docs narrow rows a language
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
     counts = texts.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counts(config), "lang string, cell long, n long")
