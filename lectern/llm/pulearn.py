@@ -9,12 +9,12 @@ where the second term, once negative, is climbed back up instead of being minimi
 sets alone: a positive-versus-unlabelled score is fitted on one half, and on the other half the least ratio of
 unlabelled to positive shares above a threshold, with a confidence margin, bounds the share of positives.
 
-Bounded sample: at most `max_positive` and `max_unlabelled` rows of the learning folds, those with the least hash of their
-id; their feature rows (at most 30,000 by default) come to the driver. Labels are joined as narrow rows. Scoring is one
+Bounded sample: at most `max_positive` and `max_unlabelled` ids of the learning folds, those with the least hash; one feature
+row of each (at most 30,000 by default) comes to the driver. Labels are joined as narrow rows. Scoring is one
 projection over all documents.
 
 Defined results: null and empty texts get a score from all-zero features; very long texts count whole; repeated rows get equal
-scores; documents whose label rows disagree or are null count as neither set; without positives or without unlabelled text
+scores; an id that stands in several rows is learnt from once, with the least of its feature rows; documents whose label rows disagree or are null count as neither set; without positives or without unlabelled text
 every score is 0.5; an empty table gives an empty result.
 """
 
@@ -157,21 +157,23 @@ def fit(p: np.ndarray, u: np.ndarray, config: PuConfig = PuConfig(), prior: floa
 
 def _feature_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t.as_py()).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["positive", "x"])
+        rows = [features(t.as_py()).tobytes() for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["id", "positive", "x"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from, config: PuConfig = PuConfig(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> PuModel:
     """A model from the rows of docs for which the column learn_from(id) is true."""
     judged = labels.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("least"), F.max(label_col).alias("most"), F.lit(True).alias("judged"))
-    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & learn_from(F.col("id")))
+    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & learn_from(F.col("id"))).distinct()
     ids = ids.join(judged, "id", "left").withColumn("h", F.xxhash64("id"))
     positive = ids.where((F.col("least") == 1) & (F.col("most") == 1)).orderBy("h", "id").limit(config.max_positive)
     unlabelled = ids.where(F.col("judged").isNull()).orderBy("h", "id").limit(config.max_unlabelled)
-    # at most max_positive + max_unlabelled narrow rows
-    chosen = positive.select("id", F.lit(True).alias("positive")).unionByName(unlabelled.select("id", F.lit(False).alias("positive"))).distinct()
+    # at most max_positive + max_unlabelled narrow rows, each id once
+    chosen = positive.select("id", F.lit(True).alias("positive")).unionByName(unlabelled.select("id", F.lit(False).alias("positive")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = texts.select("positive", "text").mapInArrow(_feature_rows, "positive boolean, x binary").toArrow()
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = texts.select("id", "positive", "text").mapInArrow(_feature_rows, f"id {kind}, positive boolean, x binary")
+    rows = rows.groupBy("id", "positive").agg(F.min("x").alias("x")).select("positive", "x").toArrow()
     x = np.frombuffer(b"".join(r.as_py() for c in rows.column("x").chunks for r in c), np.float32).reshape(-1, N_FEATURES)
     is_p = np.array(rows.column("positive").to_pylist(), bool)
     # a fixed order, so that the fit doesn't depend on how rows arrived
