@@ -10,8 +10,10 @@ is the component of that relation, found exactly:
    repeats for crowded buckets only, until no bucket is crowded (a bucket with nine free bits can't be), so no group grows
    without bound and no pair is lost.
 3. Inside a bucket each fingerprint has a row of a table of its Hamming distances to many reference fingerprints (pivots).
-   By the triangle inequality a pair whose rows differ by more than `most` in any coordinate is discarded; survivors are
-   verified by counting differing bits. A bucket hands on a spanning forest of its links, never all pairs.
+   The bucket is ordered by the first coordinate, and only pairs that lie within `most` there are made at all; by the
+   triangle inequality a pair whose rows differ by more than `most` in any other coordinate is discarded; survivors are
+   verified by counting differing bits. A bucket hands on a spanning forest of its links, never all pairs. `pair_figures`
+   counts the pairs of each kind.
 4. Components by alternating stars (components.py).
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; very long texts count whole; repeated rows
@@ -34,7 +36,7 @@ from lectern.llm.components import components
 BLOCKS = (13, 13, 13, 13, 12)
 MOST = 3
 MOST_IN_BUCKET = 512
-N_PIVOTS = 16
+N_PIVOTS = 64
 #: For each byte value its eight bits, the high one first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -108,9 +110,16 @@ def _dealt(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
     return each.select(F.col("x.m").alias("m"), F.col("x.mask").bitwiseAND(F.col("fp")).alias("v"), "fp")
 
 
-def spanning_links(group: np.ndarray, fp: np.ndarray, most: int = MOST) -> list[tuple[int, int]]:
-    """Index pairs of linked fingerprints that span each group's components. group: ascending numbers, fp: uint64."""
-    table = np.bitwise_count(fp[:, None] ^ pivots()).astype(np.int16)
+def spanning_links(group: np.ndarray, fp: np.ndarray, most: int = MOST, figures: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs of linked fingerprints that span each group's components. group: ascending numbers, fp: uint64.
+
+    figures, if given, gets added: pairs in groups, made, left by the tables, linked.
+    """
+    own = pivots()
+    first = np.bitwise_count(fp ^ own[0]).astype(np.int16)
+    order = np.lexsort((first, group))
+    sorted_fp, group, first = fp[order], group[order], first[order]
+    table = np.bitwise_count(sorted_fp[:, None] ^ own[1:]).astype(np.int8)
     root = np.arange(len(fp))
     links: list[tuple[int, int]] = []
 
@@ -120,36 +129,57 @@ def spanning_links(group: np.ndarray, fp: np.ndarray, most: int = MOST) -> list[
             k = root[k]
         return k
 
+    if figures is not None:
+        size = np.bincount(group)
+        figures[0] += int((size * (size - 1) // 2).sum())
     at, step = np.arange(len(fp)), 0
     while True:
         step += 1
         at = at[at + step < len(fp)]
-        at = at[group[at] == group[at + step]]
+        # places beyond the border of the first coordinate stay beyond it for every larger step
+        at = at[(group[at] == group[at + step]) & (first[at + step] - first[at] <= most)]
         if not len(at):
             return links
-        near = at[root[at] != root[at + step]]
-        near = near[(np.abs(table[near] - table[near + step]) <= most).all(axis=1)]
-        near = near[np.bitwise_count(fp[near] ^ fp[near + step]) <= most]
+        near = at[root[at] != root[at + step]] if figures is None else at
+        left = near[(np.abs(table[near] - table[near + step]) <= most).all(axis=1)]
+        near = left[np.bitwise_count(sorted_fp[left] ^ sorted_fp[left + step]) <= most]
+        if figures is not None:
+            figures[1:] += (len(at), len(left), len(near))
         for i in near.tolist():
             a, b = find(i), find(i + step)
             if a != b:
                 root[max(a, b)] = min(a, b)
-                links.append((i, i + step))
+                links.append((int(order[i]), int(order[i + step])))
         if len(near):
             while not np.array_equal(flat := root[root], root):
                 root[:] = flat
 
 
-def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each bucket. Rows come sorted by bucket (m, v); the last bucket of a batch waits for the next."""
+def _solved(m: np.ndarray, v: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    group, fp = _shared(m, v, fp)
+    links = np.array(spanning_links(group, fp.view(np.uint64)), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(fp[links[:, 0]]), pa.array(fp[links[:, 1]])], names=["a", "b"])
+
+
+FIGURES = ["in_buckets", "made", "left_by_tables", "linked"]
+
+
+def _counted(m: np.ndarray, v: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    group, fp = _shared(m, v, fp)
+    figures = np.zeros(len(FIGURES), np.int64)
+    spanning_links(group, fp.view(np.uint64), figures=figures)
+    return pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in figures], names=FIGURES)
+
+
+def _shared(m: np.ndarray, v: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of buckets and fingerprints, without the buckets of one."""
+    group = np.cumsum(np.concatenate([[0], (m[1:] != m[:-1]) | (v[1:] != v[:-1])]))
+    keep = np.bincount(group)[group] > 1
+    return group[keep] - (group[keep][0] if keep.any() else 0), fp[keep]
 
-    def solve(m: np.ndarray, v: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        group = np.cumsum(np.concatenate([[0], (m[1:] != m[:-1]) | (v[1:] != v[:-1])]))
-        size = np.bincount(group)
-        keep = size[group] > 1
-        group, fp = group[keep], fp[keep]
-        links = np.array(spanning_links(group, fp.view(np.uint64)), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(fp[links[:, 0]]), pa.array(fp[links[:, 1]])], names=["a", "b"])
+
+def _by_bucket(batches: Iterable[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
+    """solve(m, v, fp) for whole buckets. Rows come sorted by bucket (m, v); the last bucket of a batch waits for the next."""
 
     left = [np.zeros(0, np.int64)] * 3
     for batch in batches:
@@ -165,8 +195,29 @@ def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(*left)
 
 
+def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each bucket."""
+    return _by_bucket(batches, _solved)
+
+
+def _figures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _by_bucket(batches, _counted)
+
+
 def links(space: Workspace, distinct: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
     """a, b: links between different fingerprints that span the components. distinct: column fp, each value once."""
+    return _of_buckets(space, distinct, most_in_bucket, _linked, "a long, b long")
+
+
+def pair_figures(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
+    """One row: pairs of different fingerprints that share a bucket, are made, are left by the tables, and link. A pair counts once a bucket."""
+    space = Workspace(spark, "simhash_figures")
+    distinct = space.put(fingerprints(docs, id_col, text_col).select("fp").distinct(), "distinct")
+    found = _of_buckets(space, distinct, most_in_bucket, _figures, ", ".join(f"{x} long" for x in FIGURES))
+    return found.agg(*[F.sum(x).alias(x) for x in FIGURES])
+
+
+def _of_buckets(space: Workspace, distinct: DataFrame, most_in_bucket: int, solve, schema: str) -> DataFrame:
     masks = first_masks()
     rows = _dealt(distinct.select(F.lit(0).alias("m"), "fp"), [masks])
     found = None
@@ -175,7 +226,7 @@ def links(space: Workspace, distinct: DataFrame, most_in_bucket: int = MOST_IN_B
         split = not crowded.isEmpty()
         ready = rows.join(crowded, ["m", "v"], "left_anti") if split else rows
         dealt = ready.repartition("m", "v").sortWithinPartitions("m", "v").select("m", "v", "fp")
-        own = space.put(dealt.mapInArrow(_linked, "a long, b long"), f"links_{level}")
+        own = space.put(dealt.mapInArrow(solve, schema), f"links_{level}")
         found = own if found is None else found.unionByName(own)
         if not split:
             return found
@@ -200,6 +251,7 @@ def keyed_groups(spark: SparkSession, docs: DataFrame, key_col: str, id_col: str
     rooted = space.put(rooted, "rooted")
     heads = space.put(rooted.groupBy("root").agg(F.min("first").alias("head")), "heads")
     named = space.put(rooted.join(heads, "root").select("fp", F.col("head.id").alias("component_id"), F.col("head.key").alias("head_key")), "named")
+    space.drop_others("fingerprints", "named")
     return marked.join(named, "fp").select("key", "doc_id", "fp", "component_id", (F.col("key") == F.col("head_key")).alias("first"))
 
 
