@@ -38,13 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Workspace, slices_of
-from lectern.llm.deepshallow import deep_shallow_order, lcp, neighbour_lcps
+from lectern.llm.deepshallow import deep_shallow_order, neighbour_lcps
 
 N = 200
 GRAM = 64
 PIECE = 1 << 18
 #: Packed texts are opened in slices of about so many bytes.
 PACKED_BYTES = 1 << 20
+#: Plain texts are cut in slices of about so many bytes.
+TEXT_BYTES = 4 << 20
 MOST_IN_GROUP = 512
 BANDS = 8
 MASK64 = (1 << 64) - 1
@@ -183,9 +185,6 @@ def repeated_offsets(segs: list[bytes], most: list[int], least: list[int], n: in
     right = [s[m:] for s, m in zip(segs, most)]
     left = [s[:m][::-1] for s, m in zip(segs, most)]
     k = len(segs)
-    if k == 2:
-        lo = max(*least, n - lcp(right[0], right[1]))
-        return [list(range(lo, min(*most, lcp(left[0], left[1])) + 1))] * 2
     low, high = min(least), max(most)
     offsets = np.arange(low, high + 1)
     classes = []
@@ -272,11 +271,23 @@ def _crowded_ranges(space: Workspace, segs: DataFrame, n: int, gram: int) -> Dat
     twice = space.put(windows.groupBy("h", "o", "w").count().where("count > 1").drop("count"), "twice")
     single = windows.where("c = 1 AND same = 1").join(twice, ["h", "o", "w"], "left_semi").select("h", "s", (-F.col("o")).alias("from"), (n - F.col("o")).alias("to"))
     found = alike.unionByName(single)
-    return found.groupBy("h", "s").agg(F.flatten(F.collect_list(F.array("from", "to"))).cast("array<int>").alias("ranges"))
-
-
-def repeat_spans(space: Workspace, staged: DataFrame, n: int = N, gram: int = GRAM, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
-    """dk, ranges: covered bytes of each document that has any, as start, end, ..., not merged. staged: dk, z (packed text)."""
+    # one entry a band and one a window at most; ranges that touch become one
+    touching = lambda out, x: F.when(
+        (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["to"] >= x["from"]),
+        F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.try_element_at(out, F.lit(-1))["from"].alias("from"), F.greatest(F.try_element_at(out, F.lit(-1))["to"], x["to"]).alias("to")))),
+    ).otherwise(F.concat(out, F.array(x)))
+    listed = found.groupBy("h", "s").agg(F.sort_array(F.collect_list(F.struct(F.col("from").cast("int").alias("from"), F.col("to").cast("int").alias("to")))).alias("x"))
+    one = F.aggregate("x", F.array().cast("array<struct<from: int, to: int>>"), touching)
+    return listed.select("h", "s", F.flatten(F.transform(one, lambda x: F.array(x["from"], x["to"]))).alias("ranges"))
+
+
+def repeat_spans(space: Workspace, staged: DataFrame, n: int = N, gram: int = GRAM, most_in_group: int = MOST_IN_GROUP, by_route: bool = False) -> DataFrame:
+    """dk, ranges: covered bytes of each document that has any, as start, end, ..., not merged. staged: dk, z (packed text).
+
+    What is gathered for a document is a row of 40 bytes for each of its anchors, and one range or a few: an anchor comes with
+    about 70 bytes of text, so both stay below the document's own size, which one row holds anyhow. by_route gives a row
+    for each route as well: whole (equal segments, counted), sorted (deep-shallow sorting), crowded (bands and windows).
+    """
     if not 0 < gram <= n - 1:
         raise ValueError("gram must be below n")
     occ = space.put(staged.select("dk", "z").mapInArrow(_anchors(n, gram), ANCHOR), "anchors", "lz4")
@@ -292,13 +303,18 @@ def repeat_spans(space: Workspace, staged: DataFrame, n: int = N, gram: int = GR
     split = not crowded.isEmpty()
     ready = segs.join(crowded, "h", "left_anti") if split else segs
     ranges = ready.select("h", "s", "c", "most", "least", "seg").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups(n, gram), RANGES)
+    route = lambda df, name: df.withColumn("route", F.lit(name)) if by_route else df
+    ranges = route(ranges, "sorted")
     if split:
-        ranges = ranges.unionByName(_crowded_ranges(space, segs.join(crowded, "h", "left_semi"), n, gram))
+        ranges = ranges.unionByName(route(_crowded_ranges(space, segs.join(crowded, "h", "left_semi"), n, gram), "crowded"))
     whole = kinds.where("c > 1").select("h", "s", F.array(-F.col("ref.most"), n - F.col("ref.least")).cast("array<int>").alias("ranges"))
-    ranges = space.put(ranges.unionByName(whole), "ranges")
+    ranges = space.put(ranges.unionByName(route(whole, "whole")), "ranges")
     space.drop("segments")
-    spans = found.join(ranges, ["h", "s"]).select("dk", F.transform("ranges", lambda x: F.col("a") + x).alias("ranges"))
-    return space.put(spans.groupBy("dk").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "spans")
+    own = ["dk", "route"] if by_route else ["dk"]
+    spans = found.join(ranges, ["h", "s"]).select(*own, F.transform("ranges", lambda x: F.col("a") + x).alias("ranges"))
+    spans = space.put(spans.groupBy(*own).agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "spans")
+    space.drop_others("docs", "staged", "spans")
+    return spans
 
 
 def merged(ranges: list[int] | np.ndarray | None) -> list[tuple[int, int]]:
@@ -347,6 +363,20 @@ def repeat_digests(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     return joined.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def route_figures(spark: SparkSession, docs: DataFrame, text_col: str = "text", n: int = N, gram: int = GRAM, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
+    """route, n_bytes: bytes that each route covers; a byte that several cover counts for each."""
+    space = Workspace(spark, "repeats_figures")
+    staged = _stage(space, docs.select(F.monotonically_increasing_id().alias("__sd_key"), F.col(text_col).alias("__sd_text")), "__sd_key", "__sd_text")
+    spans = repeat_spans(space, staged, n, gram, most_in_group, by_route=True)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [sum(b - a for a, b in merged(r.values.to_numpy().tolist())) for r in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["route", "n"])
+
+    return spans.select("route", "ranges").mapInArrow(run, "route string, n long").groupBy("route").agg(F.sum("n").alias("n_bytes"))
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", n: int = N, gram: int = GRAM, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
     """docs with repeated passages cut out of the text column; every row stays, a null text stays null."""
     space = Workspace(spark, "repeats_docs")
@@ -361,8 +391,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text"
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                own = batch.slice(k, 512)
+            for own in slices_of(batch, batch.column(1).field(at), TEXT_BYTES):
                 cols, out = own.column(1).flatten(), []
                 for t, r in zip(cols[at], own.column(0)):
                     t = t.as_py()
