@@ -2,7 +2,9 @@
 
 import hashlib
 import io
+import json
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -27,12 +29,32 @@ def test_word_encoder_equals_library():
 
     path = registry.tokenizer_path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    want = [e.ids for e in plain.encode_batch(texts(), add_special_tokens=False)]
+    own = [*texts(), "a <|endoftext|> b", "a  <|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|>y z", "<|endoftext", "word " * 3000 + "<|endoftext|>"]
+    want = [e.ids for e in plain.encode_batch(own, add_special_tokens=False)]
+    assert want[own.index("a <|endoftext|> b")] == [64, 220, 50256, 275]
     encoder = sst.WordEncoder(path)
-    got = [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(texts())]
-    assert got == want
-    assert encoder.encode([None]) == [b""]
+    assert encoder.by_word
+    got = [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(own)]
+    assert got == want and encoder.by_word
+    assert encoder.encode([None]) == [b""] and encoder.encode([]) == []
+    # a table of words that is always full, and one text at a time, change nothing
+    small = sst.WordEncoder(path)
+    small.MOST_BYTES = 0
+    assert [np.frombuffer(small.encode([t])[0], "<u2").tolist() for t in own] == want
+
+
+def test_word_encoder_leaves_other_tokenizers_to_the_library(tmp_path):
+    """A tokenizer whose words depend on what surrounds them is never cut into words."""
+    from tokenizers import Tokenizer
+
+    made = json.loads(Tokenizer.from_file(registry.tokenizer_path("byte_bpe_50k.json")).to_str())
+    made["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "t.json").write_text(json.dumps(made))
+    encoder = sst.WordEncoder(str(tmp_path / "t.json"))
+    plain = Tokenizer.from_file(str(tmp_path / "t.json"))
+    own = texts(20)
+    assert not encoder.by_word
+    assert [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(own)] == [e.ids for e in plain.encode_batch(own, add_special_tokens=False)]
 
 
 def test_agenda_equals_library():
@@ -43,6 +65,9 @@ def test_agenda_equals_library():
     assert [ids for _, ids in agenda.encode_batch(texts())] == want
     assert [agenda.merge(agenda.escape(t)) for t in texts()] == want
     assert [j for j, _ in agenda.encode_batch(["", None])] == ["", ""]
+    # tables of words that are always full change nothing
+    agenda.MOST_BYTES = 0
+    assert [agenda.encode_batch([t])[0][1] for t in texts()] == want and not agenda.differing and agenda.by_word
 
 
 @pytest.mark.parametrize("unit", [1, 254, 255, 256, 576, 70000])
@@ -55,7 +80,72 @@ def test_ogg_round_trip(unit):
             streams = ogg.demux(media)
             assert b"".join(streams[ogg.SAMPLES].packets[1:]) == payload
             assert [len(p) for p in streams[ogg.SAMPLES].packets[1:]] == [min(unit, n - k) for k in range(0, n, unit)]
-            assert streams[ogg.NOTES].packets[1].startswith(b"SAMPLES=")
+            ends = [min(k + unit, n) for k in range(0, n, unit)]
+            assert streams[ogg.SAMPLES].times == [0, *ends]
+            notes = streams[ogg.NOTES]
+            assert [int(p.split(b"SAMPLES=")[1].split(b";")[0]) for p in notes.packets[1:]] == notes.times[1:] and notes.times[-1] == n
+            assert len(notes.packets) == streams[ogg.SAMPLES].pages
+
+
+def plain_pages(media):
+    """(flags, granule, serial, number, lacing, body) of each page, read byte by byte."""
+    at = 0
+    while at < len(media):
+        assert media[at : at + 4] == b"OggS" and media[at + 4] == 0
+        flags = media[at + 5]
+        granule = int.from_bytes(media[at + 6 : at + 14], "little", signed=True)
+        serial, number = struct.unpack("<II", media[at + 14 : at + 22])
+        n = media[at + 26]
+        lacing = list(media[at + 27 : at + 27 + n])
+        start = at + 27 + n
+        yield flags, granule, serial, number, lacing, media[start : start + sum(lacing)]
+        at = start + sum(lacing)
+
+
+def test_streams_are_interleaved():
+    serials = [p[2] for p in plain_pages(ogg.mux(b"x" * 576 * 300))]
+    assert len(serials) == 10 and serials == [ogg.SAMPLES, ogg.NOTES] * 5
+
+
+def test_last_page_cut_short():
+    """A last page may name an earlier position than its packets reach: the rest of the last packet isn't played."""
+    head = b"\x01pcm8" + struct.pack("<BII", 1, 8000, 100)
+    pages = ogg.pages_of([head, *[b"x" * 100] * 200], [0, *range(100, 20_100, 100)], 7)
+    flags, _, serial, number, lacing, body = list(plain_pages(pages[-1]))[0]
+    pages[-1] = ogg._page(flags, 19_930, serial, number, bytes(lacing), body)
+    assert ogg.demux(b"".join(pages))[7].times == [0, *range(100, 20_000, 100), 19_930]
+
+
+def test_probe_equals_brute_force():
+    r = random.Random(4)
+    for text in ["", "abc", "é" * 700, "".join(r.choice("aé日 \n") for _ in range(90_000))]:
+        data = ogg.payload_of_text(text)
+        media = ogg.mux(data)
+        parts, sizes, pages, cues = [], [], 0, 0
+        for _, _, serial, number, lacing, body in plain_pages(media):
+            if serial == ogg.SAMPLES:
+                pages += 1
+                if number:
+                    parts.append(body)
+                    sizes += lacing
+            elif number:
+                cues += 1
+        payload, packets, size = b"".join(parts), [], 0
+        for x in sizes:
+            size += x
+            if x < 255:
+                packets.append(size)
+                size = 0
+        assert payload == data
+        ends = [sum(packets[: k + 1]) for k in range(len(packets))]
+        bits = [b > 127 for b in payload]
+        want = {
+            "packets": len(packets), "pages": pages, "cues": cues, "ms": ends[-1] * 1000 // 8000, "middle_ms": ([0, *ends])[len(packets) // 2] * 1000 // 8000,
+            "sum": sum(payload), "high": sum(bits), "turns": sum(a != b for a, b in zip(bits, bits[1:])), "peak": max(payload),
+        }
+        got = ogg.probe(media)
+        assert got["feature"] == ";".join(f"{k}={v}" for k, v in want.items())
+        assert got["media_bytes"] == len(media) and got["media_sha256"] == hashlib.sha256(media).hexdigest()
 
 
 def test_ogg_crc_is_the_plain_one():
@@ -106,6 +196,19 @@ def test_shard_lookup_and_order():
     for d in (None, -5, 0, 7, 100, 103, 2998, 1 << 40):
         assert shard.get(sst.key_of(d)) == [v for k, v in zip(keys, values) if k == sst.key_of(d)]
     absent = [sst.key_of(k) for k in range(101, 3000, 3)]
-    assert all(not shard.get(k) for k in absent) and sum(map(shard.may_hold, absent)) < 40
+    assert all(not shard.get(k) for k in absent) and sum(shard.may_hold(k, 0) for k in absent) < 40 and len(shard.filters) == 1
     with pytest.raises(ValueError):
         writer.add(b"", b"")
+
+
+def test_shard_with_many_filters(monkeypatch):
+    monkeypatch.setattr(sst, "FILTER_KEYS", 40)
+    keys = [sst.key_of(k) for k in range(0, 2000, 2)]
+    file = io.BytesIO()
+    writer = sst.ShardWriter(file, 2, block_bytes=300)
+    for k in keys:
+        writer.add(k, k)
+    assert len(writer.keys) < 100
+    writer.close()
+    shard = sst.ShardReader(file)
+    assert len(shard.filters) > 15 and all(shard.get(k) == [k] for k in keys) and not any(shard.get(sst.key_of(k)) for k in range(-5, 2005, 2))
