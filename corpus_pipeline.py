@@ -44,7 +44,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from lectern.llm.mixing import mix
 
-    return mix(docs, alpha=0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mix(docs, alpha=0.5, copy_col="__mix_copy", key_col="__mix_key").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,12 +68,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's result is written to the shared folder and read again."""
-    from lectern.llm.common import Workspace, read_table
+    from lectern.llm.common import Workspace, read_table, released
 
     space = Workspace(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = space.put(stage(spark, docs, sf_dir), f"{k}_{name}")
+        with released(spark):
+            docs = space.put(stage(spark, docs, sf_dir), f"{k}_{name}")
         if k > 1:
             space.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs
