@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where it is unset a local session uses its warehouse; a cluster must name the folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lectern"
+    return top.rstrip("/")
+
+
 class Stages:
-    """put() writes a frame below spark.checkpoint.dir (set here only where it is unset) and reads it back."""
+    """put() writes a frame to a folder of its own below the shared folder and reads it back. The folder goes with the session."""
 
     def __init__(self, spark: SparkSession, name: str):
-        top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not top:
-            top = "file://" + tempfile.mkdtemp(prefix="lectern_stages_")
-            spark.conf.set("spark.checkpoint.dir", top)
-        self.spark, self.path = spark, f"{top.rstrip('/')}/{name}_{uuid.uuid4().hex}"
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
