@@ -25,15 +25,15 @@ def creator_name(c: Column) -> Column:
 
 
 def split_chinese_name(name: Column) -> Column:
-    """struct(last_name, first_name): cut at a middle dot, else after a compound surname, else after one character."""
+    """struct(last_name, first_name): cut at a middle dot, else after a compound surname (which may be the whole name), else after one character."""
     x = trim(name)
     whole = lambda last, first: F.struct(last.alias("last_name"), first.alias("first_name"))
-    dot = lambda d: whole(trim(F.substring_index(x, d, 1)), trim(F.substring(x, F.instr(x, d) + 1, F.length(x))))
+    dot = lambda d: whole(F.substring_index(x, d, 1), F.substring(x, F.instr(x, d) + 1, F.length(x)))
     return (
         F.when(~x.rlike(CJK_BASIC), whole(x, F.lit("")))
         .when(F.contains(x, F.lit("·")), dot("·"))
         .when(F.contains(x, F.lit("•")), dot("•"))
-        .when((F.length(x) > 2) & F.left(x, F.lit(2)).isin(*COMPOUND_SURNAMES), whole(F.left(x, F.lit(2)), F.substring(x, F.lit(3), F.length(x))))
+        .when(F.left(x, F.lit(2)).isin(*COMPOUND_SURNAMES), whole(F.left(x, F.lit(2)), F.substring(x, F.lit(3), F.length(x))))
         .when(F.length(x) == 1, whole(x, F.lit("")))
         .otherwise(whole(F.left(x, F.lit(1)), F.substring(x, F.lit(2), F.length(x))))
     )

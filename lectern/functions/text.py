@@ -35,9 +35,14 @@ def query_terms(query: Column) -> Column:
 
 def lexical_score(text: Column, query: Column) -> Column:
     """1 for the whole trimmed query as a substring and 1 for each term that is one; 0 for an empty text or query."""
-    hay, whole = F.lower(F.coalesce(text, F.lit(""))), trim(F.lower(F.coalesce(query, F.lit(""))))
-    terms = F.aggregate(query_terms(whole), F.lit(0), lambda n, t: n + F.contains(hay, t).cast("int"))
-    return F.when((hay == "") | (whole == ""), F.lit(0)).otherwise(terms + F.contains(hay, whole).cast("int"))
+    whole = trim(F.lower(F.coalesce(query, F.lit(""))))
+
+    def score(hay: Column) -> Column:
+        terms = F.aggregate(query_terms(whole), F.lit(0), lambda n, t: n + F.contains(hay, t).cast("int"))
+        return F.when((hay == "") | (whole == ""), F.lit(0)).otherwise(terms + F.contains(hay, whole).cast("int"))
+
+    # an array of one element, so that a text is lower-cased once and not once a term
+    return F.element_at(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), score), 1)
 
 
 def year_of(date: Column) -> Column:

@@ -16,7 +16,9 @@ def norm(a: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    return F.transform(a, lambda x: x.cast("double") / F.when(norm(a) > 0, norm(a)).otherwise(F.lit(1.0)))
+    size = norm(a)
+    # an array of one element, so that the norm is computed once a row and not once an element
+    return F.element_at(F.transform(F.array(F.when(size > 0, size).otherwise(F.lit(1.0))), lambda n: F.transform(a, lambda x: x.cast("double") / n)), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

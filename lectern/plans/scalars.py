@@ -12,36 +12,48 @@ from lectern.plans.query import registrar
 QUERIES, query = registrar()
 
 
-def _values(rows) -> str:
-    lit = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+def _list(values) -> str:
+    """A list of texts in SQL."""
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-_CREATORS = [(0, "Ada", "Byron", None, "Ada Byron"), (1, "明", "李", None, "李明"), (2, "", "Plato", "", "Plato"), (3, "", "", "UN", "UN"), (4, "Jo", "", None, "Jo"), (5, "Ann", "王", None, "王Ann")]
+def _pick(values, at):
+    """The value at a place of a list of texts."""
+    return F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
 
 
-@query("X3", f"SELECT k, name FROM (VALUES {_values([(r[0], r[4]) for r in _CREATORS])}) t(k, name)")
+_FIRST, _LAST = ("Ada", "明", "", None, "Jo", "Ann"), ("Byron", "李", "Plato", "", None, "王", "Ô'Neil")
+_NAMED = f"SELECT c_custkey AS k, {_list(_FIRST)}[1 + c_custkey % 6] AS f, {_list(_LAST)}[1 + c_custkey % 7] AS l, CASE WHEN c_custkey % 11 = 0 THEN c_name WHEN c_custkey % 11 = 1 THEN '' END AS n FROM customer"
+
+
+@query("X3", f"SELECT k, CASE WHEN n <> '' THEN n WHEN f <> '' AND l <> '' AND regexp_matches(f || l, '[\u3400-\u9fff]') THEN l || f ELSE trim(coalesce(f, '') || ' ' || coalesce(l, '')) END AS name FROM ({_NAMED})")
 def creator_names(spark, sf):
-    rows = spark.createDataFrame([(k, (f, la, n, "author")) for k, f, la, n, _ in _CREATORS], "k int, c struct<first_name: string, last_name: string, name: string, creator_type: string>")
-    return rows.select("k", names.creator_name(F.col("c")).alias("name"))
+    c = F.col("c_custkey")
+    name = F.when(c % 11 == 0, F.col("c_name")).when(c % 11 == 1, "")
+    creator = F.struct(_pick(_FIRST, c % 6).alias("first_name"), _pick(_LAST, c % 7).alias("last_name"), name.alias("name"), F.lit("author").alias("creator_type"))
+    return table(spark, sf, "customer").select(c.alias("k"), names.creator_name(creator).alias("name"))
 
 
-_SPLIT = [(0, "李明", "李", "明"), (1, " 欧阳修 ", "欧阳", "修"), (2, "欧阳", "欧", "阳"), (3, "卡尔·马克思", "卡尔", "马克思"), (4, "阿•贝•塞", "阿", "贝•塞"), (5, "王", "王", ""), (6, "Smith", "Smith", ""), (7, "诸葛孔明", "诸葛", "孔明")]
+_HEADS, _TAILS = ("欧阳", "李", "诸葛", "王", "卡尔·", "阿•贝•", "Smith ", "司马", ""), ("", "明", "孔明", " 修", "a", "马克思")
+_WHOLE = f"SELECT c_custkey AS k, trim(' ' || {_list(_HEADS)}[1 + c_custkey % 9] || {_list(_TAILS)}[1 + c_custkey // 9 % 6] || ' ') AS x FROM customer"
+_CUT = f"""CASE WHEN NOT regexp_matches(x, '[\u4e00-\u9fff]') THEN length(x) WHEN contains(x, '·') THEN instr(x, '·') - 1 WHEN contains(x, '•') THEN instr(x, '•') - 1
+  WHEN list_contains({_list(names.COMPOUND_SURNAMES)}, left(x, 2)) THEN 2 ELSE 1 END"""
 
 
-@query("X8 X9", f"SELECT k, last_name, first_name FROM (VALUES {_values([(r[0], r[2], r[3]) for r in _SPLIT])}) t(k, last_name, first_name)")
+@query("X8 X9", f"SELECT k, substr(x, 1, n) AS last_name, substr(x, CASE WHEN regexp_matches(x, '[\u4e00-\u9fff]') AND (contains(x, '·') OR contains(x, '•')) THEN n + 2 ELSE n + 1 END) AS first_name FROM (SELECT k, x, {_CUT} AS n FROM ({_WHOLE}))")
 def split_names(spark, sf):
-    rows = spark.createDataFrame([(k, n) for k, n, _, _ in _SPLIT], "k int, n string")
-    return rows.select("k", names.split_chinese_name(F.col("n")).alias("s")).select("k", "s.last_name", "s.first_name")
+    c = F.col("c_custkey")
+    name = F.concat(F.lit(" "), _pick(_HEADS, c % 9), _pick(_TAILS, F.floor(c / 9) % 6), F.lit(" "))
+    return table(spark, sf, "customer").select(c.alias("k"), names.split_chinese_name(name).alias("s")).select("k", "s.last_name", "s.first_name")
 
 
-_YEARS = [(0, "2019-05-01", 2019), (1, "May 1899", 1899), (2, "12019", None), (3, "c. 2200", None), (4, "", None), (5, None, None), (6, "1999/2000", 1999)]
+_DATES = ("%Y-05-01", "May %Y", "1%Y", "c. 2200", "", None, "%Y/2000", "before %Y.")
 
 
-@query("X4 X5", f"SELECT k, CAST(year AS INTEGER) AS year FROM (VALUES {_values([(r[0], r[2]) for r in _YEARS])}) t(k, year)")
+@query("X4 X5", f"SELECT o_orderkey AS k, TRY_CAST(regexp_extract(replace({_list(_DATES)}[1 + o_orderkey % 8], '%Y', CAST(year(o_orderdate) AS VARCHAR)), '\\b(?:18|19|20|21)[0-9][0-9]\\b') AS INTEGER) AS year FROM orders")
 def item_years(spark, sf):
-    rows = spark.createDataFrame([(k, d) for k, d, _ in _YEARS], "k int, d string")
-    return rows.select("k", text.year_of(F.col("d")).alias("year"))
+    date = F.replace(_pick(_DATES, F.col("o_orderkey") % 8), F.lit("%Y"), F.year("o_orderdate").cast("string"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text.year_of(date).alias("year"))
 
 
 @query("X6", with_ctes("SELECT key, source AS venue FROM items", ITEMS))
@@ -69,22 +81,27 @@ def strip_html(spark, sf):
 
 
 _METHODS = ["items.get", "items.list", "collections.tree", "tags.add", "search.quick", "system.ping"]
-_ASKED = [(0, "items.gett", "items.get"), (1, "ITEMS.LIST", "items.list"), (2, "tag.ad", "tags.add"), (3, "nothing like it", None), (4, "sytem.pnig", "system.ping")]
+#: A method with a letter missing, in capitals, or followed by a word of the table.
+_ASKED = f"SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN substr(m, 1, cut) || substr(m, cut + 2) WHEN 1 THEN upper(m) ELSE m || p_brand END AS asked FROM (SELECT *, {_list(_METHODS)}[1 + p_partkey % 6] AS m, p_partkey // 6 % 9 AS cut FROM part)"
+_NEAR = " UNION ALL ".join(f"SELECT k, '{m}' AS method, {i} AS i, levenshtein(lower(asked), '{m}') AS d FROM asked" for i, m in enumerate(_METHODS))
 
 
-@query("X14 V1", f"SELECT k, method FROM (VALUES {_values([(r[0], r[2]) for r in _ASKED])}) t(k, method)")
+@query("X14 V1", f"WITH asked AS ({_ASKED}), near AS ({_NEAR}), best AS (SELECT k, arg_min(method, d * 100 + i) AS method FROM near WHERE d <= 5 GROUP BY k) SELECT k, method FROM asked LEFT JOIN best USING (k)")
 def closest_method(spark, sf):
-    rows = spark.createDataFrame([(k, a) for k, a, _ in _ASKED], "k int, a string")
-    return rows.select("k", text.closest(F.col("a"), _METHODS).alias("method"))
+    p = F.col("p_partkey")
+    m, at = _pick(_METHODS, p % 6), (F.floor(p / 6) % 9).cast("int")
+    asked = F.when(p % 3 == 0, F.concat(F.substring(m, 1, at), F.substring(m, at + 2, F.length(m)))).when(p % 3 == 1, F.upper(m)).otherwise(F.concat(m, F.col("p_brand")))
+    return table(spark, sf, "part").select(p.alias("k"), text.closest(asked, _METHODS).alias("method"))
 
 
-_KINDS = [(0, "Title", "heading"), (1, "TEXT", "paragraph"), (2, None, "paragraph"), (3, "image", "figure"), (4, "Table", "table"), (5, "blob", "unknown"), (6, "", "paragraph"), (7, "footnote", "footnote")]
+_KINDS = ("Title", "TEXT", None, "image", "Table", "", "footnote", "Reference")
 
 
-@query("X16", f"SELECT k, kind FROM (VALUES {_values([(r[0], r[2]) for r in _KINDS])}) t(k, kind)")
+@query("X16", f"WITH t AS (SELECT p_partkey AS k, lower(CASE WHEN p_partkey % 9 = 8 THEN p_brand ELSE {_list(_KINDS)}[1 + p_partkey % 9] END) AS x FROM part) SELECT k, CASE WHEN coalesce(x, '') = '' OR x = 'text' THEN 'paragraph' WHEN x = 'title' THEN 'heading' WHEN x = 'image' THEN 'figure' WHEN list_contains({_list(text.BLOCK_TYPES)}, x) THEN x ELSE 'unknown' END AS kind FROM t")
 def block_types(spark, sf):
-    rows = spark.createDataFrame([(k, t) for k, t, _ in _KINDS], "k int, t string")
-    return rows.select("k", text.block_type(F.col("t")).alias("kind"))
+    p = F.col("p_partkey")
+    kind = F.when(p % 9 == 8, F.col("p_brand")).otherwise(_pick(_KINDS, p % 9))
+    return table(spark, sf, "part").select(p.alias("k"), text.block_type(kind).alias("kind"))
 
 
 @query("X20 P13", with_ctes("SELECT key, author AS authors, CAST(2 AS INTEGER) AS n, upper(lang) || CAST(doc_id % 50 AS VARCHAR) AS line FROM items", ITEMS))
@@ -145,9 +162,9 @@ def bibliography(spark, sf):
     return exports.bibliography(items(spark, sf).where("item_type = 'journalArticle' AND source = 'src5'"))
 
 
-@query("P10 S21", "SELECT doc_id AS ref, 'journalArticle' AS item_type, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS n_fields, lang AS family FROM documents")
+@query("P10 S21", with_ctes("SELECT doc_id AS ref, 'journalArticle' AS item_type, md5(title) AS title, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS n_fields, lang AS family FROM items", ITEMS))
 def push_payloads(spark, sf):
-    d = table(spark, sf, "documents")
-    flat = d.select(F.col("doc_id").alias("ref"), F.lit(None).cast("string").alias("item_type"), F.substring("text", 1, 9).alias("title"), F.when(F.col("doc_id") % 2 == 0, "x").otherwise("").alias("DOI"), F.array(F.struct(F.lit(None).cast("string").alias("first_name"), F.col("lang").alias("last_name"), F.lit(None).cast("string").alias("creator_type"))).alias("creators"))
+    own = items(spark, sf)
+    flat = own.select(F.col("doc_id").alias("ref"), F.lit(None).cast("string").alias("item_type"), "title", F.when(F.col("doc_id") % 2 == 0, "x").otherwise("").alias("DOI"), F.array(F.struct(F.lit(None).cast("string").alias("first_name"), F.col("lang").alias("last_name"), F.lit(None).cast("string").alias("creator_type"))).alias("creators"))
     p = exports.push_payload(flat)
-    return p.select("ref", "item_type", F.size("fields").alias("n_fields"), F.get("creators", F.lit(0))["last_name"].alias("family"))
+    return p.select("ref", "item_type", F.md5(F.col("fields")["title"]).alias("title"), F.size("fields").alias("n_fields"), F.get("creators", F.lit(0))["last_name"].alias("family"))
