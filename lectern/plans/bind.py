@@ -15,7 +15,7 @@ def item_key(doc_id: Column) -> Column:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as items; labels with toxic = 1 as the trash."""
+    """documents as items, titled by the first line of their text; labels with toxic = 1 as the trash."""
     docs = table(spark, sf, "documents")
     toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("deleted", F.lit(True))
     d = F.col("doc_id")
@@ -30,7 +30,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
     tags = F.array(F.struct(F.col("lang").alias("tag"), F.lit(0).alias("type")), F.struct(F.col("source").alias("tag"), F.lit(1).alias("type")))
     pdf = d % 20 == 1
     return docs.join(toxic, "doc_id", "left").select(
-        item_key(d).alias("key"), kind.alias("item_type"), F.substring("text", 1, 60).alias("title"),
+        item_key(d).alias("key"), kind.alias("item_type"), F.substring_index("text", "\n", 1).alias("title"),
         (F.lit("2020-01-01").cast("date") + ((d * 7919) % 1000).cast("int")).alias("date_added"),
         (F.lit("2021-01-01").cast("date") + ((d * 104729) % 1000).cast("int")).alias("date_modified"),
         fields.alias("fields"), F.when(kind == "note", F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"))).alias("note"),
@@ -45,7 +45,7 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 ITEMS = """items AS (
   SELECT 'I' || lpad(CAST(d.doc_id AS VARCHAR), 8, '0') AS key, d.doc_id, d.text, d.lang, d.source,
     CASE d.doc_id % 10 WHEN 0 THEN 'note' WHEN 1 THEN 'attachment' WHEN 2 THEN 'book' ELSE 'journalArticle' END AS item_type,
-    substr(d.text, 1, 60) AS title,
+    split_part(d.text, chr(10), 1) AS title,
     CAST(DATE '2020-01-01' + CAST((d.doc_id * 7919) % 1000 AS INTEGER) AS DATE) AS date_added,
     CAST(DATE '2021-01-01' + CAST((d.doc_id * 104729) % 1000 AS INTEGER) AS DATE) AS date_modified,
     CASE WHEN d.doc_id % 4 = 0 THEN '10.1000/' || CAST(d.doc_id % 300 AS VARCHAR) ELSE '' END AS doi,

@@ -16,10 +16,9 @@ def collection_tree(spark, sf):
     return hierarchy.tree(collections(spark, sf)).select("key", "depth", "path")
 
 
-@query("T10 J7", with_ctes("SELECT key, name FROM collections WHERE name = (SELECT name FROM collections WHERE key = 'N9')", COLLECTIONS))
+@query("T10 J7", with_ctes("SELECT key, name FROM collections WHERE name = 'NATION_9'", COLLECTIONS))
 def tree_find(spark, sf):
-    own = collections(spark, sf)
-    return hierarchy.find_by_name(own, own.where("key = 'N9'").first()["name"]).select("key", "name")
+    return hierarchy.find_by_name(collections(spark, sf), "NATION_9").select("key", "name")
 
 
 _SETS = """RECURSIVE own AS (SELECT key, doi, title FROM items WHERE item_type NOT IN ('note', 'attachment')),

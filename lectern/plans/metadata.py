@@ -154,11 +154,9 @@ def resolve_collection(spark, sf):
     return lookups.resolve_collections(wanted, collections(spark, sf))
 
 
-@query("J8", with_ctes("SELECT DISTINCT i.key FROM items i JOIN members m ON m.item_key = i.key JOIN nation n ON m.collection_key = 'N' || CAST(n.n_nationkey AS VARCHAR) WHERE n.n_nationkey = 4 AND i.item_type NOT IN ('note', 'attachment') AND NOT i.deleted", ITEMS, MEMBERS))
+@query("J8", with_ctes("SELECT DISTINCT i.key FROM items i JOIN members m ON m.item_key = i.key JOIN nation n ON m.collection_key = 'N' || CAST(n.n_nationkey AS VARCHAR) WHERE n.n_name = 'NATION_4' AND i.item_type NOT IN ('note', 'attachment') AND NOT i.deleted", ITEMS, MEMBERS))
 def search_scope(spark, sf):
-    own = collections(spark, sf)
-    name = own.where("key = 'N4'").first()["name"]
-    return lookups.scope_items(items(spark, sf), members(spark, sf), own, collection=name).select("key")
+    return lookups.scope_items(items(spark, sf), members(spark, sf), collections(spark, sf), collection="NATION_4").select("key")
 
 
 @query("J9 W7", with_ctes("SELECT p.key, a.key AS attachment_key, coalesce(CASE WHEN a.doc_id % 20 = 1 THEN length(a.text) END, 0) AS total_chars FROM items p LEFT JOIN items a ON a.parent_key = p.key AND a.item_type = 'attachment' AND (a.path LIKE '%.pdf' OR a.content_type = 'application/pdf') WHERE p.parent_key IS NULL", ITEMS))
@@ -168,13 +166,12 @@ def first_pdf_text(spark, sf):
     return found.select("key", "attachment_key", "total_chars")
 
 
-@query("J10 M7 HS8", "SELECT DISTINCT p_partkey AS key, p_name FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem)")
+@query("J10 M7 HS8", "SELECT DISTINCT p_partkey AS key, p_name FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_orderkey = 0")
 def related_items(spark, sf):
     li = table(spark, sf, "lineitem")
     relations = li.select(F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("key_a"), F.col("l_partkey").alias("key_b"))
-    first = li.agg(F.min("l_orderkey")).first()[0]
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), "p_name")
-    return lookups.related(parts, relations, f"O{first}")
+    return lookups.related(parts, relations, "O0")
 
 
 @query("J11", "SELECT item_key, ordinal, length(t) AS n, vec_id FROM (SELECT source AS item_key, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal, text AS t FROM documents) a JOIN (SELECT 'src' || CAST(label AS VARCHAR) AS item_key, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ordinal, vec_id FROM embeddings) b USING (item_key, ordinal)")
@@ -186,7 +183,7 @@ def positional_zip(spark, sf):
     return lookups.zip_chunks(docs, vecs)
 
 
-@query("J16 F13", with_ctes("SELECT r.doc_id AS ref, coalesce(CASE WHEN r.doi <> '' THEN (SELECT min(key) FROM items x WHERE x.doi = r.doi) END, CASE WHEN length(r.title) >= 10 THEN (SELECT min(key) FROM items x WHERE x.title = r.title) END) AS dup_key FROM items r WHERE r.doc_id % 5 = 4", ITEMS))
+@query("J16 F13", with_ctes("SELECT r.doc_id AS ref, coalesce(doi_key, title_key) AS dup_key FROM items r LEFT JOIN by_doi USING (doi) LEFT JOIN by_title USING (title)", ITEMS, "by_doi AS (SELECT doi, min(key) AS doi_key FROM items WHERE doi <> '' GROUP BY doi)", "by_title AS (SELECT title, min(key) AS title_key FROM items WHERE length(title) >= 10 GROUP BY title)"))
 def dup_lookup(spark, sf):
     own = items(spark, sf)
     new = own.select(F.col("doc_id").alias("ref"), F.col("fields")["DOI"].alias("doi"), "title")

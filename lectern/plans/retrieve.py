@@ -29,7 +29,7 @@ def lexical_hits_meta(spark, sf):
     return found.agg(F.count("*").alias("hits"), F.count_distinct("item_key").alias("items"), F.max("score").alias("best"))
 
 
-@query("P5 X3 X4 X6 X21", with_ctes(f"SELECT i.key AS item_key, i.key AS chunk_id, {_SCORE} AS score, i.title, i.author AS authors, i.year, i.source AS venue, nullif(i.doi, '') AS doi, 'library://items/' || i.key AS uri FROM items i WHERE {_SCORE} > 0 AND item_type = 'book' ORDER BY score DESC, i.key LIMIT 20", ITEMS))
+@query("P5 X3 X4 X6 X21", with_ctes(f"SELECT i.key AS item_key, i.key AS chunk_id, {_SCORE} AS score, i.title, i.author AS authors, i.year, i.source AS venue, nullif(i.doi, '') AS doi, 'library://items/' || i.key AS uri FROM items i WHERE {_SCORE} > 0 ORDER BY score DESC, i.key LIMIT 20", ITEMS))
 def hit_rows(spark, sf):
     own = items(spark, sf)
     found = retrieval.lexical_hits(own.select(F.col("key").alias("item_key"), F.col("key").alias("chunk_id"), "text"), QUERY, limit=20)
@@ -69,7 +69,7 @@ def store_hits(spark, sf):
     return retrieval.rows_to_hits(rows, "q").select("item_key", F.array_join("authors", "|").alias("authors"), "venue", "section_heading", "chunk_id")
 
 
-@query("P7 K7 E22", "SELECT doc_id AS chunk_index, '**' || substr(text, 1, 20) || '** — ' || lang || ' [item:I' || CAST(doc_id AS VARCHAR) || '] (section: ' || source || ', score: ' || CAST(doc_id % 90 AS VARCHAR) || '.50)' || chr(10) || chr(10) || '> ' || substr(text, 1, 40) || chr(10) AS markdown FROM documents")
+@query("P7 K7 E22", "SELECT doc_id AS chunk_index, '**' || text || '** — ' || lang || ' [item:I' || CAST(doc_id AS VARCHAR) || '] (section: ' || source || ', score: ' || CAST(doc_id % 90 AS VARCHAR) || '.50)' || chr(10) || chr(10) || '> ' || text || chr(10) AS markdown FROM documents")
 def citations(spark, sf):
     d = table(spark, sf, "documents")
     rows = d.select(F.concat(F.lit("I"), F.col("doc_id").cast("string")).alias("item_key"), F.lit("a").alias("attachment_id"), F.col("text").alias("title"), F.col("lang").alias("authors"), F.col("source").alias("section"), F.col("doc_id").alias("chunk_index"), "text", (F.col("doc_id") % 90 + 0.5).alias("score"))
@@ -100,7 +100,9 @@ def artifact_rows(spark, sf):
     return retrieval.merge_artifact_rows(meta, own).select("doc_id", "title", "chunk_id")
 
 
-@query("X1 U7", "SELECT k, terms FROM (VALUES (0, 'alpha|beta|gamma'), (1, 'x'), (2, '; ,'), (3, '深度|学习|模型')) t(k, terms)")
+@query("X1 U7", """WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[\\s,;，；、]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS t, generate_subscripts(ws, 1) AS i FROM w), f AS (SELECT doc_id, t, min(i) AS i FROM t WHERE t <> '' GROUP BY doc_id, t)
+SELECT doc_id, coalesce(n, 1) AS n, md5(coalesce(terms, lower(text))) AS terms FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(t, '|' ORDER BY i) AS terms FROM f GROUP BY doc_id) USING (doc_id)""")
 def query_term_lists(spark, sf):
-    rows = spark.createDataFrame([(0, "Alpha, beta;Gamma alpha"), (1, "X"), (2, "; ,"), (3, "深度，学习；模型、 学习")], "k int, q string")
-    return rows.select("k", F.array_join(query_terms(F.col("q")), "|").alias("terms"))
+    rows = table(spark, sf, "documents").select("doc_id", query_terms(F.col("text")).alias("terms"))
+    return rows.select("doc_id", F.size("terms").cast("long").alias("n"), F.md5(F.array_join("terms", "|")).alias("terms"))

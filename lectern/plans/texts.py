@@ -10,16 +10,23 @@ from lectern.plans.query import registrar
 
 QUERIES, query = registrar()
 
-_FOLD = """WITH parts AS (SELECT doc_id, text, list_filter(string_split_regex(regexp_replace(text, '([。！？.!?\\n])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM documents),
-numbered AS (SELECT doc_id, length(text) AS n, p FROM parts),
-folded AS (SELECT doc_id, n, list_reduce(list_prepend({'done': CAST([] AS VARCHAR[]), 'now': '', 'n': 0, 'more': false}, list_transform(p, lambda x: {'done': CAST([] AS VARCHAR[]), 'now': x, 'n': length(x), 'more': true})),
-  lambda s, x: CASE WHEN s.more AND s.n + x.n > 512
-    THEN {'done': list_append(s.done, s.now), 'now': right(s.now, 64) || chr(10) || chr(10) || x.now, 'n': length(right(s.now, 64)) + x.n, 'more': true}
-    ELSE {'done': s.done, 'now': CASE WHEN s.more THEN s.now || chr(10) || chr(10) || x.now ELSE x.now END, 'n': s.n + x.n, 'more': true} END) AS f FROM numbered WHERE n > 512 AND len(p) > 1),
-chunks AS (SELECT doc_id, unnest(list_append(f.done, f.now)) AS chunk, generate_subscripts(list_append(f.done, f.now), 1) - 1 AS i FROM folded)"""
 
 
-@query("T2 W4", _FOLD + " SELECT doc_id, i, md5(chunk) AS digest, length(chunk) AS n FROM chunks")
+def _split_sql(rows: str, keys: str, size: int = 512, overlap: int = 64) -> str:
+    """CTEs up to chunks (keys, i, chunk): the rows (keys, text) split as a body is: whole, or by paragraphs, sentences or strides."""
+    return f"""WITH parts AS (SELECT {keys}, text, length(text) AS n, string_split_regex(text, '\\n\\n+') AS paragraphs,
+  list_filter(string_split_regex(regexp_replace(text, '([。！？.!?\\n])', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS sentences FROM ({rows}) WHERE coalesce(text, '') <> ''),
+pieces AS (SELECT *, CASE WHEN n > {size} AND len(paragraphs) > 1 THEN paragraphs WHEN n > {size} AND len(sentences) > 1 THEN sentences END AS p FROM parts),
+folded AS (SELECT *, list_reduce(list_prepend({{'done': CAST([] AS VARCHAR[]), 'now': '', 'n': 0, 'more': false}}, list_transform(p, lambda x: {{'done': CAST([] AS VARCHAR[]), 'now': x, 'n': length(x), 'more': true}})),
+  lambda s, x: CASE WHEN s.more AND s.n + x.n > {size}
+    THEN {{'done': list_append(s.done, s.now), 'now': CASE WHEN s.now = '' THEN x.now ELSE right(s.now, {overlap}) || chr(10) || chr(10) || x.now END, 'n': length(right(s.now, {overlap})) + x.n, 'more': true}}
+    ELSE {{'done': s.done, 'now': CASE WHEN s.more THEN s.now || chr(10) || chr(10) || x.now ELSE x.now END, 'n': s.n + x.n, 'more': true}} END) AS f FROM pieces),
+listed AS (SELECT {keys}, CASE WHEN n <= {size} THEN [text] WHEN p IS NOT NULL THEN list_append(f.done, f.now)
+  ELSE list_transform(range(0, n, {size - overlap}), lambda k: substr(text, CAST(k + 1 AS BIGINT), {size})) END AS c FROM folded),
+chunks AS (SELECT {keys}, unnest(c) AS chunk, generate_subscripts(c, 1) - 1 AS i FROM listed)"""
+
+
+@query("T2 W4", _split_sql("SELECT doc_id, text FROM documents", "doc_id") + " SELECT doc_id, i, md5(chunk) AS digest, length(chunk) AS n FROM chunks")
 def chunk_sentences(spark, sf):
     own = table(spark, sf, "documents").select("doc_id", F.posexplode(chunks.split_text(F.col("text"), 512, 64)).alias("i", "chunk"))
     return own.select("doc_id", "i", F.md5("chunk").alias("digest"), F.length("chunk").alias("n"))
@@ -40,7 +47,10 @@ def sections(spark, sf):
     return rows.select("conv_id", "k", F.col("s.title").alias("title"), F.md5("s.body").alias("body"))
 
 
-@query("T4 W5 F16", f"WITH {_TURNS} SELECT conv_id, role AS section, CAST(k AS INTEGER) AS chunk_index, md5(text) AS digest FROM turns WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(length(text)) <= 512)")
+_BODIES = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations"
+
+
+@query("T4 W5 F16", _split_sql(_BODIES, "conv_id, k, role") + " SELECT conv_id, role AS section, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY k, i) - 1 AS INTEGER) AS chunk_index, md5(chunk) AS digest FROM chunks WHERE regexp_matches(chunk, '[^\\s]')")
 def chunk_text(spark, sf):
     rows = chunks.chunk_documents(markdown_docs(spark, sf), 512, 64)
     return rows.select("conv_id", "section", "chunk_index", F.md5("text").alias("digest"))
