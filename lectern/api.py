@@ -41,11 +41,11 @@ OUTSIDE = (
 
 
 def plain(x):
-    """A result as plain values: frames are collected up to the page cap."""
+    """A result as plain values; frames of more rows than the page cap are an error."""
     if isinstance(x, paging.Page):
         return x.envelope()
     if isinstance(x, DataFrame):
-        return [r.asDict(recursive=True) for r in x.limit(paging.MOST_ROWS).collect()]
+        return paging.rows_of(x)
     return x
 
 
@@ -239,10 +239,11 @@ class Library:
         return lookups.children(self._keys([parentKey]), self.t["items"], kind)
 
     def _attachments_get(self, key: str):
-        return self._one("items", key, item_type="attachment")
+        self._one("items", key, item_type="attachment")
+        return scans.attachment_rows(self.t["items"].where(F.col("key") == key))
 
     def _attachments_list(self, parentKey: str):
-        return self._children(parentKey, "attachment")
+        return scans.attachment_rows(self._children(parentKey, "attachment"))
 
     def _attachments_getFulltext(self, key: str):
         return scans.fulltext(self.t["items"].where((F.col("key") == key) & (F.col("item_type") == "attachment")), self.t["texts"])
@@ -274,7 +275,7 @@ class Library:
         return paging.page(filters.note_search(self.t["items"], query), ["key"], limit)
 
     def _annotations_list(self, parentKey: str):
-        return self.t["annotations"].where(F.col("parent_key") == parentKey)
+        return scans.annotation_rows(self.t["annotations"].where(F.col("parent_key") == parentKey))
 
     def _annotations_create(self, rows: list[dict]):
         self.t["annotations"] = mutations.create_annotations(self.t["annotations"], self.spark.createDataFrame(rows, ANNOTATION))

@@ -101,6 +101,12 @@ def has_pdf(items: DataFrame, attachments: DataFrame) -> DataFrame:
     return items.join(own, "key", "left").withColumn("has_pdf", F.coalesce("has_pdf", F.lit(False)))
 
 
+def missing_pdfs(items: DataFrame, attachments: DataFrame, limit: int = 0) -> DataFrame:
+    """Items without a PDF in key order; a limit above 0 stops at so many."""
+    missing = has_pdf(items, attachments).where(~F.col("has_pdf")).orderBy("key")
+    return missing.limit(limit) if limit > 0 else missing
+
+
 def with_ocr(items: DataFrame, children: DataFrame, artifacts: DataFrame) -> DataFrame:
     """items with has_ocr: a chunk artifact, or a note tagged ocr. artifacts: item_key."""
     notes = children.where((F.col("item_type") == "note") & F.exists("tags", lambda t: t["tag"] == "ocr")).select(F.col("parent_key").alias("key"))

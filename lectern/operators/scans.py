@@ -73,3 +73,15 @@ def first_per_group(df: DataFrame, group: str, order: list) -> DataFrame:
     from pyspark.sql import Window
 
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("__rn = 1").drop("__rn")
+
+
+def attachment_rows(attachments: DataFrame) -> DataFrame:
+    """key, parent_key, title, content_type, link_mode, path: empty values are null."""
+    return attachments.select("key", "parent_key", "title", F.nullif("content_type", F.lit("")).alias("content_type"), "link_mode", F.nullif("path", F.lit("")).alias("path"))
+
+
+def annotation_rows(annotations: DataFrame) -> DataFrame:
+    """key, parent_key, type, text, comment, color and position: missing texts are empty, the position is read as a variant (null without one)."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    position = F.when(F.coalesce("annotation_position", F.lit("")) != "", F.try_parse_json("annotation_position"))
+    return annotations.select("key", "parent_key", "annotation_type", text("annotation_text"), text("annotation_comment"), text("annotation_color"), position.alias("annotation_position"))
