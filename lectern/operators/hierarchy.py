@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_DEEP = 100
+def tree(collections: DataFrame, most_deep: int = 100) -> DataFrame:
+    """key, name, parent_key, depth, path (names), sort_path (keys): depth first by sort_path; an orphan is a root.
 
+    A tree deeper than most_deep is an error that says so, never a shorter tree. Collections that are their own ancestors, and
+    what hangs on them, are reached from no root: they come out with depth and paths null.
+    """
+    walked = _walk(collections, most_deep)
+    lost = collections.join(walked.select("key"), "key", "left_anti")
+    return walked.unionByName(lost.select("key", "name", "parent_key"), allowMissingColumns=True)
 
-def tree(collections: DataFrame) -> DataFrame:
-    """key, name, parent_key, depth, path (names), sort_path (keys): depth first by sort_path; an orphan is a root."""
+
+def _walk(collections: DataFrame, most_deep: int) -> DataFrame:
     spark = collections.sparkSession
     known = collections.select(F.col("key").alias("known"))
     rooted = collections.join(known, collections.parent_key == known.known, "left").select("key", "name", "parent_key", F.col("known").isNull().alias("is_root"))
     return spark.sql(
         f"""
-        WITH RECURSIVE walk (key, name, parent_key, depth, path, sort_path) MAX RECURSION LEVEL {MOST_DEEP} AS (
+        WITH RECURSIVE walk (key, name, parent_key, depth, path, sort_path) MAX RECURSION LEVEL {int(most_deep)} AS (
           SELECT key, name, parent_key, 0, name, key FROM {{rooted}} WHERE is_root
           UNION ALL
           SELECT c.key, c.name, c.parent_key, w.depth + 1, concat(w.path, '/', c.name), concat(w.sort_path, '/', c.key)
