@@ -8,9 +8,19 @@ from pyspark.sql import functions as F
 from lectern.errors import InvalidParams
 
 
-def upsert(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace stored ones with the same keys; running it again changes nothing."""
-    return store.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.dropDuplicates(keys))
+def one_per_key(rows: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """One row of each key: the last in the order, by default of the rows as JSON, so that repeats are settled alike in each run."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in rest])
+    best = rows.groupBy(*keys).agg(F.max_by(whole, F.to_json(whole) if order is None else order).alias("__row"))
+    return best.select(*[F.col(f"`{c}`") if c in keys else F.col(f"__row.`{c}`") for c in rows.columns])
+
+
+def upsert(store: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """New rows replace stored ones with the same keys (of several new ones the last in the order); running it again changes nothing."""
+    return store.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(one_per_key(new, keys, order))
 
 
 def clear_items(store: DataFrame, keys: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Incremental ingest with Structured Streaming: chunk files are upserted into a store by micro-batches.
 
-Each batch writes a new version of the store and then moves a pointer, so a batch that is run again leaves the same store.
+Each batch writes new versions of the buckets that it touches, so a batch that is run again leaves the same store.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lectern.operators.setops import upsert
+from lectern.operators.setops import one_per_key, upsert
 from lectern.schemas import CHUNK
 
 
@@ -17,27 +17,60 @@ def chunk_stream(spark: SparkSession, path: str, schema: str = CHUNK) -> DataFra
     return spark.readStream.schema(schema).json(path)
 
 
-def upsert_batches(stream: DataFrame, store: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Upsert each micro-batch into store/v=<batch>; the latest version is the store. Runs what is there, then stops."""
+def upsert_batches(stream: DataFrame, store: str, checkpoint: str, keys: list[str], buckets: int = 64) -> StreamingQuery:
+    """Upsert each micro-batch into the store. Runs what is there, then stops.
+
+    Keys are dealt to buckets; a batch writes store/v=<batch>/bucket=<b> for the buckets that it touches only. What two later
+    versions of a bucket have replaced is deleted. Of repeated keys in a batch the last row as JSON counts.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = latest(spark, store, below=number)
-        after = batch.dropDuplicates(keys) if before is None else upsert(before, batch, keys)
-        after.write.mode("overwrite").parquet(f"{store}/v={number}")
+        marked = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = sorted(r["bucket"] for r in marked.select("bucket").distinct().collect())
+        if not touched:
+            return
+        before = latest(spark, store, below=number, buckets=touched, keep_bucket=True)
+        after = one_per_key(marked, keys) if before is None else upsert(before, marked, keys)
+        after.repartition(len(touched), "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{store}/v={number}")
+        _drop_replaced(spark, store, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, store: str, below: int | None = None) -> DataFrame | None:
-    """The newest version of the store (below a batch number), None if there is none."""
+def _versions(spark: SparkSession, store: str) -> dict[int, list[int]]:
+    """The versions of each bucket, ascending; only those of finished writes."""
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    found: dict[int, list[int]] = {}
+    if fs.exists(path):
+        for v in fs.listStatus(path):
+            if v.getPath().getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(v.getPath(), "_SUCCESS")):
+                for b in fs.listStatus(v.getPath()):
+                    if (name := b.getPath().getName()).startswith("bucket="):
+                        found.setdefault(int(name[7:]), []).append(int(v.getPath().getName()[2:]))
+    return {b: sorted(v) for b, v in found.items()}
+
+
+def _drop_replaced(spark: SparkSession, store: str, number: int) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket, versions in _versions(spark, store).items():
+        for old in [v for v in versions if v <= number][:-2]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/v={old}/bucket={bucket}"), True)
+
+
+def latest(spark: SparkSession, store: str, below: int | None = None, buckets: list[int] | None = None, keep_bucket: bool = False) -> DataFrame | None:
+    """The store: of each bucket the newest version (below a batch number), None if there is none."""
+    found = {b: [v for v in own if below is None or v < below] for b, own in _versions(spark, store).items() if buckets is None or b in buckets}
+    paths = [f"{store}/v={own[-1]}/bucket={b}" for b, own in sorted(found.items()) if own]
+    if not paths:
         return None
-    found = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
-    found = [v for v in found if below is None or v < below]
-    return spark.read.parquet(f"{store}/v={max(found)}") if found else None
+    # the bucket's folder name isn't a column of its files, since versions differ
+    rows = spark.read.parquet(*paths)
+    if not keep_bucket:
+        return rows
+    return rows.withColumn("bucket", F.regexp_extract(F.col("_metadata.file_path"), r"/bucket=(\d+)/", 1).cast("int"))
 
 
 def stale_stream(chunks: DataFrame, stored: DataFrame) -> DataFrame:
