@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import Protocol
 
@@ -20,28 +22,36 @@ class Embedder(Protocol):
 
     def embed_documents(self, texts: list[str]) -> np.ndarray: ...
 
+    def embed_queries(self, texts: list[str]) -> np.ndarray: ...
+
     def embed_query(self, text: str) -> np.ndarray: ...
 
 
 class HashingEmbedder:
-    """Signed word counts in hashed cells, unit length; queries are marked by their role in the model name only."""
+    """Signed word weights in hashed cells, unit length. A document's word weighs 1 + ln(times), a query's word 1, however often it stands there."""
 
     def __init__(self, dim: int = 256):
         self.dim, self.model = dim, f"hashing-{dim}"
 
-    def embed_documents(self, texts: list[str]) -> np.ndarray:
+    def _embed(self, texts: list[str], weigh) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), np.float32)
         for row, text in zip(out, texts):
-            for word in (text or "").lower().split():
-                h = zlib.crc32(word.encode())
-                row[h % self.dim] += 1 if h >> 31 else -1
-            size = np.linalg.norm(row)
-            if size:
-                row /= size
+            cells = np.zeros(self.dim)
+            for word, times in Counter((text or "").lower().split()).items():
+                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+                cells[h % self.dim] += weigh(times) if h >> 31 else -weigh(times)
+            size = np.linalg.norm(cells)
+            row[:] = cells / size if size else cells
         return out
 
+    def embed_documents(self, texts: list[str]) -> np.ndarray:
+        return self._embed(texts, lambda n: 1 + math.log(n))
+
+    def embed_queries(self, texts: list[str]) -> np.ndarray:
+        return self._embed(texts, lambda n: 1.0)
+
     def embed_query(self, text: str) -> np.ndarray:
-        return self.embed_documents([text])[0]
+        return self.embed_queries([text])[0]
 
 
 EMBEDDERS = {"hashing": HashingEmbedder}
@@ -53,15 +63,18 @@ def create_embedder(provider: str, **options) -> Embedder:
     return EMBEDDERS[provider](**options)
 
 
-def with_vectors(chunks: DataFrame, provider: str = "hashing", text_col: str = "text", out_col: str = "vector", **options) -> DataFrame:
-    """chunks with vectors of their texts and the model's name. The embedder is made once a task."""
+def with_vectors(chunks: DataFrame, provider: str = "hashing", text_col: str = "text", out_col: str = "vector", role: str = "document", **options) -> DataFrame:
+    """chunks with vectors of their texts, as documents or as queries, and the model's name. The embedder is made once a task."""
     create_embedder(provider, **options)
+    if role not in ("document", "query"):
+        raise InvalidParams(f"unknown role: {role}")
     at, names = chunks.columns.index(text_col), [*chunks.columns, out_col, "model"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedder = create_embedder(provider, **options)
         for batch in batches:
-            vectors = embedder.embed_documents(batch.column(at).to_pylist())
+            texts = batch.column(at).to_pylist()
+            vectors = embedder.embed_documents(texts) if role == "document" else embedder.embed_queries(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(vectors), pa.list_(pa.float32())), pa.array([embedder.model] * batch.num_rows)], names=names)
 
     schema = T.StructType([*chunks.schema.fields, T.StructField(out_col, T.ArrayType(T.FloatType())), T.StructField("model", T.StringType())])

@@ -78,6 +78,11 @@ def hits_envelope(hits: DataFrame) -> dict:
     return {"hits": rows, "total": len(rows)}
 
 
+def hit_lines(hits: DataFrame) -> DataFrame:
+    """line: each hit as compact JSON with its columns by name; nulls are left out."""
+    return hits.select(F.to_json(F.struct(*sorted(hits.columns))).alias("line"))
+
+
 def table(rows: list[dict]) -> str:
     """Rows as a text table with the union of keys in first-seen order; JSON if a value is nested; null is empty."""
     if any(isinstance(v, (dict, list)) for r in rows for v in r.values()):

@@ -48,10 +48,12 @@ def subcollections(collections: DataFrame, key: str) -> DataFrame:
 def resolve_collections(wanted: DataFrame, collections: DataFrame) -> DataFrame:
     """For each reference in wanted (ref): ref, status (hit, ambiguous, missing), key of a hit, n candidates.
 
-    Exact name first, if exactly one has it; else all whose normalised name contains the normalised reference. The name table
-    of a library is joined by equality first; only references left over meet all names, broadcast by Spark if it fits.
+    Exact name first, if exactly one has it; else all whose normalised name contains the normalised reference. References
+    are joined to names by equality first. Those left over meet all names: a contains has no key to deal by, and the
+    references of a request are a stated query set, so this is names times references left over, in one pass.
     """
     names = collections.select("key", "name")
+    wanted = wanted.distinct()
     exact = wanted.join(names, wanted.ref == names.name).groupBy("ref").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
     rest = wanted.join(exact, "ref", "left_anti")
     fuzzy = rest.join(names, F.contains(normalized_name(F.col("name")), normalized_name(F.col("ref"))), "left")
@@ -71,10 +73,14 @@ def scope_items(items: DataFrame, members: DataFrame, collections: DataFrame, ke
     return own.join(inside.select(F.col("item_key").alias("key")), "key", "left_semi")
 
 
+def first_pdf(attachments: DataFrame) -> DataFrame:
+    """The first PDF of each parent, by key."""
+    return first_per_group(attachments.where(is_pdf(F.col("content_type"), F.col("path"))), "parent_key", ["key"])
+
+
 def first_pdf_text(items: DataFrame, attachments: DataFrame, texts: DataFrame) -> DataFrame:
     """key, attachment_key, content, indexed_chars, total_chars: of the first PDF; defaults without one."""
-    pdfs = first_per_group(attachments.where(is_pdf(F.col("content_type"), F.col("path"))), "parent_key", ["key"])
-    pdfs = pdfs.select(F.col("parent_key").alias("key"), F.col("key").alias("attachment_key"))
+    pdfs = first_pdf(attachments).select(F.col("parent_key").alias("key"), F.col("key").alias("attachment_key"))
     joined = items.select("key").join(pdfs, "key", "left").join(texts.withColumnRenamed("key", "attachment_key"), "attachment_key", "left")
     return joined.select("key", "attachment_key", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("indexed_chars", F.lit(0)).alias("indexed_chars"), F.coalesce("total_chars", F.lit(0)).alias("total_chars"))
 
@@ -118,6 +124,23 @@ def collection_keys(items: DataFrame, members: DataFrame, collections: DataFrame
     return items.join(own, "key", "left").withColumn("collection_keys", F.coalesce("collection_keys", F.array().cast("array<string>")))
 
 
-def changed_between(pages: DataFrame, order: list) -> DataFrame:
-    """Rows with the digest of the row before; for checks that pages move on."""
-    return pages.withColumn("before", F.lag("digest").over(Window.orderBy(*order)))
+def changed_between(pages: DataFrame, source: str, order: list) -> DataFrame:
+    """Rows (source, digest) with the digest of the source's page before; for checks that pages move on."""
+    return pages.withColumn("before", F.lag("digest").over(Window.partitionBy(source).orderBy(*order)))
+
+
+def require_id(spark: SparkSession, table: DataFrame, refs: list[str], what: str = "item", id_col: str = "id") -> DataFrame:
+    """Rows of references in the order given: a number written as numbers are is an id, anything else a key. The first without a row is an error."""
+    wanted = spark.createDataFrame([(k, int(r) if looks_like_id(r) else None, r) for k, r in enumerate(refs)], "pos int, ref_id long, ref string")
+    found = wanted.where("ref_id IS NOT NULL").join(table, F.col("ref_id") == F.col(id_col)).select("pos", "ref", *table.columns)
+    found = found.unionByName(wanted.where("ref_id IS NULL").join(table, F.col("ref") == F.col("key")).select("pos", "ref", *table.columns))
+    missing = wanted.join(found.select("pos").distinct(), "pos", "left_anti").orderBy("pos").first()
+    if missing:
+        raise NotFound(f"{what} not found: {missing['ref']}")
+    return found.orderBy("pos")
+
+
+def require_kind(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of that item type; a row of another one fails the query that reads it."""
+    wrong = F.concat(F.col("key"), F.lit(f" isn't of type {kind}"))
+    return rows.withColumn("item_type", F.when(F.col("item_type") == kind, F.col("item_type")).otherwise(F.raise_error(wrong).cast("string")))

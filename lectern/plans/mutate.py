@@ -133,7 +133,7 @@ def pending_items(spark, sf):
     return mutations.pending(own, table(spark, sf, "labels").select(F.col("doc_id").alias("key"))).select("doc_id")
 
 
-@query("V2 V3 V5 M17", "SELECT doc_id, 'hashing-32' AS model, CAST(32 AS INTEGER) AS dim FROM documents")
+@query("V5", "SELECT doc_id, 'hashing-32' AS model, CAST(32 AS INTEGER) AS dim FROM documents")
 def embed_chunks(spark, sf):
     own = with_vectors(table(spark, sf, "documents").select("doc_id", "text"), dim=32)
     return own.select("doc_id", "model", F.size("vector").alias("dim"))

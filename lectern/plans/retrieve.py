@@ -23,7 +23,7 @@ def lexical_hits(spark, sf):
     return retrieval.lexical_hits(chunks(spark, sf), QUERY).select("item_key", "chunk_id", "score")
 
 
-@query("W1 A11 A3", f"WITH {_SCORED} SELECT count(*) AS hits, count(DISTINCT item_key) AS items, max(score) AS best FROM (SELECT * FROM ranked WHERE r <= 1 ORDER BY score DESC, chunk_id LIMIT 50)")
+@query("W1 A3", f"WITH {_SCORED} SELECT count(*) AS hits, count(DISTINCT item_key) AS items, max(score) AS best FROM (SELECT * FROM ranked WHERE r <= 1 ORDER BY score DESC, chunk_id LIMIT 50)")
 def lexical_hits_meta(spark, sf):
     found = retrieval.lexical_hits(chunks(spark, sf), QUERY, per_item=1)
     return found.agg(F.count("*").alias("hits"), F.count_distinct("item_key").alias("items"), F.max("score").alias("best"))
@@ -58,7 +58,7 @@ def vector_topk_many(spark, sf):
     return retrieval.vector_hits_of(own, wanted, 3).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
-@query("P6 P12 J12", "SELECT 'I' || CAST(doc_id AS VARCHAR) AS item_key, 'Ana ' || lang || '|Bo' AS authors, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS venue, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE lang END AS section_heading, 'I' || CAST(doc_id AS VARCHAR) || ':c' || CAST(doc_id % 9 AS VARCHAR) AS chunk_id FROM documents")
+@query("P6", "SELECT 'I' || CAST(doc_id AS VARCHAR) AS item_key, 'Ana ' || lang || '|Bo' AS authors, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS venue, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE lang END AS section_heading, 'I' || CAST(doc_id AS VARCHAR) || ':c' || CAST(doc_id % 9 AS VARCHAR) AS chunk_id FROM documents")
 def store_hits(spark, sf):
     d = F.col("doc_id").cast("string")
     rows = table(spark, sf, "documents").select(

@@ -81,12 +81,12 @@ _STRUCTURED = f"""WITH {_TURNS}, b AS (
   UNION ALL SELECT conv_id, k, 2, 'paragraph', trim(text), role FROM turns)"""
 
 
-@query("T5 T7 F17 X16 X17 X18 X19", _STRUCTURED + " SELECT 'A' || CAST(conv_id AS VARCHAR) || ':p' || CAST(CASE WHEN k = 0 THEN 1 ELSE k END AS VARCHAR) || ':b' || CAST(j AS VARCHAR) AS block_id, type, CAST(CASE WHEN k = 0 THEN 1 ELSE k END AS INTEGER) AS page, section AS section_heading, md5(text) AS digest, 'weak' AS provenance_strength FROM b")
+@query("T5 T7 F17 X16 X17 X19", _STRUCTURED + " SELECT 'A' || CAST(conv_id AS VARCHAR) || ':p' || CAST(CASE WHEN k = 0 THEN 1 ELSE k END AS VARCHAR) || ':b' || CAST(j AS VARCHAR) AS block_id, type, CAST(CASE WHEN k = 0 THEN 1 ELSE k END AS INTEGER) AS page, section AS section_heading, md5(text) AS digest, 'weak' AS provenance_strength FROM b")
 def provider_blocks(spark, sf):
     return blocks.provider_blocks(_payloads(spark, sf)).select("block_id", "type", "page", "section_heading", F.md5("text").alias("digest"), "provenance_strength")
 
 
-@query("T8 A9 W2 P9", f"""WITH {_TURNS}, f AS (SELECT conv_id, list(struct_pack(role := role, text := trim(text)) ORDER BY k) AS t FROM turns GROUP BY conv_id), c AS (SELECT conv_id, unnest(t) AS x, generate_subscripts(t, 1) - 1 AS k FROM f)
+@query("T8", f"""WITH {_TURNS}, f AS (SELECT conv_id, list(struct_pack(role := role, text := trim(text)) ORDER BY k) AS t FROM turns GROUP BY conv_id), c AS (SELECT conv_id, unnest(t) AS x, generate_subscripts(t, 1) - 1 AS k FROM f)
 SELECT 'A' || CAST(conv_id AS VARCHAR) || ':c' || CAST(k AS VARCHAR) AS chunk_id, x.role AS section_heading, md5(x.text) AS digest, CAST(1 AS INTEGER) AS n_blocks, length(x.text) AS char_end FROM c""")
 def block_chunks(spark, sf):
     rows = blocks.chunk_blocks(blocks.provider_blocks(_payloads(spark, sf)), 1000)

@@ -1,19 +1,24 @@
 """Artifact files: JSONL of blocks and chunks, zip of raw provider payloads, NPZ of embeddings.
 
 Spark lists and reads the files (`binaryFile`, `json`); members are parsed in Arrow batches. NPZ files are read without pickle.
+Zip and NPZ files are written by the tasks that hold their items: a file is made under a name of its own attempt and then
+moved to its place, so a repeated task leaves the same files.
 """
 
 from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.errors import InvalidParams
 from lectern.functions.text import safe_key
@@ -34,6 +39,29 @@ def read_jsonl_with_errors(spark: SparkSession, path: str, schema: str) -> DataF
     return parsed.select("row", F.when(F.col("row._bad").isNotNull(), F.col("value")).alias("line"))
 
 
+def read_jsonl_located(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """path, line (counted over lines that aren't blank, from 1), row, error: for a line that can't be parsed row is null and error is its text.
+
+    Files are read whole, as their lines must be numbered: artifacts hold one item each.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    each = files.select("path", F.posexplode(lines).alias("line", "text"))
+    parsed = each.withColumn("row", F.from_json("text", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    bad = F.col("row._bad").isNotNull()
+    row = F.struct(*[F.col(f"row.`{f.name}`") for f in T.StructType.fromDDL(schema)])
+    return parsed.select("path", (F.col("line") + 1).alias("line"), F.when(~bad, row).alias("row"), F.when(bad, F.col("text")).alias("error"))
+
+
+def require_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows; the first line that can't be parsed is an error that names file and line."""
+    found = read_jsonl_located(spark, path, schema)
+    bad = found.where("error IS NOT NULL").orderBy("path", "line").first()
+    if bad:
+        raise InvalidParams(f"{bad['path']}, line {bad['line']}: {bad['error']}")
+    return found.select("row.*")
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, CHUNK)
 
@@ -42,15 +70,96 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, BLOCK)
 
 
-def write_jsonl(df: DataFrame, path: str, by_item: bool = False) -> None:
-    """JSON lines; by_item partitions by the file-safe item key."""
-    out = df.withColumn("item", safe_key(F.col("item_key"))).write.partitionBy("item") if by_item else df.write
-    out.mode("overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, by_item: bool = False) -> DataFrame:
+    """JSON lines with sorted keys; by_item partitions by the file-safe item key, each item in one file. Returns path and sha256 of the files."""
+    df = df.select(*sorted(df.columns))
+    if by_item:
+        own = df.withColumn("item", safe_key(F.col("item_key")))
+        own.repartition("item").write.partitionBy("item").mode("overwrite").json(path)
+    else:
+        df.write.mode("overwrite").json(path)
+    return file_digests(df.sparkSession, path, by_item)
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path inside it, for a local path or any URI that Arrow opens."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def put_file(folder: str, name: str, data: bytes) -> str:
+    """Write a file whole or not at all: under a name of its own, then moved to its place."""
+    store, path = file_system(folder.rstrip("/"))
+    store.create_dir(path, recursive=True)
+    draft = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(draft) as out:
+        out.write(data)
+    store.move(draft, f"{path}/{name}")
+    return f"{folder.rstrip('/')}/{name}"
+
+
+WRITTEN = "item_key string, path string, n_bytes long"
+
+
+def _written(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["item_key", "path", "n_bytes"])
+
+
+def file_key(item_key: str) -> str:
+    return item_key.replace("/", "_").replace("\\", "_")
+
+
+def write_npz(rows: DataFrame, folder: str) -> DataFrame:
+    """An NPZ file for each item of rows (item_key, ordinal, chunk_id, text_sha256, vector, model): item_key, path, n_bytes.
+
+    An item's vectors meet in one task, sorted, and a task holds one item at a time.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(own: list[dict]) -> tuple:
+            models = {r["model"] for r in own}
+            if len(models) > 1 or None in models:
+                raise InvalidParams(f"{own[0]['item_key']}: vectors need one model")
+            meta = [{"chunk_id": r["chunk_id"], "text_sha256": r["text_sha256"]} for r in own]
+            data = npz_bytes(np.array([r["vector"] for r in own], np.float32), meta, model=models.pop())
+            key = own[0]["item_key"]
+            return key, put_file(folder, file_key(key) + EMBEDDINGS, data), len(data)
+
+        own: list[dict] = []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if own and own[0]["item_key"] != row["item_key"]:
+                    out.append(done(own))
+                    own = []
+                own.append(row)
+            yield _written(out)
+        if own:
+            yield _written([done(own)])
+
+    wanted = rows.select("item_key", "ordinal", "chunk_id", "text_sha256", "vector", "model")
+    return wanted.repartition("item_key").sortWithinPartitions("item_key", "ordinal").mapInArrow(run, WRITTEN)
+
+
+def write_raw_zips(rows: DataFrame, folder: str) -> DataFrame:
+    """A zip for each row (item_key, provider, payload as JSON, files as a map of names to bytes): item_key, path, n_bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in range(batch.num_rows):
+                key, provider, payload, files = (c[row].as_py() for c in batch.columns)
+                data = raw_zip({"id": provider}, json.loads(payload), dict(files or []), {"item_key": key})
+                out.append((key, put_file(folder, file_key(key) + RAW, data), len(data)))
+            yield _written(out)
+
+    files = F.col("files") if "files" in rows.columns else F.lit(None).cast("map<string, binary>")
+    return rows.select("item_key", "provider", "payload", files.alias("files")).mapInArrow(run, WRITTEN)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
+def file_digests(spark: SparkSession, path: str, nested: bool = False) -> DataFrame:
     """path, sha256 of files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(nested).lower()).load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 def item_keys(spark: SparkSession, path: str, suffix: str) -> DataFrame:
