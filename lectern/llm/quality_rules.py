@@ -39,11 +39,21 @@ class LineRules:
     terminal: str = r"([.!?:;…。！？][\"'”’»)\]]*|[0-9][^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$"
     #: A boilerplate phrase fails a line of at most so many characters; in a longer line it is part of prose.
     max_boilerplate_chars: int = 160
+    #: English, French, German and Spanish; looked for in lower-cased lines.
     boilerplate: str = (
-        r"(?i)(all rights reserved|cookie (policy|settings|consent)|privacy policy|terms of (use|service)|enable javascript"
-        r"|^[\x20\x09-\x0D]*(licensed under|released under|this work is licensed|copyright (\(c\)|©|\d{4}))|lorem ipsum)"
+        r"(all rights reserved|cookie (policy|settings|consent)|privacy policy|terms of (use|service)|enable javascript"
+        r"|tous droits réservés|politique de (confidentialité|cookies)|conditions (générales|d.utilisation)|mentions légales"
+        r"|alle rechte vorbehalten|datenschutz(erklärung|hinweise)|cookie-(richtlinie|einstellungen)|allgemeine geschäftsbedingungen"
+        r"|todos los derechos reservados|política de (privacidad|cookies)|términos (y condiciones|de uso)|aviso legal"
+        r"|^[\x20\x09-\x0D]*(licensed under|released under|this work is licensed|copyright (\(c\)|©|[0-9]{4})"
+        r"|sous licence|lizenziert unter|publicado bajo licencia|licencia de uso)|lorem ipsum)"
+    )
+    navigation: str = (
+        r"^[\x20\x09-\x0D]*(home|menu|next|previous|prev|back to top|share|login|sign (in|up)|read more|skip to content"
+        r"|accueil|suivant|précédent|partager|se connecter|s.inscrire|lire la suite|haut de page"
+        r"|startseite|menü|weiter|zurück|teilen|anmelden|registrieren|mehr lesen|nach oben"
+        r"|inicio|menú|siguiente|anterior|compartir|iniciar sesión|registrarse|leer más|volver arriba)[\x20\x09-\x0D]*$"
     )
-    navigation: str = r"(?i)^[\x20\x09-\x0D]*(home|menu|next|previous|prev|back to top|share|login|sign (in|up)|read more|skip to content)[\x20\x09-\x0D]*$"
     #: A document is rejected when less than this percentage of its words is left.
     min_kept_percent: int = 50
 
@@ -68,12 +78,12 @@ def _without(text: Column, pattern: str) -> Column:
 
 
 def _grams(hashes: Column) -> Column:
-    """64-bit mixes of each window of five hashes, by doubling; elements past the last whole window are null."""
+    """64-bit hashes of each window of five words, by doubling: every bit of every word's hash counts. Elements past the last whole window are wrong."""
     after = lambda a, k: F.slice(a, k + 1, F.size(a))
-    mix = lambda a, b, bits: F.zip_with(a, b, lambda x, y: F.shiftleft(x, bits).bitwiseXOR(y))
-    pair = lambda h: mix(h, after(h, 1), 5)
-    four = lambda p: mix(p, after(p, 2), 10)
-    return _let(hashes, lambda h: mix(_let(pair(h), four), after(h, 4), 5))
+    mix = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+    pair = lambda h: mix(h, after(h, 1))
+    four = lambda p: mix(p, after(p, 2))
+    return _let(hashes, lambda h: mix(_let(pair(h), four), after(h, 4)))
 
 
 def _let(value: Column, body) -> Column:
@@ -144,7 +154,7 @@ def line_passes(line: Column, rules: LineRules = DEFAULT) -> Column:
         last_word(line).rlike(rules.terminal)
         & ~(odd & (symbols | separators | shouting))
         & ~(line.rlike("[|»›→]") & separators)
-        & ~(short & (line.rlike(rules.boilerplate) | line.rlike(rules.navigation)))
+        & ~(short & (F.lower(line).rlike(rules.boilerplate) | F.lower(line).rlike(rules.navigation)))
     )
 
 

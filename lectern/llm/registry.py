@@ -136,10 +136,10 @@ covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, {k})
 lines AS (SELECT doc_id, unnest(ls) AS x FROM w),
 judged AS (
   SELECT doc_id, x, {has_word("x")} AS filled, NOT {has_word("x")} OR (
-    regexp_matches(right(x, 12), {q(R.terminal)})
+    regexp_matches(regexp_extract(rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[^ ' || chr(9) || ']*$'), {q(R.terminal)})
     AND NOT ({count("x", SYMBOLS)} > {R.max_symbol_share} * length(x) OR {count("x", "[|»›→]+")} > {R.max_separators}
       OR (length(x) >= {R.min_chars_for_case} AND {count("x", "[[:upper:]" + chr(92) + "p{Lu}]+")} > {R.max_upper_share} * length(x)))
-    AND NOT (length(x) <= {R.max_boilerplate_chars} AND (regexp_matches(x, {q(R.boilerplate)}) OR regexp_matches(x, {q(R.navigation)})))) AS passes FROM lines),
+    AND NOT (length(x) <= {R.max_boilerplate_chars} AND (regexp_matches(lower(x), {q(R.boilerplate)}) OR regexp_matches(lower(x), {q(R.navigation)})))) AS passes FROM lines),
 by_doc AS (SELECT doc_id, count(*) FILTER (WHERE filled) - count(DISTINCT x) FILTER (WHERE filled) AS dup, CAST(coalesce(sum(len({words("x")})) FILTER (WHERE passes), 0) AS BIGINT) AS kept_words FROM judged GROUP BY doc_id),
 metrics AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST({count("t", SYMBOLS)} AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines,
