@@ -90,10 +90,14 @@ def related(items: DataFrame, relations: DataFrame, key: str) -> DataFrame:
     return items.join(own, "key", "left_semi")
 
 
-def find_duplicates_of(new: DataFrame, items: DataFrame, least_title: int = 10) -> DataFrame:
-    """new (with ref, doi, title) with dup_key: by DOI, else by exact title of at least least_title characters."""
-    by_doi = items.where(F.col("fields")["DOI"] != "").groupBy(F.col("fields")["DOI"].alias("doi")).agg(F.min("key").alias("doi_key"))
-    by_title = items.where(F.length("title") >= least_title).groupBy("title").agg(F.min("key").alias("title_key"))
+def find_duplicates_of(new: DataFrame, items: DataFrame, least_title: int = 10, put=lambda df, name: df) -> DataFrame:
+    """new (with ref, doi, title) with dup_key: by DOI, else by exact title of at least least_title characters.
+
+    put(df, name) writes a frame and reads it back. With it the joins have a shuffle of their own on both sides, which adaptive
+    execution splits where one DOI or title holds many of the new rows.
+    """
+    by_doi = put(items.where(F.col("fields")["DOI"] != "").groupBy(F.col("fields")["DOI"].alias("doi")).agg(F.min("key").alias("doi_key")), "by_doi")
+    by_title = put(items.where(F.length("title") >= least_title).groupBy("title").agg(F.min("key").alias("title_key")), "by_title")
     return new.join(by_doi, "doi", "left").join(by_title, "title", "left").select(*new.columns, F.coalesce("doi_key", "title_key").alias("dup_key"))
 
 

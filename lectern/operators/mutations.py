@@ -49,14 +49,15 @@ def set_deleted(items: DataFrame, keys: DataFrame, deleted: bool) -> DataFrame:
     return marked.withColumn("deleted", F.when(F.col("__hit"), F.lit(deleted)).otherwise(F.col("deleted"))).select(*items.columns)
 
 
-def plan_push(new: DataFrame, items: DataFrame, on_duplicate: str = "skip", attachments: DataFrame | None = None) -> DataFrame:
+def plan_push(new: DataFrame, items: DataFrame, on_duplicate: str = "skip", attachments: DataFrame | None = None, put=lambda df, name: df) -> DataFrame:
     """new (ref, doi, title, ...) with dup_key, status (created, updated, skipped_duplicate), key and attach_pdf.
 
-    attach_pdf: a file was given (has_file) and the item it goes to has no PDF yet; updates leave files alone.
+    attach_pdf: a file was given (has_file) and the item it goes to has no PDF yet; updates leave files alone. put: see
+    find_duplicates_of.
     """
     if on_duplicate not in ("skip", "update", "create"):
         raise InvalidParams(f"unknown choice for duplicates: {on_duplicate}")
-    found = find_duplicates_of(new, items)
+    found = find_duplicates_of(new, items, put=put)
     if on_duplicate == "create":
         found = found.withColumn("dup_key", F.lit(None).cast("string"))
     status = F.when(F.col("dup_key").isNull(), "created").otherwise("updated" if on_duplicate == "update" else "skipped_duplicate")
@@ -69,10 +70,10 @@ def plan_push(new: DataFrame, items: DataFrame, on_duplicate: str = "skip", atta
     return out.join(pdfs, "key", "left").withColumn("attach_pdf", F.col("has_file") & F.col("__pdf").isNull() & (F.col("status") != "updated")).drop("__pdf")
 
 
-def push_items(items: DataFrame, members: DataFrame, new: DataFrame, on_duplicate: str = "skip", collection_key: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def push_items(items: DataFrame, members: DataFrame, new: DataFrame, on_duplicate: str = "skip", collection_key: str | None = None, put=lambda df, name: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, memberships, results) after pushing new (ref, doi, title, fields, ...). Empty fields aren't pushed; a skipped item is still put into the collection."""
     filled = new.withColumn("fields", F.map_filter("fields", lambda k, v: v.isNotNull() & (v != "")))
-    plan = plan_push(filled, items, on_duplicate)
+    plan = plan_push(filled, items, on_duplicate, put=put)
     fresh = plan.where("status = 'created'").select("key", "title", "fields", F.lit("journalArticle").alias("item_type"), F.lit(False).alias("deleted"))
     after = create_items(items, fresh)
     if on_duplicate == "update":

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import aggregates, filters, lookups, paging, scans
 from lectern.plans.bind import COLLECTIONS, ITEMS, MEMBERS, collections, item_key, items, members, table, texts, with_ctes
 from lectern.plans.query import registrar
+from lectern.plans.stages import Stages
 
 QUERIES, query = registrar()
 
@@ -187,7 +188,7 @@ def positional_zip(spark, sf):
 def dup_lookup(spark, sf):
     own = items(spark, sf)
     new = own.select(F.col("doc_id").alias("ref"), F.col("fields")["DOI"].alias("doi"), "title")
-    return lookups.find_duplicates_of(new, own).select("ref", "dup_key")
+    return lookups.find_duplicates_of(new, own, put=Stages(spark, "duplicates").put).select("ref", "dup_key")
 
 
 @query("J18 P14 P1", with_ctes("SELECT i.key, coalesce(string_agg(m.collection_key, ',' ORDER BY m.collection_key), '') AS collection_keys FROM items i LEFT JOIN members m ON m.item_key = i.key GROUP BY i.key", ITEMS, MEMBERS))

@@ -8,6 +8,7 @@ from lectern.functions.embed import with_vectors
 from lectern.operators import mutations, setops
 from lectern.plans.bind import COLLECTIONS, ITEMS, MEMBERS, collections, items, members, table, with_ctes
 from lectern.plans.query import registrar
+from lectern.plans.stages import Stages
 
 QUERIES, query = registrar()
 
@@ -51,18 +52,18 @@ found AS (SELECT n.ref, coalesce(doi_key, title_key) AS dup_key FROM new n LEFT
 @query("M5 J16", with_ctes("SELECT ref, CASE WHEN dup_key IS NULL THEN 'created' ELSE 'skipped_duplicate' END AS status, coalesce(dup_key, 'new-' || CAST(ref AS VARCHAR)) AS key, ref % 2 = 0 AND NOT EXISTS (SELECT 1 FROM items a WHERE a.parent_key = coalesce(dup_key, 'none') AND (a.path LIKE '%.pdf' OR a.content_type = 'application/pdf')) AS attach_pdf FROM found", ITEMS, _PLAN))
 def upsert_skip(spark, sf):
     own = items(spark, sf)
-    return mutations.plan_push(_new(spark, sf), own, "skip", own.where("item_type = 'attachment'")).select("ref", "status", "key", "attach_pdf")
+    return mutations.plan_push(_new(spark, sf), own, "skip", own.where("item_type = 'attachment'"), Stages(spark, "push").put).select("ref", "status", "key", "attach_pdf")
 
 
 @query("M5", with_ctes("SELECT i.key, i.doi, EXISTS (SELECT 1 FROM found f WHERE f.dup_key = i.key) AS touched FROM items i UNION ALL SELECT 'new-' || CAST(ref AS VARCHAR), '', true FROM found WHERE dup_key IS NULL", ITEMS, _PLAN))
 def upsert_update(spark, sf):
-    after, _, _ = mutations.push_items(items(spark, sf), members(spark, sf), _new(spark, sf), "update")
+    after, _, _ = mutations.push_items(items(spark, sf), members(spark, sf), _new(spark, sf), "update", put=Stages(spark, "push").put)
     return after.select("key", F.coalesce(F.col("fields")["DOI"], F.lit("")).alias("doi"), F.coalesce(F.col("fields")["abstractNote"] == "pushed", F.lit(False)).alias("touched"))
 
 
 @query("M5", with_ctes("SELECT ref, 'created' AS status, 'new-' || CAST(ref AS VARCHAR) AS key FROM found", ITEMS, _PLAN))
 def upsert_create(spark, sf):
-    return mutations.push_items(items(spark, sf), members(spark, sf), _new(spark, sf), "create")[2]
+    return mutations.push_items(items(spark, sf), members(spark, sf), _new(spark, sf), "create", put=Stages(spark, "push").put)[2]
 
 
 @query("U4 M11", with_ctes("SELECT key, CASE WHEN doc_id % 4 = 0 THEN source || ',hot' WHEN doc_id % 4 = 1 THEN lang || ',' || source ELSE lang || ',' || source END AS tags FROM items", ITEMS))
