@@ -75,6 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         with released(spark):
             docs = space.put(stage(spark, docs, sf_dir), f"{k}_{name}")
-        if k > 1:
+        if k:
             space.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs
