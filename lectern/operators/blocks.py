@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.folds import collecting_fold
 from lectern.functions.text import block_type, none_if_empty, trim
 
 BLOCK_JSON = "struct<type: string, text: string, content: string, markdown: string, caption: string, label: string, alt_text: string, image_ref: string, bbox: array<double>, confidence: double>"
@@ -99,7 +100,10 @@ def chunk_blocks(blocks: DataFrame, max_chars: int = 1000) -> DataFrame:
             F.when(heading, F.lit(0)).when(cut, size).otherwise(s["n"] + size).alias("n"),
         )
 
-    rows = own.select("attachment_key", F.posexplode(F.aggregate("bs", start, step, flushed)).alias("n", "c"))
+    def last(s: Column) -> Column:
+        return F.when(F.size(s["now"]) > 0, F.array(s["now"])).otherwise(F.array().cast(f"array<{kind}>"))
+
+    rows = own.select("attachment_key", F.posexplode(collecting_fold(F.col("bs"), start, step, last, f"array<{kind}>")).alias("n", "c"))
     pages = F.filter(F.transform("c", lambda b: b["page"]), lambda p: p.isNotNull())
     kinds = F.array_distinct(F.transform("c", lambda b: b["type"]))
     strengths = F.array_distinct(F.transform("c", lambda b: b["provenance_strength"]))

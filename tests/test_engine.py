@@ -268,3 +268,14 @@ def test_stream_rewrites_only_touched_buckets(spark, tmp_path):
     for p in buckets:
         kept.setdefault(p.name, []).append(int(re.search(r"v=(\d+)", str(p))[1]))
     assert len(kept) <= 8 and all(len(v) <= 2 for v in kept.values()) and any(min(v) == 0 for v in kept.values())
+
+
+def test_folds_over_many_blocks(spark):
+    from lectern.functions.folds import collecting_fold
+
+    start = F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).alias("n"))
+    step = lambda s, x: F.struct(F.when((s["n"] + x) % 3 == 0, F.concat(s["done"], F.array(s["n"] + x))).otherwise(s["done"]).alias("done"), (s["n"] + x).alias("n"))
+    for n in (0, 1, 6, 7, 8, 100):
+        got = spark.range(1).select(collecting_fold(F.slice(F.sequence(F.lit(1), F.lit(max(n, 1))), 1, F.lit(n)), start, step, lambda s: F.array(s["n"]), "array<int>", block=7).alias("x")).first().x
+        sums = [k * (k + 1) // 2 for k in range(1, n + 1)]
+        assert got == [s for s in sums if s % 3 == 0] + [sums[-1] if sums else 0]
