@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
-The encoder is a score-ordered agenda: symbols start as characters, every adjacent pair that forms a piece is put on a heap
+The encoder is a score-ordered agenda: symbols start as characters, every adjacent pair that forms a piece is put on the agenda
 by (score, position), and the best pair whose two symbols are still there is merged, which puts its new neighbours on the
-heap. Symbols that are no piece fall back to bytes.
+agenda. Symbols that are no piece fall back to bytes. Long texts have a heap as their agenda (`merge`); the many words of a
+batch have a matrix (`merge_words`): words of one length are its rows, their pairs' scores its entries, and in each round the
+best entry of every row, the leftmost of equals, is merged and its two neighbours are scored anew.
 
 A vocabulary in which the space mark stands only at the start of pieces (checked on loading) never merges over the border
 before a word, so a text's ids are those of its words; each new word goes through the agenda once, and in the same Arrow
@@ -22,8 +24,8 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +46,9 @@ class Agenda:
     #: Words are kept in two generations, so that frequent ones outlive the many that come once. A generation ends when its words
     #: and ids take so many bytes; an entry takes ENTRY_BYTES besides its characters and ids.
     MOST_BYTES = 40 << 20
-    ENTRY_BYTES = 330
+    ENTRY_BYTES = 190
+    #: Words up to so many characters go through a matrix, so many at a time.
+    MATRIX_CHARS, MATRIX_ROWS = 24, 1 << 15
 
     def __init__(self, path: str):
         import sentencepiece
@@ -64,9 +68,99 @@ class Agenda:
         self.byte = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == BYTE}
         self.unknown = next(k for k, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.by_word = self.prefix and not any(MARK in p.lstrip(MARK) for p in self.rank)
-        self.words: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.old: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.kind = "<u2" if len(model.pieces) <= 1 << 16 else "<u4"
+        self.decimal = [str(k) for k in range(len(model.pieces))]
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.size = self.differing = 0
+        self._pairs()
+
+    def _pairs(self) -> None:
+        """Numbers of symbols (characters and pieces) and, sorted by code, each pair of symbols that forms a piece with that piece."""
+        # number 0 is any character that no piece has
+        names = ["", *sorted({c for p in self.rank for c in p} | self.rank.keys())]
+        number = {s: k for k, s in enumerate(names)}
+        codes, made, scores = [], [], []
+        for p, (score, _) in self.rank.items():
+            for cut in range(1, len(p)):
+                a, b = number.get(p[:cut]), number.get(p[cut:])
+                if a is not None and b is not None:
+                    codes.append(a * len(names) + b)
+                    made.append(number[p])
+                    scores.append(score)
+        order = np.argsort(np.array(codes, np.int64), kind="stable")
+        self.n_symbols = len(names)
+        self.codes = np.array(codes, np.int64)[order]
+        self.made, self.scores = np.array(made, np.int64)[order], np.array(scores, np.float32)[order]
+        self.id_of = np.array([self.rank[s][1] if s in self.rank else -1 for s in names], np.int64)
+        points = {ord(s): k for k, s in enumerate(names) if len(s) == 1}
+        self.points, self.symbols = np.array(sorted(points), np.int64), np.array([points[c] for c in sorted(points)], np.int64)
+
+    def _score(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each pair of symbols (-inf where it forms no piece) and the piece's number."""
+        if not len(self.codes):
+            return np.full(left.shape, -np.inf, np.float32), np.zeros(left.shape, np.int64)
+        code = left * self.n_symbols + right
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        found = self.codes[at] == code
+        return np.where(found, self.scores[at], np.float32(-np.inf)), self.made[at]
+
+    def _rows(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of symbols of equal length, merged: (numbers of rows, their symbols), in groups of equal remaining length."""
+        rows = np.arange(len(symbols))
+        score, made = self._score(symbols[:, :-1], symbols[:, 1:])
+        while len(rows):
+            if symbols.shape[1] < 2:
+                yield rows, symbols
+                return
+            best = score.argmax(axis=1)
+            own = np.arange(len(rows))
+            live = score[own, best] > -np.inf
+            if not live.all():
+                yield rows[~live], symbols[~live]
+                rows, symbols, score, made, best = rows[live], symbols[live], score[live], made[live], best[live]
+                if not len(rows):
+                    return
+                own = np.arange(len(rows))
+            n = symbols.shape[1] - 1
+            behind = np.arange(n) + (np.arange(n) > best[:, None])
+            merged = np.take_along_axis(symbols, behind, axis=1)
+            merged[own, best] = made[own, best]
+            symbols = merged
+            # the merged pair's entry goes; the entries on its two sides are new pairs
+            keep = np.arange(n - 1) + (np.arange(n - 1) >= best[:, None])
+            score, made = np.take_along_axis(score, keep, axis=1), np.take_along_axis(made, keep, axis=1)
+            for at, inside in ((best - 1, best > 0), (best, best < n - 1)):
+                k, c = own[inside], at[inside]
+                score[k, c], made[k, c] = self._score(symbols[k, c], symbols[k, c + 1])
+
+    def merge_words(self, words: list[str]) -> list[bytes]:
+        """Ids of escaped words as numbers of `kind`."""
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        cuts = np.flatnonzero(np.diff(sizes[order], prepend=-1, append=-1))
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+            size = int(sizes[order[a]])
+            for at in range(a, b, self.MATRIX_ROWS):
+                own = order[at : min(b, at + self.MATRIX_ROWS)].tolist()
+                if not size:
+                    continue
+                if size > self.MATRIX_CHARS:
+                    for k in own:
+                        out[k] = np.array(self.merge(words[k]), self.kind).tobytes()
+                    continue
+                points = np.frombuffer("".join([words[k] for k in own]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64).reshape(-1, size)
+                place = np.minimum(np.searchsorted(self.points, points), max(len(self.points) - 1, 0))
+                symbols = np.where(self.points[place] == points, self.symbols[place], 0) if len(self.points) else np.zeros_like(points)
+                for rows, left in self._rows(symbols):
+                    ids = self.id_of[left]
+                    whole = (ids >= 0).all(axis=1)
+                    data, width = ids.astype(self.kind).tobytes(), ids.shape[1] * np.dtype(self.kind).itemsize
+                    for j, (k, plain) in enumerate(zip(rows.tolist(), whole.tolist())):
+                        # characters that are no piece fall back to bytes
+                        out[own[k]] = data[j * width : (j + 1) * width] if plain else np.array(self.merge(words[own[k]]), self.kind).tobytes()
+        return out
 
     def merge(self, text: str) -> list[int]:
         """Ids of an escaped text by the agenda."""
@@ -102,17 +196,17 @@ class Agenda:
 
     def _learn(self, words: list[str]) -> None:
         """Put words (without their first space mark) through the agenda and hold the ids against the library's."""
-        ids = [self.merge(self.escape(w) or MARK) for w in words]
+        found = self.merge_words([self.escape(w) or MARK for w in words])
         theirs = self.library.encode(words, num_threads=1)
-        for w, a, b in zip(words, ids, theirs):
-            if w and a != b:
+        for w, a, b in zip(words, found, theirs):
+            if w and np.frombuffer(a, self.kind).tolist() != b:
                 self.differing += 1
-                a = b
-            self._keep(w, (",".join(map(str, a)), tuple(a)))
+                a = np.array(b, self.kind).tobytes()
+            self._keep(w, a)
 
-    def _keep(self, word: str, found: tuple[str, tuple[int, ...]]) -> None:
-        self.words[word] = found
-        self.size += len(word) + 40 * len(found[1]) + self.ENTRY_BYTES
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.words[word] = ids
+        self.size += len(word) + len(ids) + self.ENTRY_BYTES
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -143,11 +237,11 @@ class Agenda:
                 else:
                     new.append(w)
             self._learn(new)
-            look = self.words.__getitem__
+            look, decimal = self.words.__getitem__, self.decimal
             out = []
             for words in cut:
-                found = [look(w) for w in words]
-                out.append((",".join([f[0] for f in found]), list(chain.from_iterable([f[1] for f in found]))))
+                ids = np.frombuffer(b"".join([look(w) for w in words]), self.kind).tolist()
+                out.append((",".join([decimal[i] for i in ids]), ids))
             held = out[:1]
         else:
             out = [(",".join(map(str, ids)), ids) for ids in (self.merge(self.escape(t)) for t in whole)]
