@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -92,6 +92,20 @@ def id_fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def least_hashes(rows: DataFrame, group: str, most: int, bits: int = 14) -> DataFrame:
+    """id and group: of rows (id, group), all different, the `most` ids of each group with the least hash.
+
+    Ids are counted by the leading bits of their hash (partial counts); buckets behind the one in which a group's count reaches
+    `most` go unranked, so that a group never meets in one task, however large it is.
+    """
+    rows = rows.select("id", group).withColumn("h", F.xxhash64("id")).withColumn("b", F.shiftright("h", 64 - bits))
+    counts = rows.groupBy(group, "b").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = counts.withColumn("before", before).where(F.col("before") < most).select(group, "b")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("h", "id"))
+    return rows.join(near, [group, "b"], "left_semi").withColumn("rank", rank).where(F.col("rank") <= most).select("id", group)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

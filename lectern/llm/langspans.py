@@ -25,10 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import id_fold, slices_of
+from lectern.llm.common import id_fold, least_hashes, slices_of
 
 #: Fixed values of the Unicode standard: first and last code point of the blocks of each script.
 SCRIPT_RANGES = {
@@ -224,24 +224,10 @@ class LangModel:
                 now[:n] = np.where(moved[here, now[:n]], best[here], now[:n])
 
 
-def least_hashes(rows: DataFrame, most: int, bits: int = 14) -> DataFrame:
-    """id, lang: of the rows (id, lang) the `most` different ids of each language with the least hash.
-
-    Ids are counted by the leading bits of their hash; buckets behind the one in which a language's count reaches `most` go
-    unranked.
-    """
-    rows = rows.select("id", "lang").distinct().withColumn("h", F.xxhash64("id")).withColumn("b", F.shiftright("h", 64 - bits))
-    counts = rows.groupBy("lang", "b").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = counts.withColumn("before", before).where(F.col("before") < most).select("lang", "b")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    return rows.join(near, ["lang", "b"], "left_semi").withColumn("rank", rank).where(F.col("rank") <= most).select("id", "lang")
-
-
 def learn(docs: DataFrame, learn_from, config: LangConfig = LangConfig(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """A model from the rows of docs for which the column learn_from(id) is true and the language is known."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(learn_from(F.col("id")) & F.col("lang").isNotNull() & F.col("id").isNotNull())
-    chosen = least_hashes(rows, config.max_docs).select("id", "lang")
+    chosen = least_hashes(rows.distinct(), "lang", config.max_docs)
     # at most max_docs narrow rows a language
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
     counts = texts.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counts(config), "lang string, cell long, n long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import id_fold
+from lectern.llm.common import id_fold, least_hashes
 
 N_FEATURES = 256 + 12
 SYMBOLS = b"#*$%&|<>{}[]\\^~_=@"
@@ -165,11 +165,11 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from, config: PuConfig = PuC
     """A model from the rows of docs for which the column learn_from(id) is true."""
     judged = labels.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("least"), F.max(label_col).alias("most"), F.lit(True).alias("judged"))
     ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & learn_from(F.col("id"))).distinct()
-    ids = ids.join(judged, "id", "left").withColumn("h", F.xxhash64("id"))
-    positive = ids.where((F.col("least") == 1) & (F.col("most") == 1)).orderBy("h", "id").limit(config.max_positive)
-    unlabelled = ids.where(F.col("judged").isNull()).orderBy("h", "id").limit(config.max_unlabelled)
+    ids = ids.join(judged, "id", "left")
+    positive = ids.where((F.col("least") == 1) & (F.col("most") == 1)).select("id", F.lit(True).alias("positive"))
+    unlabelled = ids.where(F.col("judged").isNull()).select("id", F.lit(False).alias("positive"))
     # at most max_positive + max_unlabelled narrow rows, each id once
-    chosen = positive.select("id", F.lit(True).alias("positive")).unionByName(unlabelled.select("id", F.lit(False).alias("positive")))
+    chosen = least_hashes(positive, "positive", config.max_positive).unionByName(least_hashes(unlabelled, "positive", config.max_unlabelled))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     kind = texts.schema["id"].dataType.simpleString()
     rows = texts.select("id", "positive", "text").mapInArrow(_feature_rows, f"id {kind}, positive boolean, x binary")

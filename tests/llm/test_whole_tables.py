@@ -130,7 +130,7 @@ def test_repeated_ids_are_learnt_from_once(spark):
         assert out.count() == len(rows) and seen[0][0] <= 30 and seen[0][1] <= 50
     finally:
         pulearn.fit = fitted
-    chosen = langspans.least_hashes(docs.where("lang = 'en'").select(F.col("doc_id").alias("id"), "lang"), 5).collect()
+    chosen = common.least_hashes(docs.where("lang = 'en'").select(F.col("doc_id").alias("id"), "lang").distinct(), "lang", 5).collect()
     assert sorted((r.id, r.lang) for r in chosen) == [(7, "en"), (107, "en")]
 
 
@@ -139,7 +139,7 @@ def test_sample_is_the_least_hashes(spark):
     df = spark.createDataFrame(rows, "id long, lang string").repartition(9)
     hashed = {r.id: r.h for r in df.select("id", F.xxhash64("id").alias("h")).distinct().collect()}
     got = {}
-    for r in langspans.least_hashes(df.where("id IS NOT NULL"), 70).collect():
+    for r in common.least_hashes(df.where("id IS NOT NULL").distinct(), "lang", 70).collect():
         got.setdefault(r.lang, set()).add(r.id)
     for lang in ("en", "de", "fr"):
         ids = {i for i, x in rows if x == lang and i is not None}
