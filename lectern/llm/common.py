@@ -92,11 +92,11 @@ def id_fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def least_hashes(rows: DataFrame, group: str, most: int, bits: int = 14) -> DataFrame:
+def least_hashes(rows: DataFrame, group: str, most: int, bits: int = 11) -> DataFrame:
     """id and group: of rows (id, group), all different, the `most` ids of each group with the least hash.
 
     Ids are counted by the leading bits of their hash (partial counts); buckets behind the one in which a group's count reaches
-    `most` go unranked, so that a group never meets in one task, however large it is.
+    `most` go unranked, so that a group never meets in one task: one task sees 2 ** bits counts, then `most` ids and a bucket more.
     """
     rows = rows.select("id", group).withColumn("h", F.xxhash64("id")).withColumn("b", F.shiftright("h", 64 - bits))
     counts = rows.groupBy(group, "b").agg(F.count("*").alias("n"))
