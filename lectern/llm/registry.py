@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm.common import read_table
 
@@ -76,6 +77,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def repeating_texts(docs: DataFrame) -> DataFrame:
+    """The documents of op11: where crc32 of the id is a multiple of ten, the words from word a on repeat those of one period.
+
+    With h the crc32, g = floor(h / 10) and n words: a = g % n, p = 1 + floor((n - a) / (3 + g % 8)); word i >= a becomes
+    word a + (i - a) % p. Other texts stay as they are. A null id counts as the empty text.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    copies = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.concat_ws(" ", F.slice(words, F.lit(1), a), F.slice(copies, F.lit(1), n - a))
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.tandem import periodic_runs, run_digests
+
+    return run_digests(periodic_runs(repeating_texts(read_table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sst_token_shards": op1_sst_token_shards,
     "op2_pu_quality": op2_pu_quality,
@@ -87,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_groups": op8_simhash_groups,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 OP5_SQL = """
