@@ -5,7 +5,8 @@ from __future__ import annotations
 import contextlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -119,3 +120,12 @@ def slices_of(batch: pa.RecordBatch, text_at: int | pa.Array, most_bytes: int) -
         stop = max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+
+
+def coded_words(texts: Iterable[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, pa.Array]:
+    """The words of each text (split at bytes 0x20 and 0x09-0x0D), offsets of the texts, a number for each word, and the different words."""
+    split = [t.split() if t else [] for t in texts]
+    at = np.zeros(len(split) + 1, np.int64)
+    np.cumsum([len(x) for x in split], out=at[1:])
+    coded = pa.array(list(chain.from_iterable(split)), pa.large_binary()).dictionary_encode()
+    return split, at, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary

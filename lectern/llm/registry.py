@@ -100,6 +100,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(repeating_texts(read_table(spark, sf_dir, "documents"))))
 
 
+def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.importance import importance_draw
+
+    drawn = importance_draw(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sst_token_shards": op1_sst_token_shards,
     "op2_pu_quality": op2_pu_quality,
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_importance_draw": op12_importance_draw,
 }
 
 OP5_SQL = """
@@ -174,4 +182,43 @@ SELECT *, NOT base_failed AND 100 * n_kept_words >= {R.min_kept_percent} * n_wor
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op5_poisson_mix": OP5_SQL, "op10_quality_rules": op10_sql()}
+def op12_sql() -> str:
+    """SQL has no crc32: the bytes of each different feature are folded with the table of the polynomial."""
+    from lectern.llm.importance import DrawRules
+
+    R = DrawRules()
+    runs = " UNION ALL ".join(f"SELECT id, unnest([array_to_string(ws[i:i + {k}], ' ') FOR i IN range(1, len(ws) - {k - 1})]) AS f FROM w" for k in range(R.max_run))
+    return f"""
+WITH RECURSIVE steps(c, k, x) AS (
+  SELECT c, 0, CAST(c AS BIGINT) FROM range(0, 256) AS r(c)
+  UNION ALL SELECT c, k + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END) FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(x ORDER BY c) AS t FROM steps WHERE k = 8
+), texts AS (
+  SELECT row_number() OVER () AS id, doc_id, text FROM documents
+  UNION ALL SELECT -row_number() OVER () AS id, NULL, text FROM benchmark
+), w AS (
+  SELECT id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM texts
+), features AS ({runs}
+), hexed AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)
+), hashed AS (
+  SELECT f, xor(list_reduce([CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) FOR i IN range(0, length(h) // 2)], lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % {R.buckets} AS bucket FROM hexed, crc
+), cells AS (
+  SELECT bucket, count(*) FILTER (WHERE id > 0) AS s, count(*) FILTER (WHERE id < 0) AS t FROM features JOIN hashed USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (sum(s) OVER () + {R.buckets}) / CAST((s + 1) * (sum(t) OVER () + {R.buckets}) AS DOUBLE)))) AS BIGINT) AS gain FROM cells
+), sums AS (
+  SELECT id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM features JOIN hashed USING (f) JOIN gains USING (bucket) WHERE id > 0 GROUP BY id
+), scored AS (
+  SELECT w.id, doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{R.seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN sums USING (id) WHERE w.id > 0
+), ranked AS (
+  SELECT id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= {R.min_words}
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {R.percent} * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (id)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_poisson_mix": OP5_SQL, "op10_quality_rules": op10_sql(), "op12_importance_draw": op12_sql()}

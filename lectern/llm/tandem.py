@@ -29,14 +29,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, compress
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices_of
+from lectern.llm.common import coded_words, slices_of
 
 #: Texts of about so many bytes are searched together.
 SLICE_BYTES = 4 << 20
@@ -56,15 +56,6 @@ class RunRules:
         return max(1, self.min_words - self.min_words // self.min_exponent)
 
 
-def coded_words(texts: Iterable[bytes | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The words of each text (split at bytes 0x20 and 0x09-0x0D), offsets of the texts, and a number for each word."""
-    split = [t.split() if t else [] for t in texts]
-    at = np.zeros(len(split) + 1, np.int64)
-    np.cumsum([len(x) for x in split], out=at[1:])
-    coded = pa.array(list(chain.from_iterable(split)), pa.large_binary()).dictionary_encode()
-    return split, at, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each window of so many words: a polynomial over mixed codes, put together from windows of powers of two."""
     x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -356,7 +347,7 @@ def _searched(rules: RunRules):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own in slices_of(batch, 1, SLICE_BYTES):
-                split, at, codes = coded_words(own.column(1).cast(pa.binary()).to_pylist())
+                split, at, codes, _ = coded_words(own.column(1).cast(pa.binary()).to_pylist())
                 first, length, period = runs_in_texts(codes, at, rules)
                 text = np.searchsorted(at, first, side="right") - 1
                 change = np.zeros(len(codes) + 1, np.int64)
