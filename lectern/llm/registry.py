@@ -107,6 +107,13 @@ def op12_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pii import learn, personal_data, span_digests
+
+    docs = read_table(spark, sf_dir, "documents")
+    return span_digests(personal_data(docs, learn(docs)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sst_token_shards": op1_sst_token_shards,
     "op2_pu_quality": op2_pu_quality,
@@ -120,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_importance_draw": op12_importance_draw,
+    "op13_personal_data": op13_personal_data,
 }
 
 OP5_SQL = """
