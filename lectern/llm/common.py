@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -45,7 +46,8 @@ class Workspace:
         files = at.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(at)
         files.deleteOnExit(at)
-        _LIVE.append(self.path)
+        if (own := _MADE.get()) is not None:
+            own.append(self.path)
 
     def put(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         at = f"{self.path}/{name}"
@@ -64,8 +66,8 @@ class Workspace:
         self.drop(*[x for x in dict.fromkeys(self.names) if x not in names])
 
 
-#: Folders of this process's workspaces.
-_LIVE: list[str] = []
+#: Folders of the workspaces made inside the innermost `released` of this context (each thread has its own).
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -75,12 +77,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
-    """On leaving, delete the folders of the workspaces made inside: what was read from them must have been written elsewhere."""
-    n = len(_LIVE)
-    yield
-    for path in _LIVE[n:]:
+    """On leaving, delete the folders of the workspaces that this thread made inside: what was read from them must have been written elsewhere.
+
+    Workspaces of other threads, and those made before, stay.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+    for path in made:
         _delete(spark, path)
-    del _LIVE[n:]
 
 
 def crc32_of_id(doc_id) -> int:
