@@ -77,13 +77,19 @@ def _without(text: Column, pattern: str) -> Column:
     return F.char_length(text) - F.char_length(F.regexp_replace(text, pattern, ""))
 
 
-def _grams(hashes: Column) -> Column:
-    """64-bit hashes of each window of five words, by doubling: every bit of every word's hash counts. Elements past the last whole window are wrong."""
+def _grams(hashes: Column, width: int) -> Column:
+    """64-bit hashes of each window of `width` words, put together from windows of powers of two: every bit of every word's hash counts.
+
+    Elements past the last whole window are wrong.
+    """
     after = lambda a, k: F.slice(a, k + 1, F.size(a))
     mix = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
-    pair = lambda h: mix(h, after(h, 1))
-    four = lambda p: mix(p, after(p, 2))
-    return _let(hashes, lambda h: mix(_let(pair(h), four), after(h, 4)))
+    if width == 1:
+        return hashes
+    half = 1 << (width.bit_length() - 1)
+    if half == width:
+        return _let(_grams(hashes, width // 2), lambda p: mix(p, after(p, width // 2)))
+    return _let(hashes, lambda h: mix(_grams(h, half), after(_grams(h, width - half), half)))
 
 
 def _let(value: Column, body) -> Column:
@@ -116,7 +122,7 @@ def with_metrics(df: DataFrame, text: str = "text", rules: LineRules = DEFAULT)
     df = df.withColumn("__qr_words", words_of(F.col("__qr_text")))
     n = F.size("__qr_words")
     hashes = F.transform("__qr_words", lambda w: F.xxhash64(w))
-    grams = F.slice(_grams(hashes), 1, F.greatest(n - k + 1, F.lit(0)))
+    grams = F.slice(_grams(hashes, k), 1, F.greatest(n - k + 1, F.lit(0)))
     lines = F.filter(F.split("__qr_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("__qr_grams", grams).withColumn("__qr_lines", lines)
     grams = F.col("__qr_grams")
