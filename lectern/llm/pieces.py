@@ -8,9 +8,9 @@ best entry of every row, the leftmost of equals, is merged and its two neighbour
 
 A vocabulary in which the space mark stands only at the start of pieces (checked on loading) never merges over the border
 before a word, so a text's ids are those of its words; each new word goes through the agenda once, and in the same Arrow
-batch its ids are compared with the sentencepiece library's. One whole text of each slice of a batch is compared too. Where
-they differ the library's ids count and `differing` says how often that was; the tests demand 0. Where the vocabulary
-lacks that property, whole texts go through the agenda and all are compared.
+batch its ids are compared with the sentencepiece library's. Where they differ the library's ids count and `differing` says how
+often that was; the tests demand 0. One whole text of each slice of a batch is compared too; a difference there is an error.
+Where the vocabulary lacks that property, or with by_word=False, whole texts go through the agenda and all are compared.
 
 One projection, no shuffle; memory holds a slice of an Arrow batch and a table of words of MOST_BYTES.
 
@@ -50,7 +50,7 @@ class Agenda:
     #: Words up to so many characters go through a matrix, so many at a time.
     MATRIX_CHARS, MATRIX_ROWS = 24, 1 << 15
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_word: bool = True):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -67,7 +67,7 @@ class Agenda:
         self.rank = {p.piece: (p.score, k) for k, p in enumerate(model.pieces) if p.type == NORMAL}
         self.byte = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == BYTE}
         self.unknown = next(k for k, p in enumerate(model.pieces) if p.type == UNKNOWN)
-        self.by_word = self.prefix and not any(MARK in p.lstrip(MARK) for p in self.rank)
+        self.by_word = by_word and self.prefix and not any(MARK in p.lstrip(MARK) for p in self.rank)
         self.kind = "<u2" if len(model.pieces) <= 1 << 16 else "<u4"
         self.decimal = [str(k) for k in range(len(model.pieces))]
         self.words: dict[str, bytes] = {}
@@ -249,9 +249,9 @@ class Agenda:
         for k, theirs in enumerate(self.library.encode(whole[: len(held)], num_threads=1)):
             if out[k][1] != theirs:
                 self.differing += 1
-                # a vocabulary whose words depend on their neighbours: whole texts from now on
-                self.by_word = False
-                return self.encode_batch(texts) if held is not out else self._theirs(whole)
+                if held is not out:
+                    raise ValueError("this model's ids of a text aren't those of its words: encode with by_word=False")
+                return self._theirs(whole)
         return out
 
     def _theirs(self, whole: list[str]) -> list[tuple[str, list[int]]]:
@@ -262,14 +262,14 @@ class Agenda:
 
 
 @functools.lru_cache(maxsize=2)
-def agenda_for(path: str) -> Agenda:
+def agenda_for(path: str, by_word: bool = True) -> Agenda:
     """One model a worker process: its words serve later tasks too."""
-    return Agenda(path)
+    return Agenda(path, by_word)
 
 
-def _mapped(path: str, make, names: list[str], types: list[pa.DataType]):
+def _mapped(path: str, by_word: bool, make, names: list[str], types: list[pa.DataType]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        agenda = agenda_for(path)
+        agenda = agenda_for(path, by_word)
         for batch in batches:
             for own in slices_of(batch, 1, SLICE_BYTES):
                 rows = [make(agenda, *x) for x in agenda.encode_batch(own.column(1).to_pylist())]
@@ -282,21 +282,21 @@ def _digest(agenda: Agenda, joined: str, ids: list[int]) -> tuple[int, str, str]
     return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(agenda.decode(ids).encode()).hexdigest()
 
 
-def encoded_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", by_word: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    run = _mapped(model, _digest, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()])
+    run = _mapped(model, by_word, _digest, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()])
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", "doc_id")
 
 
-def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", by_word: bool = True) -> DataFrame:
     """docs with its ids and the decoded text as two more columns; existing columns of those names are replaced."""
     keep = [c for c in docs.columns if c not in (ids_col, decoded_col)]
     fields = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     text_at = keep.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        agenda = agenda_for(model)
+        agenda = agenda_for(model, by_word)
         for batch in batches:
             for own in slices_of(batch, text_at, SLICE_BYTES):
                 rows = [ids for _, ids in agenda.encode_batch(own.column(text_at).to_pylist())]

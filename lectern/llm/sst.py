@@ -50,7 +50,7 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 FILTER = struct.Struct("<QQ")
 BLOCK_BYTES = 256 * 1024
 #: Texts are encoded in slices of about so many bytes.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
 #: A filter is closed at the end of the block in which it has so many keys.
@@ -244,8 +244,8 @@ class WordEncoder:
     With a plain byte-level pre-tokenizer (checked on loading) no pre-token runs over a space followed by a visible character, so
     a text's ids are those of its parts cut before such spaces. Each new part is encoded by the library once and then
     looked up. Texts in which an added token stands, and all texts under any other pre-tokenizer, normaliser or model, are
-    encoded whole by the library. One text of each slice is encoded whole as well; should it differ, words are given up and
-    the library encodes everything from that slice on.
+    encoded whole by the library. One text of each slice is encoded whole as well; should it differ, that is an error, and
+    by_word=False has the library encode every text whole.
 
     The words are kept in two generations, so that frequent ones outlive the many that come once. A generation ends when
     its words and ids take MOST_BYTES.
@@ -255,7 +255,7 @@ class WordEncoder:
     #: What an entry of a table takes besides its characters and ids.
     ENTRY_BYTES = 200
 
-    def __init__(self, path: str, id_bytes: int = 2):
+    def __init__(self, path: str, id_bytes: int = 2, by_word: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -268,7 +268,8 @@ class WordEncoder:
         before = made.get("pre_tokenizer") or {}
         added = made.get("added_tokens") or []
         self.by_word = (
-            before.get("type") == "ByteLevel"
+            by_word
+            and before.get("type") == "ByteLevel"
             and before.get("use_regex", True)
             and not before.get("add_prefix_space")
             and made.get("normalizer") is None
@@ -292,8 +293,7 @@ class WordEncoder:
             for k, ids in zip(own, by([whole[k] for k in own])):
                 out[k] = ids
         if plain and self._encode([whole[plain[0]]])[0] != out[plain[0]]:
-            self.by_word = False
-            return self._encode(whole)
+            raise ValueError("this tokenizer's ids of a text aren't those of its words: encode with by_word=False")
         return out
 
     def _look_up(self, words: list[str]) -> list[bytes]:
@@ -354,16 +354,16 @@ class WordEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder_for(path: str, id_bytes: int) -> WordEncoder:
+def encoder_for(path: str, id_bytes: int, by_word: bool) -> WordEncoder:
     """One encoder a worker process: its words serve later tasks too."""
-    return WordEncoder(path, id_bytes)
+    return WordEncoder(path, id_bytes, by_word)
 
 
-def _writer(out_dir: str, tokenizer: str, end_id: int, id_bytes: int):
+def _writer(out_dir: str, tokenizer: str, end_id: int, id_bytes: int, by_word: bool):
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, writer, stream = encoder_for(tokenizer, id_bytes), None, None
+        encoder, writer, stream = encoder_for(tokenizer, id_bytes, by_word), None, None
         part = TaskContext.get().partitionId()
         where = f"{out_dir}/shard-{part:06d}-{uuid.uuid4().hex}.sst"
         end = end_id.to_bytes(id_bytes, "little")
@@ -386,15 +386,15 @@ def _writer(out_dir: str, tokenizer: str, end_id: int, id_bytes: int):
     return write
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 2) -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 2, by_word: bool = True) -> DataFrame:
     """Write docs as shards in ascending id order into the shared folder; the manifest, one row a shard.
 
-    id_bytes is 2 for vocabularies of up to 65,536 ids, else 4.
+    id_bytes is 2 for vocabularies of up to 65,536 ids, else 4; by_word=False has the library encode every text whole.
     """
     space = Workspace(spark, "sst")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h")
-    return space.put(rows.select("id", "text").mapInArrow(_writer(f"{space.path}/shards", tokenizer, end_id, id_bytes), MANIFEST), "manifest")
+    return space.put(rows.select("id", "text").mapInArrow(_writer(f"{space.path}/shards", tokenizer, end_id, id_bytes, by_word), MANIFEST), "manifest")
 
 
 def _read_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
