@@ -153,7 +153,7 @@ WITH sizes AS (
 ), copies AS (
   SELECT id, unnest(range(0, CAST(n AS BIGINT))) AS copy FROM counted
 )
-SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, md5(name || '|' || CAST(copy AS VARCHAR)) AS mix_key
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS BIGINT) AS copy, md5(name || '|' || CAST(copy AS VARCHAR)) AS mix_key
 FROM named JOIN copies USING (id)
 """
 
