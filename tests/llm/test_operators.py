@@ -99,6 +99,31 @@ def components_brute(fps, ids):
     return [least.get(x) for x in root]
 
 
+def wide_groups_brute(texts, ids):
+    """Smallest id of each text's group by the wider relation: fingerprints over different words, and over shingles."""
+    import xxhash
+
+    shingles, fps = simhash_brute(texts), []
+    for t, few in zip(texts, shingles):
+        words = set(re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())))
+        hs = [xxhash.xxh64_intdigest(w, 42) for w in words]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if len(words) >= 16 else few)
+    second = {}
+    for f, x in zip(fps, shingles):
+        second[f] = min(second.get(f, x), x, key=simhash._signed)
+    root = {f: f for f in second}
+    for a in second:
+        for b in second:
+            if root[a] != root[b] and (a ^ b).bit_count() <= 6 and (second[a] ^ second[b]).bit_count() <= 16:
+                old, new = root[a], root[b]
+                root = {f: new if x == old else x for f, x in root.items()}
+    least = {}
+    for f, d in zip(fps, ids):
+        if d is not None:
+            least[root[f]] = min(least.get(root[f], d), d)
+    return [least.get(root[f]) for f in fps]
+
+
 def test_simhash(spark, docs):
     rows = [r for r in docs.select("doc_id", "text").collect() if r.text is None or len(r.text) < 5000]
     own = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -107,6 +132,8 @@ def test_simhash(spark, docs):
     assert Counter(tuple(r) for r in simhash.groups(spark, own).collect()) == want
     first = simhash.one_of_each(spark, docs)
     assert first.columns == docs.columns
+    every = docs.select("doc_id", "text").collect()
+    assert {r.doc_id for r in first.collect()} == set(wide_groups_brute([r.text for r in every], [r.doc_id for r in every]))
     assert simhash.groups(spark, docs.limit(0)).count() == 0 and simhash.one_of_each(spark, docs.limit(0)).count() == 0
 
 
@@ -136,6 +163,48 @@ def test_crowded_buckets_lose_nothing(spark):
     assert [got.index(g) for g in got] == [want.index(w) for w in want]
 
 
+def test_crowded_buckets_of_words_lose_nothing(spark):
+    from lectern.llm.components import components
+
+    r = random.Random(4)
+    fps = {}
+    for _ in range(3):
+        centre, other = r.getrandbits(64), r.getrandbits(64)
+        for _ in range(100):
+            fps[centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 7)))] = other ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 18)))
+    for _ in range(50):
+        fps[r.getrandbits(64)] = r.getrandbits(64)
+    frame = spark.createDataFrame([(simhash._signed(a), simhash._signed(b)) for a, b in fps.items()], "fp long, second long")
+    space = common.Workspace(spark, "test_links")
+    root = {row.node: row.root for row in components(space, simhash.word_links(space, frame, most_in_bucket=40)).collect()}
+    want = {f: f for f in fps}
+    for a in fps:
+        for b in fps:
+            if want[a] != want[b] and (a ^ b).bit_count() <= 6 and (fps[a] ^ fps[b]).bit_count() <= 16:
+                old, new = want[a], want[b]
+                want = {f: new if x == old else x for f, x in want.items()}
+    got = [root.get(simhash._signed(f), simhash._signed(f)) for f in fps]
+    want = list(want.values())
+    assert [got.index(g) for g in got] == [want.index(w) for w in want]
+
+
+@pytest.mark.parametrize("words, edits", [(300, 6), (80, 1)])
+def test_near_copies_are_found_and_others_stay(spark, words, edits):
+    """Copies with two words in a hundred replaced have a similarity of about 0.8 over five words."""
+    r = random.Random(words)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(4000)] + ["the", "of"] * 600
+    rows = []
+    for k in range(300):
+        text = r.choices(vocabulary, k=words)
+        rows.append((k, " ".join(text)))
+        if k % 2:
+            for at in r.sample(range(words), edits):
+                text[at] = r.choice(vocabulary)
+            rows.append((1000 + k, " ".join(text)))
+    kept = {x.doc_id for x in simhash.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(300)) <= kept and len(kept - set(range(300))) <= 15
+
+
 def test_pivots_discard_no_link():
     r = np.random.default_rng(0)
     fp = r.integers(0, 1 << 63, 200, dtype=np.uint64)

@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 from lectern.llm import quality_rules, registry
-from tests.llm.test_operators import components_brute, simhash_brute
+from tests.llm.test_operators import wide_groups_brute
 
 
 def docs_of(spark):
@@ -32,7 +32,7 @@ def test_stages(spark, tmp_path):
     report = {r.doc_id: r.kept for r in quality_rules.quality_report(spark.createDataFrame(before)).collect()}
     assert {r.doc_id for r in after} == {d for d, ok in report.items() if ok} and not {44, 45, 46, 47} & {r.doc_id for r in after} and len(after) >= 40
     before, after = kept["simhash_near_dedup"]
-    groups = components_brute(simhash_brute([r.text for r in before]), [r.doc_id for r in before])
+    groups = wide_groups_brute([r.text for r in before], [r.doc_id for r in before])
     assert Counter(r.doc_id for r in after) == Counter(set(groups)) and 40 not in {r.doc_id for r in after}
     before, after = kept["suffix_array_dedup"]
     data = {r.doc_id: r.text.encode() for r in before}
@@ -63,7 +63,8 @@ def test_sql_where_there_is_some(spark):
 
     data = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{data}/{table}.parquet')")
     for name, sql in registry.ORACLE_SQL.items():
         got = registry.QUERIES[name](spark, data)
         names = sorted(got.columns)
