@@ -18,9 +18,9 @@ is the component of that relation, found exactly:
 
 `groups` is that relation. `one_of_each` uses a wider one, `WORDS`, which finds near copies in which a few words in a hundred differ. Its
 fingerprints are over a text's different words (letters and digits, lower case); texts with equal ones are one class, and classes link when
-these differ in at most 6 bits and their smallest fingerprints over shingles in at most `SHINGLE_BITS`. A text of fewer
-than `FEW_WORDS` different words has the fingerprint over shingles for both. Eight blocks, of which two are whole for every linked
-pair, make 28 masks there; all else is the same, and the second fingerprints are compared for the survivors of the tables.
+these differ in at most 7 bits and their smallest fingerprints over shingles in at most `SHINGLE_BITS`. A text of fewer
+than `FEW_WORDS` different words has the fingerprint over shingles for both. Nine blocks, of which two are whole for every linked
+pair, make 36 masks there; all else is the same, and the second fingerprints are compared for the survivors of the tables.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; very long texts count whole; repeated rows
 are rows of their own in the same group; a null id keeps its row and never names a group unless all ids of a group are
@@ -75,7 +75,7 @@ SHINGLE_BITS = 16
 FEW_WORDS = 16
 #: Texts of about so many bytes are worked on together.
 SLICE_BYTES = 4 << 20
-WORDS = Relation(most=6, blocks=(8,) * 8, whole=2, most_second=SHINGLE_BITS)
+WORDS = Relation(most=7, blocks=(7,) * 8 + (8,), whole=2, most_second=SHINGLE_BITS)
 N_PIVOTS = 64
 #: For each byte value its eight bits, the high one first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)

@@ -114,7 +114,7 @@ def wide_groups_brute(texts, ids):
     root = {f: f for f in second}
     for a in second:
         for b in second:
-            if root[a] != root[b] and (a ^ b).bit_count() <= 6 and (second[a] ^ second[b]).bit_count() <= 16:
+            if root[a] != root[b] and (a ^ b).bit_count() <= 7 and (second[a] ^ second[b]).bit_count() <= 16:
                 old, new = root[a], root[b]
                 root = {f: new if x == old else x for f, x in root.items()}
     least = {}
@@ -180,7 +180,7 @@ def test_crowded_buckets_of_words_lose_nothing(spark):
     want = {f: f for f in fps}
     for a in fps:
         for b in fps:
-            if want[a] != want[b] and (a ^ b).bit_count() <= 6 and (fps[a] ^ fps[b]).bit_count() <= 16:
+            if want[a] != want[b] and (a ^ b).bit_count() <= 7 and (fps[a] ^ fps[b]).bit_count() <= 16:
                 old, new = want[a], want[b]
                 want = {f: new if x == old else x for f, x in want.items()}
     got = [root.get(simhash._signed(f), simhash._signed(f)) for f in fps]
