@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,78 +46,6 @@ def vector_hits(vectors: DataFrame, query: list[float], k: int = 10, per_item: i
     return scored.orderBy(*order).limit(k) if per_item is None else capped(scored, "item_key", order, per_item, k)
 
 
-#: Queries of one pass over all vectors, and of one matrix product.
-QUERY_BLOCK, PRODUCT_BLOCK = 1 << 14, 1 << 9
-
-
-def _units(column: pa.Array, dim: int | None) -> np.ndarray:
-    """Rows of unit length; a zero row stays zero."""
-    sizes = pc.list_value_length(column)
-    if len(column) and (column.null_count or pc.min(sizes).as_py() != pc.max(sizes).as_py() or dim not in (None, sizes[0].as_py())):
-        raise InvalidParams("vectors of another dimension")
-    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norms > 0, norms, 1)
-
-
-def _best(keys: list[np.ndarray], k: int) -> np.ndarray:
-    """Places of the k best of each query. keys: query, score, chunk id."""
-    query, score, chunk = keys
-    order = np.lexsort((chunk, -score, query))
-    starts = np.flatnonzero(np.concatenate([[True], query[order][1:] != query[order][:-1]])) if len(order) else np.zeros(0, np.int64)
-    rank = np.arange(len(order)) - np.repeat(starts, np.diff([*starts, len(order)]))
-    return order[rank < k]
-
-
-def _block_hits(units: np.ndarray, k: int):
-    """Top k of a task's vectors for each query of a block, by matrix products; rows (place of query, chunk_id, item_key, score)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            chunk, item = (np.array(c.to_pylist(), object) for c in batch.columns[:2])
-            rows = _units(batch.column(2), units.shape[1])
-            for at in range(0, len(units), PRODUCT_BLOCK):
-                scores = rows @ units[at : at + PRODUCT_BLOCK].T
-                least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.full(scores.shape[1], -2.0)
-                row, query = np.nonzero(scores >= least)
-                held.append([query + at, scores[row, query], chunk[row], item[row]])
-            cols = [np.concatenate(x) for x in zip(*held)]
-            own = _best(cols[:3], k)
-            held = [[c[own] for c in cols]]
-        if held:
-            query, score, chunk, item = held[0]
-            yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), pa.array(chunk, pa.string()), pa.array(item, pa.string()), pa.array(score)], names=["q", "chunk_id", "item_key", "score"])
-
-    return run
-
-
-def vector_hits_of(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
-    """The best k of all vectors for each row of queries (query_id, vector): query_id, chunk_id, item_key, score.
-
-    The stated query set is taken in blocks of about `block` rows; each block goes to the tasks as a matrix and meets all
-    vectors in one pass, where a task keeps its best k of each query, so only those are shuffled. Ties go to the smaller
-    chunk id, a zero vector scores 0.
-    """
-    wanted = queries.select("query_id", "vector")
-    n_blocks = max(1, -(-wanted.count() // block))
-    dealt = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-    rows = vectors.select("chunk_id", "item_key", "vector")
-    found = None
-    for b in range(n_blocks):
-        own = wanted.where(dealt == b).toArrow().combine_chunks() if n_blocks > 1 else wanted.toArrow().combine_chunks()
-        column = own.column("vector").combine_chunks() if own.num_rows else None
-        units = _units(column, None) if column is not None else np.zeros((0, 1))
-        names = vectors.sparkSession.createDataFrame(pa.table({"q": pa.array(range(own.num_rows), pa.int32()), "query_id": own.column("query_id")}))
-        best = rows.mapInArrow(_block_hits(units, k), "q int, chunk_id string, item_key string, score double") if own.num_rows else vectors.sparkSession.createDataFrame([], "q int, chunk_id string, item_key string, score double")
-        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "chunk_id"))
-        best = best.withColumn("rank", rank).where(F.col("rank") <= k).join(names, "q").select("query_id", "chunk_id", "item_key", "score")
-        found = best if found is None else found.unionByName(best)
-    return found
-
-
 def hits(rows: DataFrame, items: DataFrame, query: str) -> DataFrame:
     """Retrieval hits: the chunk's own values first, then the item's, then defaults; empty values are null."""
     names = F.transform("creators", creator_name)

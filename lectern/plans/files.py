@@ -10,7 +10,7 @@ from lectern.functions.embed import with_vectors
 from lectern.operators import aggregates, blocks, exports, filters, jobs, lookups, mutations, programs, retrieval, scans, setops
 from lectern.plans.bind import ITEMS, chunks, items, table, vectors, with_ctes
 from lectern.plans.query import registrar
-from lectern.plans.stages import Stages
+from lectern.stages import Stages
 from lectern.sources import artifacts, config, providers, stores
 
 QUERIES, query = registrar()

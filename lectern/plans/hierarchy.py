@@ -28,7 +28,7 @@ heads AS (SELECT a AS key, min(b) AS head FROM reach GROUP BY a)"""
 
 
 def _sets(spark, sf):
-    from lectern.plans.stages import Stages
+    from lectern.stages import Stages
 
     own = items(spark, sf).where(~F.col("item_type").isin("note", "attachment"))
     return own, aggregates.duplicate_sets(own, [F.col("fields")["DOI"], F.col("title")], Stages(spark, "dups").put)

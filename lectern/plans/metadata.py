@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.operators import aggregates, filters, lookups, paging, scans
 from lectern.plans.bind import COLLECTIONS, ITEMS, MEMBERS, collections, item_key, items, members, table, texts, with_ctes
 from lectern.plans.query import registrar
-from lectern.plans.stages import Stages
+from lectern.stages import Stages
 
 QUERIES, query = registrar()
 

@@ -8,7 +8,7 @@ from lectern.functions.embed import with_vectors
 from lectern.operators import mutations, setops
 from lectern.plans.bind import COLLECTIONS, ITEMS, MEMBERS, collections, items, members, table, with_ctes
 from lectern.plans.query import registrar
-from lectern.plans.stages import Stages
+from lectern.stages import Stages
 
 QUERIES, query = registrar()
 

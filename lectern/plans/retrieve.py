@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import query_terms
-from lectern.operators import retrieval
+from lectern.operators import retrieval, vectorsearch
 from lectern.plans.bind import ITEMS, chunks, item_key, items, table, vectors, with_ctes
 from lectern.plans.query import registrar
 
@@ -55,7 +55,7 @@ def vector_topk_capped(spark, sf):
 def vector_topk_many(spark, sf):
     own = vectors(spark, sf)
     wanted = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
-    return retrieval.vector_hits_of(own, wanted, 3).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
+    return vectorsearch.vector_hits_of(own, wanted, 3).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
 @query("P6", "SELECT 'I' || CAST(doc_id AS VARCHAR) AS item_key, 'Ana ' || lang || '|Bo' AS authors, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS venue, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE lang END AS section_heading, 'I' || CAST(doc_id AS VARCHAR) || ':c' || CAST(doc_id % 9 AS VARCHAR) AS chunk_id FROM documents")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lectern.errors import InvalidParams, NotFound, StaleArtifact
 from lectern.functions import files
 from lectern.functions.embed import HashingEmbedder, with_vectors
-from lectern.operators import chunks, hierarchy, jobs, lookups, paging, programs, retrieval, setops
+from lectern.operators import chunks, hierarchy, jobs, lookups, paging, programs, retrieval, setops, vectorsearch
 from lectern.sources import artifacts, config, providers, rpc, stores
 from lectern.streaming import ingest
 
@@ -71,8 +71,8 @@ def test_repeated_keys_are_settled_alike(spark):
         assert last == {k: 55 + k for k in range(5)}
 
 
-@pytest.mark.parametrize("block", [3, 1000])
-def test_many_queries_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block, broadcast_bytes, cell_queries", [(3, 1 << 20, 1000), (1000, 1 << 20, 1000), (3, 0, 1000), (3, 0, 5), (1000, 0, 1)])
+def test_many_queries_equal_brute_force(spark, block, broadcast_bytes, cell_queries):
     r = np.random.default_rng(2)
     own = r.integers(-2, 3, (300, 6)).astype(float)
     own[7] = own[9] = 0
@@ -85,13 +85,14 @@ def test_many_queries_equal_brute_force(spark, block):
         scores = [(-round(float(s), 9), c) for s, (c, _, _) in zip(unit @ unit[q], rows)]
         want[q] = sorted(scores)[:4]
     got = {}
-    for x in retrieval.vector_hits_of(vectors, queries, 4, block=block).collect():
-        got.setdefault(x.query_id, []).append((-round(x.score, 9), x.chunk_id))
-    # scores that are equal up to rounding may change places; what counts is that the scores are the best
-    assert {q: [s for s, _ in sorted(v)] for q, v in got.items()} == {q: [s for s, _ in v] for q, v in want.items()}
-    assert retrieval.vector_hits_of(vectors, queries.limit(0), 4).count() == 0
+    found = vectorsearch.vector_hits_of(vectors, queries, 4, block=block, broadcast_bytes=broadcast_bytes, cell_queries=cell_queries)
+    for x in found.collect():
+        got.setdefault(x.query_id, []).append((-round(x.score, 9) + 0.0, x.chunk_id))
+    assert {q: sorted(v) for q, v in got.items()} == {q: [(s + 0.0, c) for s, c in v] for q, v in want.items()}
+    assert ("SortMergeJoin" in found._jdf.queryExecution().toString()) == (not broadcast_bytes)
+    assert vectorsearch.vector_hits_of(vectors, queries.limit(0), 4).count() == 0
     with pytest.raises(Exception, match="dimension"):
-        retrieval.vector_hits_of(vectors, spark.createDataFrame([(1, [1.0])], "query_id int, vector array<double>")).collect()
+        vectorsearch.vector_hits_of(vectors, spark.createDataFrame([(1, [1.0])], "query_id int, vector array<double>")).collect()
 
 
 def test_row_programs(spark):
