@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.errors import InvalidParams
 from lectern.functions.names import creator_name
 from lectern.functions.text import normalized_name, year_of
+from lectern.operators.textindex import NgramIndex
 
 CORE = {"title": "title", "itemType": "item_type", "dateAdded": "date_added", "dateModified": "date_modified", "note": "note", "key": "key"}
 #: Operators of a condition.
@@ -58,14 +59,25 @@ def advanced(items: DataFrame, conditions: Iterable[Mapping[str, str]], join: st
     return own.where(reduce((lambda a, b: a & b) if join == "and" else (lambda a, b: a | b), parts)) if parts else own
 
 
-def quick_search(items: DataFrame, query: str) -> DataFrame:
-    """Title, a creator or the year contains the query."""
+def quick_search(items: DataFrame, query: str, index: NgramIndex | None = None) -> DataFrame:
+    """Title, a creator or the year contains the query; with an index of quick_values by looking it up."""
+    if index is not None:
+        return items.where(F.col("parent_key").isNull()).join(index.keys(query.lower()), "key", "left_semi")
     return advanced(items, [{"field": f, "op": "contains", "value": query} for f in ("title", "creator", "year")], "or")
 
 
-def fulltext_search(items: DataFrame, texts: DataFrame, query: str) -> DataFrame:
-    """Items with a text, of their own or of a child, that contains the query. texts: key, content, and parent_key where a child's."""
-    hits = texts.where(F.contains(F.lower("content"), F.lit(query.lower())))
+def quick_values(items: DataFrame) -> DataFrame:
+    """key, value: what quick_search looks in, in lower case, for an index."""
+    values = F.concat(F.array(field("title"), field("year")), field("creator"))
+    return items.select("key", F.explode(values).alias("value")).select("key", F.lower("value").alias("value"))
+
+
+def fulltext_search(items: DataFrame, texts: DataFrame, query: str, index: NgramIndex | None = None) -> DataFrame:
+    """Items with a text, of their own or of a child, that contains the query. texts: key, content, and parent_key where a child's.
+
+    index, if given, is one of the texts' keys and lower-case contents.
+    """
+    hits = texts.where(F.contains(F.lower("content"), F.lit(query.lower()))) if index is None else texts.join(index.keys(query.lower()), "key", "left_semi")
     return items.join(hits.select(F.coalesce("parent_key", "key").alias("key")), "key", "left_semi")
 
 
@@ -79,7 +91,10 @@ def by_identifier(items: DataFrame, doi: str | None = None, isbn: str | None = N
     return advanced(items, [{"field": k, "op": "is", "value": v} for k, v in wanted.items() if v])
 
 
-def note_search(items: DataFrame, query: str) -> DataFrame:
+def note_search(items: DataFrame, query: str, index: NgramIndex | None = None) -> DataFrame:
+    """Notes that contain the query. index, if given, is one of the notes' keys and lower-case texts."""
+    if index is not None:
+        return items.where(F.col("item_type") == "note").join(index.keys(query.lower()), "key", "left_semi")
     return items.where((F.col("item_type") == "note") & F.contains(F.lower("note"), F.lit(query.lower())))
 
 

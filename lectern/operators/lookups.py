@@ -9,6 +9,7 @@ from lectern.errors import InvalidParams, NotFound
 from lectern.functions.text import normalized_name
 from lectern.operators.filters import is_pdf
 from lectern.operators.scans import CHILD_TYPES, first_per_group, live
+from lectern.operators.textindex import NgramIndex
 
 
 def looks_like_id(text: str) -> bool:
@@ -45,18 +46,28 @@ def subcollections(collections: DataFrame, key: str) -> DataFrame:
     return collections.where(F.col("parent_key") == key)
 
 
-def resolve_collections(wanted: DataFrame, collections: DataFrame) -> DataFrame:
+#: Pairs of a reference and a name that are compared without an index.
+PAIRS = 1_000_000
+
+
+def resolve_collections(wanted: DataFrame, collections: DataFrame, index: NgramIndex | None = None, pairs: int = PAIRS) -> DataFrame:
     """For each reference in wanted (ref): ref, status (hit, ambiguous, missing), key of a hit, n candidates.
 
     Exact name first, if exactly one has it; else all whose normalised name contains the normalised reference. References
-    are joined to names by equality first. Those left over meet all names: a contains has no key to deal by, and the
-    references of a request are a stated query set, so this is names times references left over, in one pass.
+    are joined to names by equality first. Those left over are looked up in an index of keys and normalised names, which is
+    built here unless one is given or references times names are few.
     """
     names = collections.select("key", "name")
     wanted = wanted.distinct()
     exact = wanted.join(names, wanted.ref == names.name).groupBy("ref").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1")
     rest = wanted.join(exact, "ref", "left_anti")
-    fuzzy = rest.join(names, F.contains(normalized_name(F.col("name")), normalized_name(F.col("ref"))), "left")
+    if index is None and wanted.count() * names.count() > pairs:
+        index = NgramIndex.build(wanted.sparkSession, names.select("key", normalized_name(F.col("name")).alias("value")))
+    if index is None:
+        fuzzy = rest.join(names, F.contains(normalized_name(F.col("name")), normalized_name(F.col("ref"))), "left")
+    else:
+        rest = rest.withColumn("term", normalized_name(F.col("ref")))
+        fuzzy = rest.join(index.matches(rest.select("term")), "term", "left")
     fuzzy = fuzzy.groupBy("ref").agg(F.count("key").alias("n"), F.min("key").alias("key"))
     status = F.when(F.col("n") == 1, "hit").when(F.col("n") > 1, "ambiguous").otherwise("missing")
     return exact.unionByName(fuzzy).select("ref", status.alias("status"), F.when(F.col("n") == 1, F.col("key")).alias("key"), F.col("n").alias("candidates"))

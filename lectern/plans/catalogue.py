@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import files, hierarchy, metadata, mutate, retrieve, scalars, texts
+from lectern.plans import files, hierarchy, metadata, mutate, retrieve, scalars, search, texts
 from lectern.plans.query import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (retrieve, metadata, hierarchy, scalars, texts, mutate, files):
+for _module in (retrieve, search, metadata, hierarchy, scalars, texts, mutate, files):
     QUERIES |= _module.QUERIES
