@@ -116,6 +116,6 @@ class NgramIndex:
         rarest = needed.groupBy("term").agg(F.min(F.struct("n", "run", "bucket")).alias("x")).where("x.n > 0").select("term", "x.bucket", "x.run")
         ids = rarest.join(self.postings, ["bucket", "run"]).select("term", "id", _part(F.xxhash64("id"), self.parts).alias("part"))
         found = ids.join(self.entries, ["part", "id"]).where(F.contains("value", F.col("term"))).select("term", "key")
-        # the empty term, if it is asked for, is one row
-        every = self.entries.select("key").withColumn("term", F.lit("")).join(terms.where("term = ''"), "term", "left_semi").select("term", "key")
-        return found.unionByName(every).distinct()
+        if not terms.where("term = ''").isEmpty():
+            found = found.unionByName(self.entries.select(F.lit("").alias("term"), "key"))
+        return found.distinct()
