@@ -207,7 +207,7 @@ class Library:
         return lookups.subcollections(self.t["collections"], key)
 
     def _collections_tree(self):
-        return hierarchy.nested(hierarchy.tree(self.t["collections"]).orderBy("sort_path").collect())
+        return hierarchy.nested(paging.rows_of(hierarchy.tree(self.t["collections"]).orderBy("sort_path")))
 
     def _collections_create(self, key: str, name: str, parentKey: str | None = None):
         self.t["collections"] = mutations.create_collection(self.t["collections"], key, name, parentKey)

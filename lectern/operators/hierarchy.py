@@ -1,36 +1,43 @@
-"""The collection tree by recursive SQL."""
+"""The collection tree by pointer doubling."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def tree(collections: DataFrame, most_deep: int = 100) -> DataFrame:
+from lectern.errors import InvalidParams
+from lectern.stages import Stages
+
+
+def tree(collections: DataFrame, most_deep: int | None = None) -> DataFrame:
     """key, name, parent_key, depth, path (names), sort_path (keys): depth first by sort_path; an orphan is a root.
 
-    A tree deeper than most_deep is an error that says so, never a shorter tree. Collections that are their own ancestors, and
-    what hangs on them, are reached from no root: they come out with depth and paths null.
+    Every row points to an ancestor and knows the way from there; a round joins it with the row it points to, which doubles the
+    distance, so a tree of depth d takes log2(d) rounds whatever its number of rows. Each round is written to the shared folder.
+    Collections that are their own ancestors, and what hangs on them, point to no root however far: once a round settles no row they are all that
+    is left, and they come out with depth and paths null. A tree deeper than most_deep, if that is given, is an error.
     """
-    walked = _walk(collections, most_deep)
-    lost = collections.join(walked.select("key"), "key", "left_anti")
-    return walked.unionByName(lost.select("key", "name", "parent_key"), allowMissingColumns=True)
-
-
-def _walk(collections: DataFrame, most_deep: int) -> DataFrame:
-    spark = collections.sparkSession
-    known = collections.select(F.col("key").alias("known"))
-    rooted = collections.join(known, collections.parent_key == known.known, "left").select("key", "name", "parent_key", F.col("known").isNull().alias("is_root"))
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk (key, name, parent_key, depth, path, sort_path) MAX RECURSION LEVEL {int(most_deep)} AS (
-          SELECT key, name, parent_key, 0, name, key FROM {{rooted}} WHERE is_root
-          UNION ALL
-          SELECT c.key, c.name, c.parent_key, w.depth + 1, concat(w.path, '/', c.name), concat(w.sort_path, '/', c.key)
-          FROM walk w JOIN {{rooted}} c ON c.parent_key = w.key AND NOT c.is_root
-        ) SELECT * FROM walk
-        """,
-        rooted=rooted,
-    )
+    space = Stages(collections.sparkSession, "tree")
+    own = collections.select("key", "name", "parent_key")
+    known = own.select(F.col("key").alias("up")).distinct().withColumn("known", F.lit(True))
+    first = own.withColumn("up", F.col("parent_key")).join(known, "up", "left").withColumn("up", F.when(F.col("known"), F.col("up")))
+    now = space.put(first.select("key", "name", "parent_key", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), F.col("name").alias("path"), F.col("key").alias("sort_path")), "round_0")
+    open_rows, k = now.where("up IS NOT NULL").count(), 0
+    while open_rows:
+        k += 1
+        above = now.select(F.col("key").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("path").alias("before"), F.col("sort_path").alias("keys"))
+        moved = now.where("up IS NOT NULL").join(above, "up").select(
+            "key", "name", "parent_key", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("before", F.lit("/"), "path").alias("path"), F.concat("keys", F.lit("/"), "sort_path").alias("sort_path")
+        )
+        now = space.put(now.where("up IS NULL").unionByName(moved), f"round_{k}")
+        before, open_rows = open_rows, now.where("up IS NOT NULL").count()
+        if open_rows == before:
+            break
+    ends = F.col("up").isNull()
+    found = now.select("key", "name", "parent_key", *[F.when(ends, F.col(c)).alias(c) for c in ("depth", "path", "sort_path")])
+    if most_deep is not None and (found.agg(F.max("depth")).first()[0] or 0) > most_deep:
+        raise InvalidParams(f"the tree is deeper than {most_deep}")
+    return found
 
 
 def find_by_name(collections: DataFrame, name: str) -> DataFrame:

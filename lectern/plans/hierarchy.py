@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import aggregates, hierarchy
-from lectern.plans.bind import COLLECTIONS, ITEMS, collections, items, with_ctes
+from lectern.plans.bind import COLLECTIONS, ITEMS, collections, items, table, with_ctes
 from lectern.plans.query import registrar
 
 QUERIES, query = registrar()
@@ -16,6 +16,15 @@ def collection_tree(spark, sf):
     return hierarchy.tree(collections(spark, sf)).select("key", "depth", "path")
 
 
+_PARENT = "CASE WHEN doc_id % 50 > 0 THEN doc_id - 1 WHEN doc_id > 0 THEN doc_id - 50 END"
+
+
+@query("T9", f"WITH RECURSIVE own AS (SELECT doc_id, {_PARENT} AS parent, source FROM documents), walk AS (SELECT doc_id, 0 AS depth, source AS path, CAST(doc_id AS VARCHAR) AS keys FROM own WHERE parent IS NULL UNION ALL SELECT o.doc_id, w.depth + 1, w.path || '/' || o.source, w.keys || '/' || CAST(o.doc_id AS VARCHAR) FROM own o JOIN walk w ON o.parent = w.doc_id) SELECT CAST(doc_id AS VARCHAR) AS key, depth, md5(path) AS path, md5(keys) AS keys FROM walk")
+def deep_tree(spark, sf):
+    own = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("source").alias("name"), F.expr(_PARENT).cast("string").alias("parent_key"))
+    return hierarchy.tree(own).select("key", "depth", F.md5("path").alias("path"), F.md5("sort_path").alias("keys"))
+
+
 @query("T10 J7", with_ctes("SELECT key, name FROM collections WHERE name = 'NATION_9'", COLLECTIONS))
 def tree_find(spark, sf):
     return hierarchy.find_by_name(collections(spark, sf), "NATION_9").select("key", "name")

@@ -56,8 +56,36 @@ def test_trees_of_cycles_and_depth(spark):
     assert got == {"a": (0, "A"), "b": (1, "A/B"), "f": (0, "F"), "c": (None, None), "d": (None, None), "e": (None, None)}
     chain = spark.createDataFrame([(str(k), str(k), str(k - 1) if k else None) for k in range(30)], "key string, name string, parent_key string")
     assert hierarchy.tree(chain, most_deep=40).agg(F.max("depth")).first()[0] == 29
-    with pytest.raises(Exception, match="RECURSION"):
-        hierarchy.tree(chain, most_deep=10).collect()
+    with pytest.raises(InvalidParams, match="deeper than 10"):
+        hierarchy.tree(chain, most_deep=10)
+
+
+def test_trees_of_any_depth_and_size(spark):
+    """A chain of 5,000 levels, a cycle of 300, 200,000 children of one node, and no limit of rows."""
+    chain = spark.range(5000).select(F.col("id").cast("string").alias("key"), F.lit("x").alias("name"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_key"))
+    cycle = spark.range(300).select(F.concat(F.lit("c"), "id").alias("key"), F.lit("y").alias("name"), F.concat(F.lit("c"), (F.col("id") + 1) % 300).alias("parent_key"))
+    wide = spark.range(200_000).select(F.concat(F.lit("w"), "id").alias("key"), F.lit("z").alias("name"), F.lit("17").alias("parent_key"))
+    found = hierarchy.tree(chain.union(cycle).union(wide))
+    rows = {r.kind: (r.n, r.least, r.most, r.size) for r in found.groupBy(F.col("name").alias("kind")).agg(F.count("*").alias("n"), F.min("depth").alias("least"), F.max("depth").alias("most"), F.max(F.length("path")).alias("size")).collect()}
+    assert rows == {"x": (5000, 0, 4999, 9999), "y": (300, None, None, None), "z": (200_000, 18, 18, 37)}
+    assert found.where("key = '4'").first().sort_path == "0/1/2/3/4"
+
+
+def test_trees_equal_a_walk(spark):
+    r = random.Random(1)
+    parents = {f"k{k}": r.choice([None, "gone", *[f"k{j}" for j in range(60)]]) for k in range(60)}
+
+    def way(key):
+        out = [key]
+        while parents[out[0]] in parents:
+            if parents[out[0]] in out:
+                return None
+            out.insert(0, parents[out[0]])
+        return "/".join(out)
+
+    got = {x.key: x.sort_path for x in hierarchy.tree(spark.createDataFrame([(k, k, p) for k, p in parents.items()], "key string, name string, parent_key string")).collect()}
+    assert got == {k: way(k) for k in parents}
+    assert hierarchy.tree(spark.createDataFrame([], "key string, name string, parent_key string")).count() == 0
 
 
 def test_repeated_keys_are_settled_alike(spark):
