@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.folds import collecting_fold
 from lectern.functions.text import block_type, none_if_empty, trim
+from lectern.operators.ranks import positions, running, with_previous
+from lectern.stages import Stages
 
 BLOCK_JSON = "struct<type: string, text: string, content: string, markdown: string, caption: string, label: string, alt_text: string, image_ref: string, bbox: array<double>, confidence: double>"
 PAYLOAD = (
@@ -76,34 +80,42 @@ def provider_blocks(payloads: DataFrame) -> DataFrame:
     return structured.unionByName(markdown_blocks(rest.select("attachment_key", "item_key", "provider", markdown.alias("markdown")).where("markdown IS NOT NULL")))
 
 
+def _cut(max_chars: int):
+    """Rows (segment, at, size) sorted by segment and at: at, chunk (its number in the segment, from 0)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, chunk, filled = None, 0, 0
+        for batch in batches:
+            out = []
+            for own, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if own != segment:
+                    segment, chunk, filled = own, 0, size
+                elif filled + size > max_chars:
+                    chunk, filled = chunk + 1, size
+                else:
+                    filled += size
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.int64())], names=["at", "chunk"])
+
+    return run
+
+
 def chunk_blocks(blocks: DataFrame, max_chars: int = 1000) -> DataFrame:
     """Chunks of consecutive blocks of one section, at most max_chars (joins not counted; a longer block stands alone).
 
-    Headings end a chunk and belong to none. Blocks of one attachment are gathered and folded once: an attachment is a
-    document, so its size bounds the group.
+    Headings end a chunk and belong to none, so a chunk lies between two headings or changes of section. Such segments are numbered
+    over all rows at once, whatever attachment they are of; a task reads the sizes of a segment's blocks in order and keeps only
+    how full the chunk is. Chunks are then gathered (max_chars bounds them) and numbered in their attachment.
     """
     fields = ["block_id", "item_key", "type", "page", "bbox", "section_heading", "text", "caption", "image_ref", "provenance_strength"]
-    own = blocks.groupBy("attachment_key").agg(F.array_sort(F.collect_list(F.struct("reading_order", *fields))).alias("bs"))
-    kind = own.schema["bs"].dataType.simpleString()
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("now"), F.lit(0).alias("n"))
-
-    def flushed(s: Column) -> Column:
-        return F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
-
-    def step(s: Column, b: Column) -> Column:
-        size = F.length(b["text"])
-        cut = (F.size(s["now"]) > 0) & ((F.try_element_at(s["now"], F.lit(-1))["section_heading"] != b["section_heading"]) | (s["n"] + size > max_chars))
-        heading = b["type"] == "heading"
-        return F.struct(
-            F.when(heading | cut, flushed(s)).otherwise(s["done"]).alias("done"),
-            F.when(heading, F.array().cast(kind)).when(cut, F.array(b)).otherwise(F.concat(s["now"], F.array(b))).alias("now"),
-            F.when(heading, F.lit(0)).when(cut, size).otherwise(s["n"] + size).alias("n"),
-        )
-
-    def last(s: Column) -> Column:
-        return F.when(F.size(s["now"]) > 0, F.array(s["now"])).otherwise(F.array().cast(f"array<{kind}>"))
-
-    rows = own.select("attachment_key", F.posexplode(collecting_fold(F.col("bs"), start, step, last, f"array<{kind}>")).alias("n", "c"))
+    own = with_previous(blocks.select("attachment_key", "reading_order", *fields), ["attachment_key"], ["reading_order", "block_id"], {"__type": "type", "__section": "section_heading"})
+    fresh = F.col("__type").isNull() | (F.col("__type") == "heading") | ~F.col("section_heading").eqNullSafe(F.col("__section"))
+    space = Stages(blocks.sparkSession, "chunks")
+    split = space.put(running(own.withColumn("__fresh", fresh).drop("__type", "__section"), ["attachment_key", "reading_order", "block_id"], F.col("__fresh").cast("int"), "segment").drop("__fresh").where("type <> 'heading'").withColumn("at", F.monotonically_increasing_id()), "segments")
+    sizes = split.select("segment", "reading_order", "block_id", "at", F.length("text").alias("size")).repartition("segment").sortWithinPartitions("segment", "reading_order", "block_id")
+    cut = sizes.select("segment", "at", "size").mapInArrow(_cut(max_chars), "at long, chunk long")
+    chunks = split.join(cut, "at").groupBy("attachment_key", "segment", "chunk").agg(F.array_sort(F.collect_list(F.struct("reading_order", *fields))).alias("c"))
+    rows = positions(chunks, ["attachment_key"], ["segment", "chunk"], "n")
     pages = F.filter(F.transform("c", lambda b: b["page"]), lambda p: p.isNotNull())
     kinds = F.array_distinct(F.transform("c", lambda b: b["type"]))
     strengths = F.array_distinct(F.transform("c", lambda b: b["provenance_strength"]))

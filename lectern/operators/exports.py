@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.names import creator_name
 from lectern.functions.text import citation_key, venue_of, year_of
+from lectern.operators.ranks import numbered
 
 
 def _names(sep: str) -> Column:
@@ -56,15 +57,12 @@ def csl_json(items: DataFrame) -> DataFrame:
 
 
 def bibliography(items: DataFrame) -> DataFrame:
-    """n, key, entry: a numbered list in key order, in the manner of a numeric standard.
-
-    Numbers need one order over the list; the list is one request's items.
-    """
+    """n, key, entry: a numbered list in key order, in the manner of a numeric standard; of any length."""
     f = F.col("fields")
     kind = F.when(F.col("item_type") == "journalArticle", "[J]").otherwise("[Z]")
     body = F.concat(_names(", "), F.lit(". "), F.col("title"), kind, F.coalesce(F.concat(F.lit(". "), venue_of(f)), F.lit("")), F.coalesce(F.concat(F.lit(", "), year_of(f["date"]).cast("string")), F.lit("")), F.lit("."))
-    n = F.row_number().over(Window.orderBy("key"))
-    return items.select(n.alias("n"), "key", body.alias("__b")).select("n", "key", F.format_string("[%d] %s", "n", "__b").alias("entry"))
+    rows = numbered(items.select("key", body.alias("__b")), ["key"], "__n").withColumn("n", F.col("__n") + 1)
+    return rows.select("n", "key", F.format_string("[%d] %s", "n", "__b").alias("entry"))
 
 
 def export(entries: DataFrame, fmt: str, joiner: str = "\n\n") -> dict:

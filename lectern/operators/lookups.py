@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.errors import InvalidParams, NotFound
 from lectern.functions.text import normalized_name
 from lectern.operators.filters import is_pdf
+from lectern.operators.ranks import with_previous
 from lectern.operators.scans import CHILD_TYPES, first_per_group, live
 from lectern.operators.textindex import NgramIndex
 
@@ -139,9 +140,9 @@ def collection_keys(items: DataFrame, members: DataFrame, collections: DataFrame
     return items.join(own, "key", "left").withColumn("collection_keys", F.coalesce("collection_keys", F.array().cast("array<string>")))
 
 
-def changed_between(pages: DataFrame, source: str, order: list) -> DataFrame:
+def changed_between(pages: DataFrame, source: str, order: list[str]) -> DataFrame:
     """Rows (source, digest) with the digest of the source's page before; for checks that pages move on."""
-    return pages.withColumn("before", F.lag("digest").over(Window.partitionBy(source).orderBy(*order)))
+    return with_previous(pages, [source], order, {"before": "digest"})
 
 
 def require_id(spark: SparkSession, table: DataFrame, refs: list[str], what: str = "item", id_col: str = "id") -> DataFrame:

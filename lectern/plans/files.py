@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+
 from pyspark.sql import functions as F
 
 from lectern.functions import files
 from lectern.functions.embed import with_vectors
 from lectern.operators import aggregates, blocks, exports, filters, jobs, lookups, mutations, programs, retrieval, scans, setops
+from lectern.operators.ranks import positions
 from lectern.plans.bind import ITEMS, chunks, items, table, vectors, with_ctes
 from lectern.plans.query import registrar
 from lectern.stages import Stages
@@ -50,8 +51,8 @@ def store_documents(spark, sf):
 def _artifact_chunks(spark, sf):
     """documents as chunks of their source, in order; every seventh without a title of its own."""
     d = F.col("doc_id")
-    ordinal = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("ordinal")
-    return table(spark, sf, "documents").select(F.col("source").alias("item_key"), ordinal, F.col("doc_id").cast("string").alias("chunk_id"), "text", F.when(d % 7 != 0, F.col("lang")).alias("title"), F.when(d % 5 == 0, "own").alias("venue"), F.lit("h").alias("section_heading"), d.alias("doc_id"))
+    docs = positions(table(spark, sf, "documents"), ["source"], ["doc_id"], "ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
+    return docs.select(F.col("source").alias("item_key"), "ordinal", F.col("doc_id").cast("string").alias("chunk_id"), "text", F.when(d % 7 != 0, F.col("lang")).alias("title"), F.when(d % 5 == 0, "own").alias("venue"), F.lit("h").alias("section_heading"), d.alias("doc_id"))
 
 
 @query("S10 S11 S12 S14 S15 S16 K2 K3 U3 J11 J12 P12", "SELECT source AS item_key, CAST(doc_id AS VARCHAR) AS chunk_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS chunk_index, CASE WHEN doc_id % 7 <> 0 THEN lang ELSE 'of ' || source END AS title, CASE WHEN doc_id % 5 = 0 THEN 'own' ELSE 'venue' END AS venue, sha256(text) AS text_sha256, CAST(doc_id % 97 + 2 * (n_chars % 89) AS BIGINT) AS total FROM documents")

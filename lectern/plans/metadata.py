@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.operators import aggregates, filters, lookups, paging, scans
+from lectern.operators.ranks import positions
 from lectern.plans.bind import COLLECTIONS, ITEMS, MEMBERS, collections, item_key, items, members, table, texts, with_ctes
 from lectern.plans.query import registrar
 from lectern.stages import Stages
@@ -177,10 +178,9 @@ def related_items(spark, sf):
 
 @query("J11", "SELECT item_key, ordinal, length(t) AS n, vec_id FROM (SELECT source AS item_key, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal, text AS t FROM documents) a JOIN (SELECT 'src' || CAST(label AS VARCHAR) AS item_key, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS ordinal, vec_id FROM embeddings) b USING (item_key, ordinal)")
 def positional_zip(spark, sf):
-    from pyspark.sql import Window
-
-    docs = table(spark, sf, "documents").select(F.col("source").alias("item_key"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("ordinal"), F.length("text").alias("n"))
-    vecs = table(spark, sf, "embeddings").select(F.concat(F.lit("src"), F.col("label").cast("string")).alias("item_key"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("ordinal"), "vec_id")
+    docs = table(spark, sf, "documents").select(F.col("source").alias("item_key"), "doc_id", F.length("text").alias("n"))
+    vecs = table(spark, sf, "embeddings").select(F.concat(F.lit("src"), F.col("label").cast("string")).alias("item_key"), "vec_id")
+    docs, vecs = positions(docs, ["item_key"], ["doc_id"], "ordinal").drop("doc_id"), positions(vecs, ["item_key"], ["vec_id"], "ordinal")
     return lookups.zip_chunks(docs, vecs)
 
 

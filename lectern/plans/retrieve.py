@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import query_terms
 from lectern.operators import retrieval, vectorsearch
+from lectern.operators.ranks import positions
 from lectern.plans.bind import ITEMS, chunks, item_key, items, table, vectors, with_ctes
 from lectern.plans.query import registrar
 
@@ -82,7 +82,7 @@ def chunk_digests(spark, sf):
 
 
 def _ordinal(df):
-    return df.withColumn("ordinal", F.row_number().over(Window.partitionBy("item_key").orderBy("doc_id")) - 1)
+    return positions(df, ["item_key"], ["doc_id"], "ordinal")
 
 
 @query("J17 Q16 R3", "SELECT source AS item_key, bool_or(doc_id % 101 = 7) AS stale FROM documents GROUP BY source")

@@ -157,9 +157,9 @@ def export_csl(spark, sf):
     return e.select("key", read["type"].alias("kind"), read["year"].alias("year"), read["title"].alias("title"))
 
 
-@query("K10", with_ctes("SELECT n, key, '[' || CAST(n AS VARCHAR) || '] ' || author || '. ' || title || '[J]. ' || source || ', ' || CAST(year AS VARCHAR) || '.' AS entry FROM (SELECT row_number() OVER (ORDER BY key) AS n, * FROM items WHERE item_type = 'journalArticle' AND source = 'src5')", ITEMS))
+@query("K10", with_ctes("SELECT n, key, '[' || CAST(n AS VARCHAR) || '] ' || author || '. ' || title || CASE item_type WHEN 'journalArticle' THEN '[J]. ' ELSE '[Z]. ' END || source || ', ' || CAST(year AS VARCHAR) || '.' AS entry FROM (SELECT row_number() OVER (ORDER BY key) AS n, * FROM items)", ITEMS))
 def bibliography(spark, sf):
-    return exports.bibliography(items(spark, sf).where("item_type = 'journalArticle' AND source = 'src5'"))
+    return exports.bibliography(items(spark, sf))
 
 
 @query("P10 S21", with_ctes("SELECT doc_id AS ref, 'journalArticle' AS item_type, md5(title) AS title, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS n_fields, lang AS family FROM items", ITEMS))

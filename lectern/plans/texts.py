@@ -91,3 +91,24 @@ SELECT 'A' || CAST(conv_id AS VARCHAR) || ':c' || CAST(k AS VARCHAR) AS chunk_id
 def block_chunks(spark, sf):
     rows = blocks.chunk_blocks(blocks.provider_blocks(_payloads(spark, sf)), 1000)
     return rows.select("chunk_id", "section_heading", F.md5("text").alias("digest"), F.size("block_ids").alias("n_blocks"), "char_end")
+
+
+_LINES = """b AS (SELECT source, doc_id, CASE WHEN doc_id % 17 = 0 THEN 'heading' ELSE 'paragraph' END AS type, lang, substr('b' || md5(text), 1, CAST(1 + doc_id % 13 AS BIGINT)) AS t FROM documents),
+marked AS (SELECT *, type = 'heading' OR coalesce(lag(type) OVER w = 'heading' OR lag(lang) OVER w <> lang, true) AS fresh FROM b WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+segments AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY source ORDER BY doc_id) AS s FROM marked),
+listed AS (SELECT source, s, lang, list(t ORDER BY doc_id) AS ts FROM segments WHERE type <> 'heading' GROUP BY source, s, lang),
+folded AS (SELECT source, s, lang, list_reduce(list_prepend({'done': CAST([] AS VARCHAR[]), 'now': '', 'n': 0}, list_transform(ts, lambda t: {'done': CAST([] AS VARCHAR[]), 'now': t, 'n': length(t)})),
+  lambda a, x: CASE WHEN a.now = '' THEN {'done': a.done, 'now': x.now, 'n': x.n} WHEN a.n + x.n > 20 THEN {'done': list_append(a.done, a.now), 'now': x.now, 'n': x.n} ELSE {'done': a.done, 'now': a.now || chr(10) || chr(10) || x.now, 'n': a.n + x.n} END) AS f FROM listed),
+chunks AS (SELECT source, s, lang, unnest(list_append(f.done, f.now)) AS text, generate_subscripts(list_append(f.done, f.now), 1) AS k FROM folded)"""
+
+
+@query("T8 A9 W2", f"WITH {_LINES} SELECT source || ':c' || CAST(row_number() OVER (PARTITION BY source ORDER BY s, k) - 1 AS VARCHAR) AS chunk_id, lang AS section_heading, text FROM chunks")
+def cut_chunks(spark, sf):
+    """Every document as a short block of its source, cut at 20 characters: attachments as large as the sources."""
+    d = F.col("doc_id")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = table(spark, sf, "documents").select(
+        F.col("source").alias("attachment_key"), d.alias("reading_order"), d.cast("string").alias("block_id"), F.lit("I").alias("item_key"), F.when(d % 17 == 0, "heading").otherwise("paragraph").alias("type"), F.lit(1).alias("page"), none("array<double>").alias("bbox"),
+        F.col("lang").alias("section_heading"), F.substring(F.concat(F.lit("b"), F.md5("text")), F.lit(1), (1 + d % 13).cast("int")).alias("text"), none("string").alias("caption"), none("string").alias("image_ref"), F.lit("weak").alias("provenance_strength"),
+    )
+    return blocks.chunk_blocks(rows, 20).select("chunk_id", "section_heading", "text")
