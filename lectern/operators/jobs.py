@@ -25,8 +25,8 @@ REPORT = ["item_key", "status", "chunks"]
 def index_job(items: DataFrame, texts: DataFrame, store: DataFrame | None = None, provider: str = "hashing", size: int = 512, overlap: int = 64, rebuild: bool = False, put=lambda df, name: df, **options) -> tuple[DataFrame, DataFrame]:
     """(store, report) after indexing items (key, title, creators) with texts (key, text).
 
-    Items with rows in the store are skipped unless rebuild is set, which replaces their rows; items without text are
-    skipped too. put(df, name) writes a frame and reads it back: chunks are embedded once.
+    Items with rows in the store are skipped unless rebuild is set, which first clears the rows of all items asked for; items
+    without text are skipped too, so after a rebuild they have no rows. put(df, name) writes a frame and reads it back: chunks are embedded once.
     """
     done = store.select(F.col("item_key").alias("key")).distinct() if store is not None else items.select("key").limit(0)
     todo = pending(items.select("key", "title", "creators"), done, rebuild).join(texts.select("key", "text"), "key", "left")
@@ -39,7 +39,7 @@ def index_job(items: DataFrame, texts: DataFrame, store: DataFrame | None = None
     report = report.select("item_key", F.when(F.col("__filled"), "ok").otherwise("skipped").alias("status"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
     if store is None:
         return rows, report
-    kept = clear_items(store, rows.select("item_key")) if rebuild else store
+    kept = clear_items(store, items.select(F.col("key").alias("item_key"))) if rebuild else store
     return kept.unionByName(rows, allowMissingColumns=True), report
 
 
@@ -58,10 +58,11 @@ def ocr_job(items: DataFrame, attachments: DataFrame, payloads: DataFrame, done:
         .when(F.col("error").isNotNull(), F.concat(F.lit("error: "), F.col("error")))
         .when(F.col("payload").isNull(), "error: no response")
     )
-    ready = todo.where(reason.isNull())
     # what has no structure is read as the markdown that the provider's reader finds
     plain = F.to_json(F.struct(F.col("content").alias("markdown")))
     structured = F.get_json_object("payload", "$.pages").isNotNull() | F.get_json_object("payload", "$.blocks").isNotNull()
+    reason = reason.when(F.col("content").isNull() & ~structured, F.concat(F.lit("error: unreadable response of "), F.coalesce("provider", F.lit("no provider"))))
+    ready = todo.where(reason.isNull())
     body = ready.select("attachment_key", F.col("key").alias("item_key"), "provider", F.when(structured, F.col("payload")).otherwise(plain).alias("payload"))
     blocks = provider_blocks(body)
     chunks = chunk_blocks(blocks, max_chars)

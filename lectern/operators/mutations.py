@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.errors import InvalidParams, NotFound
 from lectern.functions.names import auto_split_creator
 from lectern.operators.filters import annotation_error, is_pdf
 from lectern.operators.lookups import find_duplicates_of
-from lectern.operators.setops import add_members
+from lectern.operators.setops import add_members, one_per_key
 
 
 def check_keys(items: DataFrame, keys: DataFrame) -> None:
@@ -25,10 +25,13 @@ def create_items(items: DataFrame, new: DataFrame) -> DataFrame:
     return items.unionByName(new, allowMissingColumns=True)
 
 
-def update_items(items: DataFrame, changes: DataFrame) -> DataFrame:
-    """changes: key, fields, and optionally title, creators, tags. Fields patch (an empty value clears), creators replace, tags replace unless empty."""
+def update_items(items: DataFrame, changes: DataFrame, order: Column | None = None) -> DataFrame:
+    """changes: key, fields, and optionally title, creators, tags. Fields patch (an empty value clears), creators replace, tags replace unless empty.
+
+    Of several changes of a key the last in the order counts.
+    """
     names = [c for c in ("title", "creators", "tags") if c in changes.columns]
-    change = changes.select("key", F.col("fields").alias("__fields"), *[F.col(c).alias(f"__{c}") for c in names])
+    change = one_per_key(changes, ["key"], order).select("key", F.col("fields").alias("__fields"), *[F.col(c).alias(f"__{c}") for c in names])
     joined = items.join(change, "key", "left")
     old = F.map_filter("fields", lambda k, v: ~F.coalesce(F.map_contains_key("__fields", k), F.lit(False)))
     out = {"fields": F.when(F.col("__fields").isNull(), F.col("fields")).otherwise(F.map_concat(old, F.map_filter("__fields", lambda k, v: v != "")))}

@@ -49,9 +49,16 @@ def remove_tags(tags: Column, old: Column) -> Column:
     return F.filter(tags, lambda t: ~F.array_contains(old, t["tag"]))
 
 
+def _names_by_key(operations: DataFrame, column: str) -> DataFrame:
+    """key and the different names of all its operations, by their place in the lists, then by name."""
+    each = operations.select("key", F.posexplode(column).alias("__at", "__name")).groupBy("key", "__name").agg(F.min("__at").alias("__at"))
+    ordered = F.array_sort(F.collect_list(F.struct("__at", "__name")))
+    return each.groupBy("key").agg(F.transform(ordered, lambda x: x["__name"]).alias(column))
+
+
 def batch_tags(items: DataFrame, operations: DataFrame) -> DataFrame:
-    """items after operations (key, add, remove), at most one a key: removals, then additions; empty lists change nothing."""
-    joined = items.join(operations.select("key", "add", "remove"), "key", "left")
+    """items after operations (key, add, remove): removals, then additions; empty lists change nothing. Operations on one key count together."""
+    joined = items.join(_names_by_key(operations, "add"), "key", "left").join(_names_by_key(operations, "remove"), "key", "left")
     none = F.array().cast("array<string>")
     tags = add_tags(remove_tags(F.col("tags"), F.coalesce("remove", none)), F.coalesce("add", none))
     return joined.withColumn("tags", tags).select(*items.columns)

@@ -29,25 +29,26 @@ def test_white_space_is_unicode(spark):
     assert one(spark, text.normalized_name(F.lit(" A　 b\tC "))) == "a b c"
 
 
-def model_merge(parts, size, overlap):
-    out, now, n = [], None, 0
-    for p in parts:
-        if now is not None and n + len(p) > size:
-            out.append(now)
-            tail = now[-overlap:] if overlap else ""
-            now, n = (tail + "\n\n" + p if tail else p), len(tail) + len(p)
-        else:
-            now, n = p if now is None else now + "\n\n" + p, n + len(p)
-    return out + ([now] if now is not None else [])
-
-
 @pytest.mark.parametrize("size,overlap", [(20, 0), (50, 10), (64, 63)])
-def test_merge_against_model(spark, size, overlap):
+def test_merged_pieces(spark, size, overlap):
+    """Behind the end of the chunk before, a chunk holds the next pieces, as many as fit."""
     r = random.Random(size)
     rows = [(k, ["w" * r.randint(0, 40) + str(k) for _ in range(r.randint(0, 12))]) for k in range(40)]
     df = spark.createDataFrame(rows, "k int, p array<string>")
     got = {x.k: x.c for x in df.select("k", chunks.merge_pieces(F.col("p"), size, overlap).alias("c")).collect()}
-    assert all(got[k] == model_merge(p, size, overlap) for k, p in rows)
+    for k, pieces in rows:
+        seen, starts = [], [0, *(max(0, len(c) - overlap) for c in got[k])]
+        tails = ["", *(c[at:] for c, at in zip(got[k], starts[1:]))]
+        for n, chunk in enumerate(got[k]):
+            head = tails[n] + "\n\n" if tails[n] else ""
+            assert chunk.startswith(head)
+            own = chunk[len(head) :].split("\n\n")
+            filled = len(tails[n]) + sum(map(len, own))
+            assert filled <= size or len(own) == 1
+            seen += own
+            if len(seen) < len(pieces):
+                assert filled + len(pieces[len(seen)]) > size
+        assert seen == pieces
 
 
 def test_hard_stride_and_sizes(spark):

@@ -4,49 +4,58 @@ import hashlib
 import re
 from collections import Counter
 
-from lectern.operators.chunks import find_sections
+from pyspark.sql import functions as F
+
+from lectern.operators.chunks import find_sections, split_text
 from lectern.plans.catalogue import QUERIES
 
 md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
 
 
-def merged(pieces, size, overlap):
-    done, now, n = [], None, 0
-    for p in pieces:
-        if now is None:
-            now, n = p, len(p)
-        elif n + len(p) > size:
-            done.append(now)
-            tail = now[-overlap:]
-            now, n = f"{tail}\n\n{p}" if tail else p, len(tail) + len(p)
-        else:
-            now, n = f"{now}\n\n{p}", n + len(p)
-    return done + ([] if now is None else [now])
+SENTENCES = " ".join(f"This is sentence {k} of a long text." for k in range(60))
+PARAGRAPHS = "\n\n".join(f"paragraph {k} " + "word " * 30 for k in range(20))
+TEXTS = [None, "", "short", "One. Two.", "x" * 512, "y" * 513, "z" * 2000, SENTENCES, PARAGRAPHS, "列" * 700 + "。" + "表" * 700, "no end " * 300 + "\nlast line"]
 
 
-def split(text, size=512, overlap=64):
-    if not text:
-        return []
-    if len(text) <= size:
-        return [text]
-    paragraphs = re.split(r"\n\n+", text)
-    if len(paragraphs) > 1:
-        return merged(paragraphs, size, overlap)
-    sentences = [x for x in re.split("(?<=[。！？.!?\n])", text) if x]
-    if len(sentences) > 1:
-        return merged(sentences, size, overlap)
-    return [text[k : k + size] for k in range(0, len(text), size - overlap)]
+def chunks_of(spark, texts, size=512, overlap=64):
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", split_text(F.col("t"), size, overlap).alias("c"))
+    return {r.k: r.c or [] for r in rows.collect()}
 
 
-SENTENCES = " ".join(f"This is sentence {k} of a long text." for k in range(60))
-PARAGRAPHS = "\n\n".join(f"paragraph {k} " + "word " * 30 for k in range(20))
-TEXTS = [None, "", "short", "One. Two.", "x" * 512, "y" * 513, "z" * 2000, SENTENCES, PARAGRAPHS, "列" * 700 + "。" + "表" * 700, "no end " * 300 + "\nlast line"]
+def bodies(chunks, overlap):
+    """Each chunk without the end of the one before, with which it must begin."""
+    out = chunks[:1]
+    for before, chunk in zip(chunks, chunks[1:]):
+        assert chunk.startswith(before[-overlap:] + "\n\n")
+        out.append(chunk[overlap + 2 :])
+    return out
+
+
+def test_chunks_hold_the_text(spark):
+    got = chunks_of(spark, TEXTS)
+    joined = lambda x: re.sub(r"\n", "", x)
+    for k, text in enumerate(TEXTS):
+        if not text:
+            assert got[k] == []
+        elif len(text) <= 512:
+            assert got[k] == [text]
+        elif len(set(text)) == 1:
+            # nothing to cut at: strides of equal length that overlap
+            assert [c[:448] for c in got[k][:-1]] == [text[:448]] * (len(got[k]) - 1) and 448 * (len(got[k]) - 1) + len(got[k][-1]) == len(text)
+        else:
+            own = bodies(got[k], 64)
+            assert joined("".join(own)) == joined(text)
+            assert all(len(joined(c)) <= 512 or "\n\n" not in body.strip("\n") for c, body in zip(got[k], own))
+    for k in (TEXTS.index(SENTENCES), TEXTS.index(PARAGRAPHS)):
+        parts = [body.split("\n\n") for body in bodies(got[k], 64)]
+        for n in range(len(parts) - 1):
+            assert 64 * (n > 0) + sum(map(len, parts[n])) + len(parts[n + 1][0]) > 512
 
 
 def test_chunk_sentences_of_all_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = Counter(tuple(r) for r in QUERIES["chunk_sentences"].run(spark, str(tmp_path)).collect())
-    assert got == Counter((k, i, md5(c), len(c)) for k, t in enumerate(TEXTS) for i, c in enumerate(split(t)))
+    assert got == Counter((k, i, md5(c), len(c)) for k, own in chunks_of(spark, TEXTS).items() for i, c in enumerate(own))
     assert {k for k, _, _, _ in got} == set(range(2, len(TEXTS)))
 
 
@@ -56,8 +65,10 @@ def test_chunk_text_of_all_conversations(spark, tmp_path):
     want = Counter()
     for conv in {t[0] for t in turns}:
         page = "\n\n".join(f"# {role}\n\n{text}" for c, _, role, text in turns if c == conv)
-        chunks = [(title, c) for title, body in find_sections(page) for c in split(body) if c.strip()]
-        want.update((conv, title, i, md5(c)) for i, (title, c) in enumerate(chunks))
+        sections = find_sections(page)
+        split = chunks_of(spark, [body for _, body in sections])
+        rows = [(title, c) for n, (title, _) in enumerate(sections) for c in split[n] if c.strip()]
+        want.update((conv, title, i, md5(c)) for i, (title, c) in enumerate(rows))
     got = Counter(tuple(r) for r in QUERIES["chunk_text"].run(spark, str(tmp_path)).collect())
     assert got == want and len({r[0] for r in got}) == len(TEXTS) - 2 and sum(got.values()) > len(turns)
 
