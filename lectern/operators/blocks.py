@@ -34,6 +34,12 @@ def _blocks_of(x: Column) -> Column:
     return F.coalesce(*[F.when(F.size(x[n]) > 0, x[n]) for n in ("blocks", "elements", "layout")], none)
 
 
+def has_blocks(payload: Column) -> Column:
+    """Whether a response as JSON lists blocks, on a page or at its top."""
+    p = F.from_json(payload, PAYLOAD)
+    return F.coalesce(F.exists(p["pages"], lambda x: F.size(_blocks_of(x)) > 0), F.lit(False)) | F.coalesce(F.size(_blocks_of(p)) > 0, F.lit(False))
+
+
 def structured_blocks(payloads: DataFrame) -> DataFrame:
     """payloads (attachment_key, item_key, provider, payload as JSON) to blocks in reading order, pages first, then top-level lists."""
     parsed = payloads.withColumn("p", F.from_json("payload", PAYLOAD))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions.embed import with_vectors
 from lectern.functions.hashes import text_sha256
 from lectern.functions.text import author_line, trim
-from lectern.operators.blocks import chunk_blocks, provider_blocks
+from lectern.operators.blocks import chunk_blocks, has_blocks, provider_blocks
 from lectern.operators.chunks import chunk_documents
 from lectern.operators.lookups import first_pdf
 from lectern.operators.mutations import pending
@@ -60,7 +60,7 @@ def ocr_job(items: DataFrame, attachments: DataFrame, payloads: DataFrame, done:
     )
     # what has no structure is read as the markdown that the provider's reader finds
     plain = F.to_json(F.struct(F.col("content").alias("markdown")))
-    structured = F.get_json_object("payload", "$.pages").isNotNull() | F.get_json_object("payload", "$.blocks").isNotNull()
+    structured = has_blocks(F.col("payload"))
     reason = reason.when(F.col("content").isNull() & ~structured, F.concat(F.lit("error: unreadable response of "), F.coalesce("provider", F.lit("no provider"))))
     ready = todo.where(reason.isNull())
     body = ready.select("attachment_key", F.col("key").alias("item_key"), "provider", F.when(structured, F.col("payload")).otherwise(plain).alias("payload"))

@@ -194,23 +194,28 @@ def raw_zip(provider: dict, payload, files: dict[str, bytes] | None = None, mani
 MEMBERS = "path string, member string, kind string, text string, data binary"
 
 
+def zip_rows(path: str, file) -> pa.RecordBatch:
+    """One row a member of a zip: kind json or text (in `text`) or binary (in `data`)."""
+    rows = []
+    with zipfile.ZipFile(file) as z:
+        for name in sorted(z.namelist()):
+            data = z.read(_safe_member(name))
+            try:
+                text = data.decode()
+                rows.append((path, name, "json" if name.endswith(".json") else "text", text, None))
+            except UnicodeDecodeError:
+                rows.append((path, name, "binary", None, data))
+    kinds = [pa.string()] * 4 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["path", "member", "kind", "text", "data"])
+
+
 def read_raw_zips(spark: SparkSession, path: str) -> DataFrame:
-    """One row a member: kind json or text (in `text`) or binary (in `data`)."""
+    """One row a member of each zip below path."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 4 + [pa.binary()]
         for batch in batches:
             for where, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
-                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
-                    for name in sorted(z.namelist()):
-                        data = z.read(_safe_member(name))
-                        try:
-                            text = data.decode()
-                            rows.append((where, name, "json" if name.endswith(".json") else "text", text, None))
-                        except UnicodeDecodeError:
-                            rows.append((where, name, "binary", None, data))
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["path", "member", "kind", "text", "data"])
+                yield zip_rows(where, io.BytesIO(content.as_buffer()))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
     return files.mapInArrow(run, MEMBERS)
@@ -233,23 +238,28 @@ def npz_bytes(vectors: np.ndarray, metadata: list[dict] | dict | None = None, ch
 EMBEDDING_ROWS = "path string, ordinal int, chunk_id string, text_sha256 string, vector array<float>, model string, dim int"
 
 
+def npz_rows(path: str, file) -> pa.RecordBatch:
+    """One row a vector of an NPZ file, for both layouts."""
+    with np.load(file, allow_pickle=False) as z:
+        vectors, meta = z["vectors"], json.loads(str(z["metadata_json"]))
+        n = len(vectors)
+        per = meta if isinstance(meta, list) else [{}] * n
+        ids = z["chunk_ids"].tolist() if "chunk_ids" in z else [m.get("chunk_id") for m in per]
+        model = str(z["model"]) if "model" in z else (meta.get("model") if isinstance(meta, dict) else None)
+    if len(per) != n or len(ids) != n:
+        raise InvalidParams(f"{path}: {n} vectors, {len(per)} rows of metadata")
+    cols = [[path] * n, range(n), ids, [m.get("text_sha256") for m in per], list(vectors), [model] * n, [vectors.shape[1]] * n]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float32()), pa.string(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["path", "ordinal", "chunk_id", "text_sha256", "vector", "model", "dim"])
+
+
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """One row a vector, for both layouts."""
+    """One row a vector of each NPZ file below path."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                with np.load(io.BytesIO(content.as_buffer()), allow_pickle=False) as z:
-                    vectors, meta = z["vectors"], json.loads(str(z["metadata_json"]))
-                    n = len(vectors)
-                    per = meta if isinstance(meta, list) else [{}] * n
-                    ids = z["chunk_ids"].tolist() if "chunk_ids" in z else [m.get("chunk_id") for m in per]
-                    model = str(z["model"]) if "model" in z else (meta.get("model") if isinstance(meta, dict) else None)
-                if len(per) != n or len(ids) != n:
-                    raise InvalidParams(f"{where}: {n} vectors, {len(per)} rows of metadata")
-                cols = [[where] * n, range(n), ids, [m.get("text_sha256") for m in per], list(vectors), [model] * n, [vectors.shape[1]] * n]
-                kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float32()), pa.string(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["path", "ordinal", "chunk_id", "text_sha256", "vector", "model", "dim"])
+                yield npz_rows(where, io.BytesIO(content.as_buffer()))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
     return files.mapInArrow(run, EMBEDDING_ROWS)
