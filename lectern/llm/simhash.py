@@ -41,7 +41,9 @@ from pyspark.sql import functions as F
 from lectern.llm.common import Workspace, coded_words, slices_of
 from lectern.llm.components import components
 
-MOST_IN_BUCKET = 512
+#: Fingerprints of a bucket that one task solves. Near copies of one text lie within few bits of each other and share most buckets however
+#: they are dealt, the more so in the wider relation, so its buckets are larger.
+MOST_IN_BUCKET, MOST_IN_WORD_BUCKET = 512, 8192
 
 
 @dataclass(frozen=True)
@@ -278,7 +280,7 @@ def links(space: Workspace, distinct: DataFrame, most_in_bucket: int = MOST_IN_B
     return _of_buckets(space, distinct.select("fp"), SHINGLES, most_in_bucket, _solved, "a long, b long")
 
 
-def word_links(space: Workspace, distinct: DataFrame, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
+def word_links(space: Workspace, distinct: DataFrame, most_in_bucket: int = MOST_IN_WORD_BUCKET) -> DataFrame:
     """a, b: links that span the components of `WORDS`. distinct: columns fp and second, each fp once."""
     return _of_buckets(space, distinct.select("fp", "second"), WORDS, most_in_bucket, _solved_words, "a long, b long")
 
