@@ -2,17 +2,19 @@
 
 A tokenizer feeds a tree builder that opens and closes elements as browsers imply them (head, body, tbody, p, li, dt, dd,
 table parts, options; void elements; stray end tags). Visibility rules leave out what a browser wouldn't show: head,
-scripts, styles, templates, the `hidden` attribute, inline display:none and visibility:hidden, closed details and dialogs,
-hidden and typed-in secret form values, options of a drop-down that aren't chosen. Everything else is rendered: white
-space collapses except in pre and textarea, blocks start on new lines, paragraphs, headings and lists are set apart by an
+scripts, styles, templates, the `hidden` attribute, closed details and dialogs, hidden and typed-in secret form values, options of a
+drop-down that aren't chosen, and what styles hide. Styles are inline ones and those of the page's style elements whose selectors are
+simple (names, classes and ids; other selectors, at-rules and style elements for other media are passed over), in the order of importance, place, specificity and
+order: display:none takes an element with all that is in it, visibility is inherited and can be taken back further in. Everything
+else is rendered, with the alt text of images: white space collapses except in pre and textarea, blocks start on new lines, paragraphs, headings and lists are set apart by an
 empty line, list items carry markers and indents, form controls show their text, and table cells, with their row and
 column spans, are padded to the width of their column. What stands in a table outside its cells is shown above it.
 
 Every character is looked at a bounded number of times, whatever is left open: the tokenizer moves forward only, the tree
 builder knows the innermost open element of each name, and the renderer keeps its own stack, so depth has no limit.
-Layout, not text, has bounds: a cell wider than `MOST_PAD` doesn't widen its column, columns beyond `MOST_LINE` aren't
-aligned (nor those beyond `MOST_COLUMNS`), lists deeper than `MOST_INDENT` levels aren't indented further, and tables inside `MOST_NESTED` tables are shown
-as blocks, a row a line.
+Layout, not text, has bounds, which are parameters (`Layout`): a cell wider than `pad` doesn't widen its column, columns beyond `line`
+aren't aligned (nor those beyond the standard's 1,000), lists deeper than `indent` levels aren't indented further, and tables inside
+`nested` tables are shown as blocks, a row a line.
 
 One projection, no shuffle; a page at a time.
 
@@ -27,6 +29,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Generator, Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,10 +37,17 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import slices_of
 
-MOST_PAD = 120
-MOST_LINE = 1000
-MOST_INDENT = 24
-MOST_NESTED = 8
+
+@dataclass(frozen=True)
+class Layout:
+    """Bounds of the layout: width of a cell that widens its column, place of an aligned column, levels of indented lists, tables in tables with columns."""
+
+    pad: int = 120
+    line: int = 1000
+    indent: int = 24
+    nested: int = 8
+
+
 #: Fixed values of the HTML standard.
 MOST_COLUMNS, MOST_ROWSPAN = 1000, 65534
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,18 +88,117 @@ ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(\s*=\s*)?")
 BARE = re.compile(r"[^\s>]*")
 COMMENT_END = re.compile(r"--!?>")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-STYLE_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: A declaration that bears on visibility: property, value, importance.
+DECLARED = re.compile(r"(?:^|(?<=;))\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+#: A selector of one element: a name or *, then classes and ids.
+SIMPLE = re.compile(r"(\*|[a-zA-Z][a-zA-Z0-9-]*)?((?:[.#][a-zA-Z0-9_\u0080-\U0010ffff-]+)*)$")
+MEDIA = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen)\s*(?:,|$)|$)", re.I)
+
+
+def _declared(text: str) -> dict[str, tuple[bool, str]]:
+    """Of a list of declarations the importance and the value that count for display and visibility."""
+    found: dict[str, tuple[bool, str]] = {}
+    for name, value, important in DECLARED.findall(text):
+        name = name.lower()
+        if important or not found.get(name, (False,))[0]:
+            found[name] = (bool(important), value.lower())
+    return found
 
 
 class Element:
     """A node. `holds`: a shown part of a table lies in it, outside the cells and tables in it."""
 
-    __slots__ = ("attributes", "children", "hidden", "holds", "tag")
+    __slots__ = ("attributes", "children", "hidden", "holds", "tag", "veiled")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None):
         a = attributes or {}
-        self.tag, self.attributes, self.children, self.holds = tag, a, [], False
-        self.hidden = tag in UNSEEN or bool(a) and ("hidden" in a or tag == "dialog" and "open" not in a or "style" in a and bool(STYLE_HIDDEN.search(a["style"]))) or tag == "dialog" and not a
+        self.tag, self.attributes, self.children, self.holds, self.veiled = tag, a, [], False, False
+        #: What the element is by itself; `Styles` has the last word.
+        self.hidden = tag in UNSEEN or bool(a) and ("hidden" in a or tag == "dialog" and "open" not in a or "style" in a and _declared(a["style"]).get("display", (0, ""))[1] == "none") or tag == "dialog" and not a
+
+
+class Styles:
+    """Rules of a page's style elements, by what a selector names first, and the visibility of its elements."""
+
+    def __init__(self):
+        #: (specificity, order, name, classes, ids, declarations) under an id, a class, a name or *.
+        self.rules: dict[str, list[tuple]] = {}
+        self.n = 0
+
+    def read(self, sheet: str) -> None:
+        sheet, at = CSS_COMMENT.sub(" ", sheet), 0
+        while (brace := sheet.find("{", at)) >= 0:
+            head = sheet[at:brace]
+            # an at-rule without a block ends at its semicolon
+            head = head.rpartition(";")[2].strip()
+            depth, end = 1, brace + 1
+            for m in re.compile(r"[{}]").finditer(sheet, end):
+                depth += 1 if m[0] == "{" else -1
+                end = m.end()
+                if not depth:
+                    break
+            else:
+                end = len(sheet) + 1
+            if not head.startswith("@"):
+                self._rule(head, _declared(sheet[brace + 1 : end - 1]))
+            at = end
+
+    def _rule(self, head: str, declared: dict[str, tuple[bool, str]]) -> None:
+        if not declared:
+            return
+        for selector in head.split(","):
+            m = SIMPLE.match(selector.strip())
+            if not m or not m[0]:
+                continue
+            name = (m[1] or "*").lower()
+            parts = re.findall(r"([.#])([^.#]+)", m[2])
+            classes, ids = frozenset(x for c, x in parts if c == "."), frozenset(x for c, x in parts if c == "#")
+            under = f"#{min(ids)}" if ids else f".{min(classes)}" if classes else name
+            self.n += 1
+            self.rules.setdefault(under, []).append(((len(ids), len(classes), int(name != "*")), self.n, name, classes, ids, declared))
+
+    def _won(self, e: Element) -> dict[str, str]:
+        """The value of display and visibility that counts for an element."""
+        a = e.attributes
+        best: dict[str, tuple] = {}
+        if "style" in a:
+            for name, (important, value) in _declared(a["style"]).items():
+                best[name] = ((important, 1, (0, 0, 0), 0), value)
+        if self.rules:
+            own, classes = a.get("id", ""), set(a.get("class", "").split())
+            for under in ("*", e.tag, f"#{own}", *(f".{c}" for c in classes)):
+                for weight, order, name, needed, ids, declared in self.rules.get(under, ()):
+                    if name in ("*", e.tag) and needed <= classes and ids <= {own}:
+                        for k, (important, value) in declared.items():
+                            rank = (important, 0, weight, order)
+                            if k not in best or rank > best[k][0]:
+                                best[k] = (rank, value)
+        return {k: value for k, (_, value) in best.items()}
+
+    def apply(self, root: Element) -> None:
+        """Set `hidden` of every element, and take the text out of those that aren't visible."""
+        order, stack = [], [(root, True)]
+        while stack:
+            e, visible = stack.pop()
+            order.append(e)
+            won = self._won(e)
+            if e.tag not in UNSEEN:
+                display = won.get("display", "inherit")
+                if display == "none":
+                    e.hidden = True
+                elif display not in ("inherit", "unset", "initial", "revert"):
+                    e.hidden = False
+            said = won.get("visibility", "inherit")
+            visible = visible if said in ("inherit", "unset", "revert") else said in ("visible", "initial")
+            if e.hidden:
+                continue
+            if not visible:
+                e.veiled = True
+                e.children = [x for x in e.children if not isinstance(x, str)]
+            stack += [(x, visible) for x in e.children if isinstance(x, Element)]
+        for e in reversed(order):
+            e.holds = any(isinstance(x, Element) and not x.hidden and (x.tag in PARTS or x.holds and x.tag not in OWN_GRID) for x in e.children)
 
 
 class TreeBuilder:
@@ -221,6 +330,15 @@ def _tag(page: str, at: int) -> tuple[dict[str, str], bool, int]:
 
 
 def parse(page: str) -> Element:
+    """The tree of a page, with the visibility of its elements."""
+    styles = Styles()
+    root = _tree(page, styles)
+    if styles.rules or "visibility" in page.lower():
+        styles.apply(root)
+    return root
+
+
+def _tree(page: str, styles: Styles) -> Element:
     build, at, n = TreeBuilder(), 0, len(page)
     shown = 0
     while at < n:
@@ -258,6 +376,8 @@ def parse(page: str) -> Element:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             end = stop.start() if stop else n
             content = page[at:end]
+            if tag == "style" and MEDIA.match(attributes.get("media", "")) and attributes.get("type", "text/css").strip().lower() in ("", "text/css"):
+                styles.read(content)
             if content and build.open[-1].tag == tag:
                 build.open[-1].children.append(html.unescape(content) if tag in ("textarea", "title") else content)
             at = shown = end
@@ -278,7 +398,8 @@ class Lines:
     Items nest: inside one, lines are indented, and its first line starts with its mark.
     """
 
-    def __init__(self):
+    def __init__(self, layout: Layout):
+        self.layout = layout
         self.lines: list[str] = []
         self.now: list[str] = []
         self.space = self.gap = False
@@ -339,7 +460,7 @@ class Lines:
         before = (self.indent, len(self.lines), len(self.marks))
         if not self.marks:
             self.base = self.indent
-        if len(self.indent) < 2 * MOST_INDENT:
+        if len(self.indent) < 2 * self.layout.indent:
             self.indent += " " * len(mark)
         self.marks.append(mark)
         return before
@@ -413,8 +534,12 @@ def _block(lines: list[str], out: Lines) -> None:
 
 def _control(e: Element, out: Lines) -> None:
     """The text that an input shows."""
+    if e.veiled:
+        return
     kind = e.attributes.get("type", "text").strip().lower()
-    if kind not in MUTE_INPUTS:
+    if kind == "image":
+        out.add(e.attributes.get("alt", ""))
+    elif kind not in MUTE_INPUTS:
         value = e.attributes.get("value", BUTTON_TEXT.get(kind, "")) or ("" if kind in ("submit", "reset", "button") else e.attributes.get("placeholder", ""))
         out.add(f" {value} " if value.strip() else "")
 
@@ -439,7 +564,7 @@ def _render_element(e: Element, out: Lines, pre: bool, nested: int) -> Step:
     tag = e.tag
     if tag == "table":
         out.blank()
-        if nested < MOST_NESTED:
+        if nested < out.layout.nested:
             yield _table(e, out, nested)
         else:
             yield _flat(e, out, nested)
@@ -451,6 +576,9 @@ def _render_element(e: Element, out: Lines, pre: bool, nested: int) -> Step:
         out.fresh() if inside else out.blank()
     elif tag == "input":
         _control(e, out)
+    elif tag == "img":
+        if not e.veiled:
+            out.add(e.attributes.get("alt", ""))
     elif tag == "select":
         out.add(" ")
         many = len(shown := _options(e)) > 1
@@ -488,6 +616,8 @@ def _list(e: Element, out: Lines, pre: bool, nested: int) -> Step:
             for x in child.children:
                 if isinstance(x, Element) and x.tag in LISTS:
                     x.attributes["\0nested"] = "1"
+            if child.veiled:
+                mark = " " * len(mark)
             before = out.enter(mark)
             yield _render(child, out, pre, nested)
             out.leave(before, mark.rstrip())
@@ -562,7 +692,7 @@ def _number(e: Element, name: str, most: int) -> int:
 
 
 def _table(e: Element, out: Lines, nested: int) -> Step:
-    before = Lines()
+    before = Lines(out.layout)
     rows: list[list[Element]] = []
     yield _grid(e, rows, before, nested + 1)
     grid: list[list[tuple[int, list[str]]]] = []
@@ -571,7 +701,7 @@ def _table(e: Element, out: Lines, nested: int) -> Step:
         cells: list[tuple[int, list[str]]] = []
         at = 0
         for c in row:
-            inner = Lines()
+            inner = Lines(out.layout)
             yield _render(c, inner, False, nested + 1)
             while at < len(taken) and taken[at] > r:
                 at += 1
@@ -586,10 +716,10 @@ def _table(e: Element, out: Lines, nested: int) -> Step:
         grid.append(cells)
     widths: dict[int, int] = {}
     for k, lines in (cell for row in grid for cell in row):
-        widths[k] = max(widths.get(k, 0), max((w for x in lines if (w := _width(x)) <= MOST_PAD), default=0))
+        widths[k] = max(widths.get(k, 0), max((w for x in lines if (w := _width(x)) <= out.layout.pad), default=0))
     starts, place = {}, 0
     for k in sorted(widths):
-        starts[k] = min(place, MOST_LINE)
+        starts[k] = min(place, out.layout.line)
         # an empty column takes no place
         place += widths[k] + 2 if widths[k] else 0
     _block(before.result(), out)
@@ -611,25 +741,25 @@ def _table(e: Element, out: Lines, nested: int) -> Step:
                 out.lines.append("")
 
 
-def render(page: str | None) -> str:
+def render(page: str | None, layout: Layout = Layout()) -> str:
     """The visible text of a page."""
     if not page:
         return ""
-    out = Lines()
+    out = Lines(layout)
     root = parse(page)
     if not root.hidden:
         _run(_render(root, out, False, 0))
     return "\n".join(out.result())
 
 
-def render_pages(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
+def render_pages(pages: DataFrame, html_col: str = "html", text_col: str = "text", layout: Layout = Layout()) -> DataFrame:
     """pages with the rendered text in text_col in place of the HTML column; an existing text_col is replaced."""
     keep = [c for c in pages.columns if c not in (html_col, text_col)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own in slices_of(batch, len(keep), 4 << 20):
-                text = pa.array([render(p.as_py()) for p in own.column(len(keep))], pa.string())
+                text = pa.array([render(p.as_py(), layout) for p in own.column(len(keep))], pa.string())
                 yield pa.RecordBatch.from_arrays([*own.columns[: len(keep)], text], names=[*keep, text_col])
 
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`"))
