@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -34,21 +34,26 @@ class HashingEmbedder:
         self.dim, self.model = dim, f"hashing-{dim}"
 
     def _embed(self, texts: list[str], weigh) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
-        for row, text in zip(out, texts):
-            cells = np.zeros(self.dim)
-            for word, times in Counter((text or "").lower().split()).items():
-                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
-                cells[h % self.dim] += weigh(times) if h >> 31 else -weigh(times)
-            size = np.linalg.norm(cells)
-            row[:] = cells / size if size else cells
-        return out
+        """Each different word of the texts is hashed once; weigh takes the times that words stand in a text."""
+        split = [(t or "").lower().split() for t in texts]
+        coded = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        out = np.zeros((len(texts), self.dim))
+        if not words:
+            return out.astype(np.float32)
+        hashes = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") for w in words], np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+        pairs, times = np.unique(text * np.int64(len(words)) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        text, own = pairs // len(words), hashes[pairs % len(words)]
+        np.add.at(out, (text, own % self.dim), np.where(own >> 31, 1.0, -1.0) * weigh(times))
+        sizes = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(sizes > 0, sizes, 1)).astype(np.float32)
 
     def embed_documents(self, texts: list[str]) -> np.ndarray:
-        return self._embed(texts, lambda n: 1 + math.log(n))
+        return self._embed(texts, lambda n: 1 + np.log(n))
 
     def embed_queries(self, texts: list[str]) -> np.ndarray:
-        return self._embed(texts, lambda n: 1.0)
+        return self._embed(texts, np.ones_like)
 
     def embed_query(self, text: str) -> np.ndarray:
         return self.embed_queries([text])[0]
@@ -63,6 +68,20 @@ def create_embedder(provider: str, **options) -> Embedder:
     return EMBEDDERS[provider](**options)
 
 
+#: Bytes of texts that are embedded together.
+SLICE_BYTES = 1 << 20
+
+
+def by_bytes(batch: pa.RecordBatch, text_at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts hold about `most` bytes; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def with_vectors(chunks: DataFrame, provider: str = "hashing", text_col: str = "text", out_col: str = "vector", role: str = "document", **options) -> DataFrame:
     """chunks with vectors of their texts, as documents or as queries, and the model's name. The embedder is made once a task."""
     create_embedder(provider, **options)
@@ -73,9 +92,11 @@ def with_vectors(chunks: DataFrame, provider: str = "hashing", text_col: str = "
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedder = create_embedder(provider, **options)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            vectors = embedder.embed_documents(texts) if role == "document" else embedder.embed_queries(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(vectors), pa.list_(pa.float32())), pa.array([embedder.model] * batch.num_rows)], names=names)
+            for own in by_bytes(batch, at):
+                texts = own.column(at).to_pylist()
+                vectors = np.asarray(embedder.embed_documents(texts) if role == "document" else embedder.embed_queries(texts), np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(own.num_rows + 1) * embedder.dim, pa.int32()), pa.array(vectors.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*own.columns, lists, pa.array([embedder.model] * own.num_rows)], names=names)
 
     schema = T.StructType([*chunks.schema.fields, T.StructField(out_col, T.ArrayType(T.FloatType())), T.StructField("model", T.StringType())])
     return chunks.mapInArrow(run, schema)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import files
 from lectern.functions.embed import with_vectors
+from lectern.functions.vectors import cosine, norm
 from lectern.operators import aggregates, blocks, exports, filters, jobs, lookups, mutations, programs, retrieval, scans, setops
-from lectern.operators.ranks import positions
+from lectern.operators.ranks import numbered, positions
 from lectern.plans.bind import ITEMS, chunks, items, table, vectors, with_ctes
 from lectern.plans.query import registrar
 from lectern.stages import Stages
@@ -101,15 +102,16 @@ def located_lines(spark, sf):
     return found.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "line", F.col("row.id").alias("id"), "error")
 
 
-@query("K1", "SELECT count(*) > 0 AS files, bool_and(true) AS whole FROM documents")
+@query("K1", "SELECT lang, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM documents GROUP BY lang")
 def jsonl_digests(spark, sf):
-    """The digests that the writer returns are those of the files it wrote."""
+    """The lines of the files whose digest is the one that the writer returned."""
     path = f"{Stages(spark, 'jsonl').path}/jsonl"
     digests = artifacts.write_jsonl(table(spark, sf, "documents").select("doc_id", "lang"), path).where(F.col("path").contains("part-"))
-    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.sha2("value", 256).alias("again"))
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.sha2("value", 256).alias("sha256"), "value")
     name = lambda: files.leaf_of(F.col("path")).alias("name")
-    both = digests.select(name(), "sha256").join(read.select(name(), "again"), "name", "full_outer")
-    return both.agg((F.count("*") > 0).alias("files"), F.bool_and(F.col("sha256").eqNullSafe(F.col("again"))).alias("whole"))
+    whole = read.select(name(), "sha256", "value").join(digests.select(name(), "sha256"), ["name", "sha256"])
+    rows = whole.select(F.explode(F.split(F.rtrim("value"), "\n")).alias("line")).where("line <> ''").select(F.from_json("line", "doc_id long, lang string").alias("r"))
+    return rows.groupBy("r.lang").agg(F.count("*").alias("n"), F.sum("r.doc_id").alias("ids"))
 
 
 @query("K6 Q14", "SELECT '{\"chunk_id\":\"I' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '\",\"item_key\":\"' || source || '\",\"score\":' || CAST(s AS VARCHAR) || '}' AS line FROM (SELECT doc_id, source, 2 * CAST(contains(lower(text), 'que') AS INTEGER) AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE contains(lower(text), 'que')) WHERE r <= 2 ORDER BY s DESC, doc_id LIMIT 30")
@@ -191,16 +193,19 @@ def saved_searches(spark, sf):
     return after.where("n % 5 <> 0").select("key", "name", F.get("conditions", F.lit(0))["value"].alias("value"))
 
 
-@query("S7", with_ctes("SELECT DISTINCT k AS field FROM (VALUES ('DOI'), ('date'), ('publicationTitle'), ('extra')) t(k), items WHERE item_type = 'book'", ITEMS))
+@query("S7", with_ctes("SELECT k AS field, count(*) AS n, count(*) FILTER (WHERE v <> '') AS filled FROM (SELECT unnest(['DOI', 'date', 'publicationTitle', 'extra']) AS k, unnest([doi, date, source, CASE WHEN doc_id % 50 = 3 THEN 'x' ELSE '' END]) AS v FROM items WHERE item_type = 'book') GROUP BY k", ITEMS))
 def item_fields(spark, sf):
+    """The fields of books, and how many have them filled."""
     own = scans.dictionary(items(spark, sf).select("item_type", "fields"), "item_type", "book")
-    return own.select(F.explode(F.map_keys("fields")).alias("field")).distinct()
+    each = own.select(F.explode("fields").alias("field", "value"))
+    return each.groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("value") != "").alias("filled"))
 
 
-@query("S7", with_ctes("SELECT item_type, count(DISTINCT doc_id % 7) AS first_names FROM items GROUP BY item_type", ITEMS))
+@query("S7", with_ctes("SELECT item_type, 'author' AS creator_type, count(*) AS n, count(DISTINCT upper(lang) || CAST(doc_id % 50 AS VARCHAR)) AS last_names FROM items GROUP BY item_type", ITEMS))
 def creator_types(spark, sf):
-    own = scans.dictionary(items(spark, sf).select("item_type", "creators"), "item_type")
-    return own.groupBy("item_type").agg(F.count_distinct(F.get("creators", F.lit(0))["first_name"]).alias("first_names"))
+    """The kinds of creators of each item type."""
+    own = scans.dictionary(items(spark, sf).select("item_type", "creators"), "item_type").select("item_type", F.explode("creators").alias("c"))
+    return own.groupBy("item_type", F.col("c.creator_type").alias("creator_type")).agg(F.count("*").alias("n"), F.count_distinct("c.last_name").alias("last_names"))
 
 
 @query("J1 J2 F18", with_ctes("SELECT pos, ref, i.key FROM (VALUES (0, '3'), (1, 'I00000007'), (2, '3'), (3, '12')) t(pos, ref) JOIN items i ON i.key = ref OR CAST(i.doc_id AS VARCHAR) = ref", ITEMS))
@@ -265,9 +270,12 @@ def first_unknown_setting(spark, sf):
 _ROLES = "('openai', 'plain', NULL, NULL), ('zhipu', 'plain', NULL, NULL), ('dashscope', 'plain', NULL, NULL), ('siliconflow', 'plain', NULL, NULL), ('voyage', 'voyage', 'query', 'document'), ('jina', 'jina', 'retrieval.query', 'retrieval.passage'), ('cohere', 'cohere', 'search_query', 'search_document'), ('doubao', 'plain', NULL, NULL), ('gemini', 'gemini', 'RETRIEVAL_QUERY', 'RETRIEVAL_DOCUMENT')"
 
 
-@query("V3 V8", f"SELECT id, style, query_task, document_task FROM (VALUES {_ROLES}) t(id, style, query_task, document_task)")
+@query("V3 V8", f"WITH p AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n FROM (VALUES {_ROLES}) t(id, style, query_task, document_task)) SELECT id, style, query_task, document_task, count(*) AS vectors FROM embeddings JOIN p ON n = vec_id % 9 GROUP BY ALL")
 def embedding_providers(spark, sf):
-    return providers.embedding_providers(spark).select("id", "style", "query_task", "document_task")
+    """The providers, in the order of the listing, that stored vectors are dealt to."""
+    own = providers.embedding_providers(spark).select("id", "style", "query_task", "document_task")
+    own = numbered(own, ["id"], "n")
+    return table(spark, sf, "embeddings").select((F.col("vec_id") % 9).alias("n")).join(own, "n").groupBy("id", "style", "query_task", "document_task").agg(F.count("*").alias("vectors"))
 
 
 @query("V4 V3", "SELECT vec_id, '{\"model\":\"m\",\"input\":[\"v' || CAST(vec_id AS VARCHAR) || '\"],\"task\":\"retrieval.query\"}' AS jina, '{\"model\":\"m\",\"texts\":[\"v' || CAST(vec_id AS VARCHAR) || '\"],\"input_type\":\"search_document\",\"embedding_types\":[\"float\"]}' AS cohere, '{\"model\":\"m\",\"input\":[\"v' || CAST(vec_id AS VARCHAR) || '\"]}' AS plain FROM embeddings")
@@ -303,19 +311,32 @@ def embedding_values(spark, sf):
     return each.select("doc_id", "cell", F.round(1000 * F.col("x").cast("double")).cast("long").alias("value")).where(F.abs("value") > 100)
 
 
-@query("V4", "WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents) SELECT doc_id, len(w) > len(list_distinct(w)) AND len(list_distinct(w)) > 1 AS repeats FROM d WHERE NOT (len(w) > len(list_distinct(w)))")
+_SIGNED = "CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END"
+
+
+def _cells(*sums: str) -> str:
+    """CTEs up to cells (doc_id, cell, sums): documents' hashed words in 32 cells."""
+    return f"""w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
+h AS (SELECT doc_id, n, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM c), cells AS (SELECT doc_id, h % 32 AS cell, {', '.join(sums)} FROM h GROUP BY ALL)"""
+
+
+@query("V4", f"WITH {_cells(f'sum({_SIGNED} * (1 + ln(n))) AS d', f'sum({_SIGNED}) AS q')} SELECT doc_id, CAST(round(1000 * sum(d * q) / sqrt(sum(d * d) * sum(q * q))) AS BIGINT) AS likeness FROM cells GROUP BY doc_id HAVING sum(d * d) > 0 AND sum(q * q) > 0")
 def embedding_roles(spark, sf):
-    """Documents whose vector is the same in both roles: those without a repeated word."""
+    """How like each other a document's vectors in both roles are; without a direction there is none."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    plain = docs.where(F.size(words) == F.size(F.array_distinct(words)))
-    both = with_vectors(plain, dim=64).join(with_vectors(plain, dim=64, role="query").select("doc_id", F.col("vector").alias("q")), "doc_id")
-    return both.select("doc_id", (F.col("vector") != F.col("q")).alias("repeats"))
+    both = with_vectors(docs, dim=32).select("doc_id", "text", "vector")
+    both = with_vectors(both, out_col="q", dim=32, role="query").where((norm(F.col("vector")) > 0) & (norm(F.col("q")) > 0))
+    return both.select("doc_id", F.round(1000 * cosine(F.col("vector"), F.col("q"))).cast("long").alias("likeness"))
 
 
-@query("V8 V6", "SELECT id, style, auth, readable FROM (VALUES ('glm', 'glm-layout-parsing', 'bearer', true), ('qwen', 'dashscope-multimodal', 'bearer', true), ('custom', 'openai-vision', 'bearer', true), ('openai-vision-compat', 'openai-vision', 'bearer', false), ('olmocr', 'olmocr-vllm', 'bearer', false), ('mistral-ocr', 'mistral-ocr', 'bearer', true), ('mineru', 'mineru-cli', 'none', true), ('paddleocr-vl', 'openai-vision', 'bearer', true), ('mathpix', 'mathpix', 'header-key', false), ('doubao-ocr', 'openai-vision', 'bearer', false)) t(id, style, auth, readable)")
+_ENGINES = "('glm', 'glm-layout-parsing', 'bearer', true), ('qwen', 'dashscope-multimodal', 'bearer', true), ('custom', 'openai-vision', 'bearer', true), ('openai-vision-compat', 'openai-vision', 'bearer', false), ('olmocr', 'olmocr-vllm', 'bearer', false), ('mistral-ocr', 'mistral-ocr', 'bearer', true), ('mineru', 'mineru-cli', 'none', true), ('paddleocr-vl', 'openai-vision', 'bearer', true), ('mathpix', 'mathpix', 'header-key', false), ('doubao-ocr', 'openai-vision', 'bearer', false)"
+
+
+@query("V8 V6", f"WITH p AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n FROM (VALUES {_ENGINES}) t(id, style, auth, readable)) SELECT id, style, auth, readable, count(*) AS pages FROM pages JOIN p ON n = page_id % 10 GROUP BY ALL")
 def ocr_providers(spark, sf):
-    return providers.ocr_providers(spark).select("id", "style", "auth", "readable")
+    """The providers, in the order of the listing, that pages are dealt to."""
+    own = numbered(providers.ocr_providers(spark).select("id", "style", "auth", "readable"), ["id"], "n")
+    return table(spark, sf, "pages").select((F.col("page_id") % 10).alias("n")).join(own, "n").groupBy("id", "style", "auth", "readable").agg(F.count("*").alias("pages"))
 
 
 _SPOKEN = ("glm", "qwen", "custom", "mistral-ocr", "mineru", "paddleocr-vl", "glm", "unheard")
@@ -404,12 +425,17 @@ def page_progress(spark, sf):
     return found.select("source", "vec_id", F.coalesce(F.col("before") == F.col("digest"), F.lit(False)).alias("stuck"))
 
 
-@query("O10 O6 V2", "SELECT 1 AS n_queries, CAST(10 AS BIGINT) AS hits FROM (SELECT 1)")
+_ASKED = "the nation and the union"
+
+
+@query("O10 O6 V2", f"""WITH {_cells(f'sum({_SIGNED} * (1 + ln(n))) AS x')},
+asked AS (SELECT h % 32 AS cell, sum({_SIGNED}) AS y FROM (SELECT CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) AS h FROM (SELECT DISTINCT unnest(string_split('{_ASKED}', ' ')) AS t)) GROUP BY ALL),
+scored AS (SELECT doc_id, sum(x * coalesce(y, 0)) / sqrt(nullif(sum(x * x), 0)) / (SELECT sqrt(sum(y * y)) FROM asked) AS s FROM cells LEFT JOIN asked USING (cell) GROUP BY doc_id)
+SELECT CAST(d.doc_id AS VARCHAR) AS chunk_id, round(coalesce(s, 0), 4) AS score FROM documents d LEFT JOIN scored USING (doc_id) ORDER BY round(coalesce(s, 0), 6) DESC, chunk_id LIMIT 10""")
 def text_search(spark, sf):
-    """A text query embedded in its role against embedded documents: ten hits."""
+    """A text query embedded in its role against embedded documents: the ten best."""
     from lectern.functions.embed import create_embedder
 
     own = with_vectors(table(spark, sf, "documents").select(F.col("source").alias("item_key"), F.col("doc_id").cast("string").alias("chunk_id"), "text"), dim=32)
-    wanted = create_embedder("hashing", dim=32).embed_query("the nation and the union").tolist()
-    found = retrieval.vector_hits(own, wanted, 10)
-    return found.agg(F.lit(1).alias("n_queries"), F.count("*").alias("hits"))
+    wanted = create_embedder("hashing", dim=32).embed_query(_ASKED).tolist()
+    return retrieval.vector_hits(own, wanted, 10).select("chunk_id", F.round("score", 4).alias("score"))

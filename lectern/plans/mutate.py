@@ -134,7 +134,11 @@ def pending_items(spark, sf):
     return mutations.pending(own, table(spark, sf, "labels").select(F.col("doc_id").alias("key"))).select("doc_id")
 
 
-@query("V5", "SELECT doc_id, 'hashing-32' AS model, CAST(32 AS INTEGER) AS dim FROM documents")
+@query("V5", """WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
+cells AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 48 AS cell, sum(CASE WHEN CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) >= 2147483648 THEN 1 ELSE -1 END * (1 + ln(n))) AS x FROM c GROUP BY ALL)
+SELECT d.doc_id, 'hashing-48' AS model, CAST(48 AS INTEGER) AS dim, CAST(round(100 * coalesce(sum(abs(x)) / sqrt(nullif(sum(x * x), 0)), 0)) AS BIGINT) AS spread FROM documents d LEFT JOIN cells c ON c.doc_id = d.doc_id GROUP BY d.doc_id""")
 def embed_chunks(spark, sf):
-    own = with_vectors(table(spark, sf, "documents").select("doc_id", "text"), dim=32)
-    return own.select("doc_id", "model", F.size("vector").alias("dim"))
+    """Model, dimension and the sum of the weights' sizes."""
+    own = with_vectors(table(spark, sf, "documents").select("doc_id", "text"), dim=48)
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
+    return own.select("doc_id", "model", F.size("vector").alias("dim"), F.round(100 * total).cast("long").alias("spread"))
