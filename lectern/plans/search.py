@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalized_name
-from lectern.operators import filters, lookups
+from lectern.operators import filters, lookups, scans
+from lectern.operators.seekpages import SeekTable
 from lectern.operators.textindex import NgramIndex
 from lectern.plans.bind import ITEMS, items, table, texts, with_ctes
 from lectern.plans.query import registrar
@@ -55,3 +56,25 @@ def term_matches(spark, sf):
     terms = docs.select(F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("term")).union(docs.select("lang")).distinct()
     found = terms.join(index.matches(terms), "term", "left")
     return found.groupBy("term").agg(F.count("key").alias("n"), F.coalesce(F.sum(F.col("key").cast("long")), F.lit(0)).alias("ids"))
+
+
+def _slices(seek, name):
+    """The first page, one in the middle and the last one."""
+    total = seek.total
+    found = [seek.page(20, offset).withColumn(name, F.lit(offset).cast("long")) for offset in (0, total // 2, max(0, total - 7))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_PLACED = "offsets AS (SELECT unnest([0, n // 2, greatest(0, n - 7)]) AS first FROM (SELECT count(*) AS n FROM placed))"
+
+
+@query("O1 O2 S1 S20", with_ctes("SELECT key, CAST(date_added AS VARCHAR) AS date_added, first FROM placed JOIN offsets ON r >= first AND r < first + 20", ITEMS, "placed AS (SELECT key, date_added, row_number() OVER (ORDER BY date_added DESC, key) - 1 AS r FROM items WHERE item_type NOT IN ('note', 'attachment') AND NOT deleted)", _PLACED))
+def deep_pages(spark, sf):
+    own = scans.library_items(items(spark, sf)).select("key", "date_added")
+    seek = SeekTable(own, [F.desc("date_added"), F.asc("key")])
+    return _slices(seek, "first").select("key", F.col("date_added").cast("string").alias("date_added"), "first")
+
+
+@query("O4 O5 S2", with_ctes("SELECT key, first FROM placed JOIN offsets ON r >= first AND r < first + 20", ITEMS, "placed AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS r FROM items WHERE deleted)", _PLACED))
+def trash_pages(spark, sf):
+    return _slices(SeekTable(scans.trashed(items(spark, sf)).select("key"), [F.asc("key")]), "first")
