@@ -63,6 +63,13 @@ def duplicate_groups(items: DataFrame, key_expr) -> DataFrame:
     return own.groupBy("group_key").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.count("*").alias("size")).where("size > 1")
 
 
+def duplicate_members(items: DataFrame, key_expr) -> DataFrame:
+    """group_key, key, head (the smallest key of the group), size: a row for each member of a group of two or more, of any size."""
+    own = items.select(F.col("key"), key_expr.alias("group_key")).where(F.coalesce(F.col("group_key").cast("string"), F.lit("")) != "")
+    groups = own.groupBy("group_key").agg(F.min("key").alias("head"), F.count("*").alias("size")).where("size > 1")
+    return own.join(groups, "group_key").select("group_key", "key", "head", "size")
+
+
 def duplicate_sets(items: DataFrame, key_exprs: list, put, most_rounds: int = 60) -> DataFrame:
     """key, head: transitive sets over several matching keys; head is the set's smallest key. Only sets of two or more.
 
@@ -89,20 +96,26 @@ def duplicate_sets(items: DataFrame, key_exprs: list, put, most_rounds: int = 60
 
 
 def merge_duplicates(items: DataFrame, sets: DataFrame) -> DataFrame:
-    """Items with each set folded into its head: the head's fields win, missing ones are filled in key order; tags and collections are united."""
-    own = items.join(sets.select("key", "head"), "key", "left").withColumn("head", F.coalesce("head", "key"))
-    own = own.withColumn("rank", F.struct(F.col("key") != F.col("head"), F.col("key")))
-    tags, collections = F.flatten(F.collect_list("tags")), F.flatten(F.collect_list("collections"))
-    entries = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.map_entries("fields").alias("entries")))), lambda x: x["entries"]))
-    keep = F.map_from_entries(F.transform(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda k: F.struct(k, F.get(F.filter(entries, lambda e: (e["key"] == k) & (e["value"] != "")), F.lit(0))["value"])))
-    keep = F.map_filter(keep, lambda k, v: v.isNotNull())
-    return own.groupBy("head").agg(
-        F.min_by("title", "rank").alias("title"),
-        F.array_sort(F.array_distinct(F.transform(tags, lambda t: t["tag"]))).alias("tags"),
-        F.array_sort(F.array_distinct(collections)).alias("collections"),
-        keep.alias("fields"),
-        F.count("*").alias("merged"),
-    ).withColumnRenamed("head", "key")
+    """Items with each set folded into its head: the head's fields win, missing ones are filled in key order; tags and collections are united.
+
+    Each field, tag and collection of a set is folded by itself with partial sums, so a set may have any number of members.
+    """
+    filled = lambda fields: F.map_filter(fields, lambda k, v: v != "")
+    names = lambda tags: F.transform(tags, lambda t: t["tag"])
+    alone = items.join(sets.select("key"), "key", "left_anti").select(
+        "key", "title", F.array_sort(F.array_distinct(names("tags"))).alias("tags"), F.array_sort(F.array_distinct("collections")).alias("collections"), filled("fields").alias("fields"), F.lit(1).cast("long").alias("merged")
+    )
+    own = items.join(sets.select("key", "head"), "key").withColumn("rank", F.struct(F.col("key") != F.col("head"), F.col("key")))
+    heads = own.groupBy("head").agg(F.min_by("title", "rank").alias("title"), F.count("*").alias("merged"))
+    values = own.select("head", "rank", F.explode(filled("fields")).alias("name", "value")).groupBy("head", "name").agg(F.min_by("value", "rank").alias("value"))
+    fields = values.groupBy("head").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("fields"))
+    united = lambda of, name: own.select("head", F.explode(of).alias("x")).groupBy("head").agg(F.array_sort(F.collect_set("x")).alias(name))
+    joined = heads.join(united(names("tags"), "tags"), "head", "left").join(united(F.col("collections"), "collections"), "head", "left").join(fields, "head", "left")
+    none = F.array().cast("array<string>")
+    merged = joined.select(
+        F.col("head").alias("key"), "title", F.coalesce("tags", none).alias("tags"), F.coalesce("collections", none).alias("collections"), F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("fields"), "merged"
+    )
+    return alone.unionByName(merged)
 
 
 def batch_tag_totals(operations: DataFrame) -> DataFrame:

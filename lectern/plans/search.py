@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalized_name
-from lectern.operators import filters, lookups, scans
+from lectern.operators import aggregates, filters, lookups, scans
 from lectern.operators.seekpages import SeekTable
 from lectern.operators.textindex import NgramIndex
 from lectern.plans.bind import ITEMS, items, table, texts, with_ctes
@@ -78,3 +78,8 @@ def deep_pages(spark, sf):
 @query("O4 O5 S2", with_ctes("SELECT key, first FROM placed JOIN offsets ON r >= first AND r < first + 20", ITEMS, "placed AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS r FROM items WHERE deleted)", _PLACED))
 def trash_pages(spark, sf):
     return _slices(SeekTable(scans.trashed(items(spark, sf)).select("key"), [F.asc("key")]), "first")
+
+
+@query("A8 T12 U8", with_ctes("SELECT doi AS group_key, key, min(key) OVER (PARTITION BY doi) AS head, count(*) OVER (PARTITION BY doi) AS size FROM items WHERE doi <> '' QUALIFY size > 1", ITEMS))
+def duplicate_members(spark, sf):
+    return aggregates.duplicate_members(items(spark, sf), F.col("fields")["DOI"])

@@ -1,7 +1,7 @@
 """Vector stores: chunk rows with their vectors, saved, loaded, and built from the artifacts of items.
 
 A store's own form is Parquet, partitioned by collection, so that a search reads the columns and collections it needs. The
-interchange form is one JSON document for each collection.
+interchange form is one JSON document for each collection, or several where it is large.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern.errors import InvalidParams, StaleArtifact
 from lectern.functions.text import first_filled, none_if_empty
 from lectern.operators.lookups import check_zip
+from lectern.operators.ranks import positions
 from lectern.operators.retrieval import stale_items
 from lectern.operators.setops import union_stores
 
@@ -32,17 +33,26 @@ def load_store(spark: SparkSession, path: str, collection: str | None = None) ->
     return own if collection is None else own.where(F.col("collection") == collection)
 
 
-def store_documents(store: DataFrame) -> DataFrame:
-    """collection, document: the interchange form, chunks by item and index. A collection of one document stands in one row, as that form has it."""
+#: Chunks of a document in the interchange form.
+CHUNKS_PER_DOCUMENT = 10_000
+
+
+def store_documents(store: DataFrame, most: int = CHUNKS_PER_DOCUMENT) -> DataFrame:
+    """collection, part, document: the interchange form, chunks by item and index.
+
+    A collection of more than `most` chunks has several documents, numbered from 0, each of the same form.
+    """
     names = [f.split()[0] for f in ROW.split(", ")]
+    group = ["collection", "collection_id", "model"]
+    placed = positions(store.select(*group, *names), group, ["item_key", "chunk_index", "text"], "place").withColumn("part", F.floor(F.col("place") / most))
     chunks = F.array_sort(F.collect_list(F.struct(*names)))
-    own = store.groupBy("collection", "collection_id", "model").agg(chunks.alias("chunks"))
-    return own.select("collection", F.to_json(F.struct("collection", "collection_id", "model", "chunks")).alias("document"))
+    own = placed.groupBy(*group, "part").agg(chunks.alias("chunks"))
+    return own.select("collection", "part", F.to_json(F.struct(*group, "chunks")).alias("document"))
 
 
-def export_store(store: DataFrame, path: str) -> None:
+def export_store(store: DataFrame, path: str, most: int = CHUNKS_PER_DOCUMENT) -> None:
     """One JSON document a line."""
-    store_documents(store).select("document").write.mode("overwrite").text(path)
+    store_documents(store, most).select("document").write.mode("overwrite").text(path)
 
 
 def import_store(spark: SparkSession, path: str) -> DataFrame:
