@@ -75,8 +75,8 @@ SHINGLES = Relation()
 #: Two unrelated texts differ in 32 of 64 bits over shingles, give or take 4.
 SHINGLE_BITS = 16
 FEW_WORDS = 16
-#: Texts of about so many bytes are worked on together.
-SLICE_BYTES = 4 << 20
+#: Texts of about so many bytes are worked on together, and so many words' bits are summed at once.
+SLICE_BYTES, BITS_AT_ONCE = 2 << 20, 1 << 15
 WORDS = Relation(most=7, blocks=(7,) * 8 + (8,), whole=2, most_second=SHINGLE_BITS)
 N_PIVOTS = 64
 #: For each byte value its eight bits, the high one first.
@@ -129,10 +129,10 @@ def word_fingerprints(texts: Iterable[bytes | None], few: np.ndarray, seed: int
     sizes = np.diff(np.append(starts, len(doc)))
     sums = np.zeros((len(starts), 64), np.int64)
     # a block of rows at a time bounds the table of bits
-    for a in range(0, len(doc), 1 << 18):
-        own = doc[a : a + (1 << 18)]
+    for a in range(0, len(doc), BITS_AT_ONCE):
+        own = doc[a : a + BITS_AT_ONCE]
         cut = np.flatnonzero(np.diff(own, prepend=-1))
-        np.add.at(sums, np.searchsorted(doc[starts], own[cut]), np.add.reduceat(bits[word[a : a + (1 << 18)]].astype(np.int64), cut, axis=0))
+        np.add.at(sums, np.searchsorted(doc[starts], own[cut]), np.add.reduceat(bits[word[a : a + BITS_AT_ONCE]].astype(np.int32), cut, axis=0))
     found = np.packbits(2 * sums > sizes[:, None], axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
     many = sizes >= FEW_WORDS
     out[doc[starts][many]] = found[many]
