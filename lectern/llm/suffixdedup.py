@@ -293,7 +293,8 @@ def repeat_spans(space: Workspace, staged: DataFrame, n: int = N, gram: int = GR
     occ = space.put(staged.select("dk", "z").mapInArrow(_anchors(n, gram), ANCHOR), "anchors", "lz4")
     grams = occ.groupBy("h").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1")
     grams = space.put(grams.select("h", (F.col("s0") < F.col("s1")).alias("mixed")), "grams")
-    found = space.put(occ.join(grams, "h"), "found", "lz4")
+    # the joins of what grows with the documents are shuffles at every size, which adaptive execution splits where one gram is hot
+    found = space.put(occ.join(grams.hint("merge"), "h"), "found", "lz4")
     space.drop("anchors")
     kinds = found.groupBy("h", "s").agg(F.count("*").alias("c"), F.min(F.struct("dk", "a", "most", "least")).alias("ref"), F.first("mixed").alias("mixed"))
     kinds = space.put(kinds, "kinds", "lz4")
@@ -311,7 +312,7 @@ def repeat_spans(space: Workspace, staged: DataFrame, n: int = N, gram: int = GR
     ranges = space.put(ranges.unionByName(route(whole, "whole")), "ranges")
     space.drop("segments")
     own = ["dk", "route"] if by_route else ["dk"]
-    spans = found.join(ranges, ["h", "s"]).select(*own, F.transform("ranges", lambda x: F.col("a") + x).alias("ranges"))
+    spans = found.join(ranges.hint("merge"), ["h", "s"]).select(*own, F.transform("ranges", lambda x: F.col("a") + x).alias("ranges"))
     spans = space.put(spans.groupBy(*own).agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "spans")
     space.drop_others("docs", "staged", "spans")
     return spans
@@ -359,7 +360,7 @@ def repeat_digests(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     kept = space.put(keyed.mapInArrow(pack, "k struct<dk: long, doc_id: long>, z binary").select("k.dk", "k.doc_id", "z"), "staged", "none")
     spans = repeat_spans(space, kept.select("dk", "z"), n, gram, most_in_group)
-    joined = kept.join(spans, "dk", "left").select("doc_id", "z", "ranges")
+    joined = kept.join(spans.hint("merge"), "dk", "left").select("doc_id", "z", "ranges")
     return joined.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -386,7 +387,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text"
     staged = _stage(space, rows.select("__sd_key", text.alias("__sd_text")), "__sd_key", "__sd_text")
     spans = repeat_spans(space, staged, n, gram, most_in_group).withColumnRenamed("dk", "__sd_key")
 
-    joined = rows.join(spans, "__sd_key", "left").select("ranges", "__sd_row")
+    joined = rows.join(spans.hint("merge"), "__sd_key", "left").select("ranges", "__sd_row")
     at = docs.columns.index(text_col)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
