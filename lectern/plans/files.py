@@ -130,6 +130,20 @@ def row_program_tags(spark, sf):
     return programs.run_program(items(spark, sf), 'select(.source != "src1") | .tags[] | .tag')
 
 
+@query("K8 T11 V9", """SELECT doc_id AS id, CASE WHEN n_chars > 1000 THEN 'long' WHEN n_chars > 100 THEN 'middle' ELSE 'short' END AS size, translate(split_part(text, ' ', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS first,
+  NOT regexp_matches(text, '[0-9]{3}') AS plain, (coalesce(n_chars, 0) * 2 + 1) % 7 AS k, len(string_split(text, ' ')) AS words, CAST(substr(source, 4) AS DOUBLE) AS n, 'src-' || substr(source, 4) || '/' || lang AS place FROM documents""")
+def row_program_values(spark, sf):
+    return programs.run_program(table(spark, sf, "documents"), """.[] | {id: .doc_id,
+      size: (if .n_chars > 1000 then "long" elif .n_chars > 100 then "middle" else "short" end), first: (.text | split(" ") | first | ascii_downcase),
+      plain: (.text | test("[0-9]{3}") | not), k: ((.n_chars // 0) * 2 + 1) % 7, words: (.text | split(" ") | length),
+      n: (.source | ltrimstr("src") | tonumber), place: (.source | gsub("src"; "src-")) + "/" + .lang}""")
+
+
+@query("K8 T11 V9", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, max(doc_id) AS last, count(DISTINCT source) AS sources FROM documents WHERE n_chars > 50 GROUP BY lang")
+def row_program_groups(spark, sf):
+    return programs.run_program(table(spark, sf, "documents"), "map(select(.n_chars > 50)) | group_by(.lang) | map({lang: .[0].lang, n: length, chars: (map(.n_chars) | add), last: (map(.doc_id) | max), sources: (map(.source) | unique | length)})")
+
+
 @query("X28", "SELECT page_id, regexp_extract(url, '[^/]*$') AS leaf, CASE WHEN page_id % 3 = 0 THEN 'base' ELSE 'base.PDF' END AS renamed FROM pages")
 def file_names(spark, sf):
     leaf = files.leaf_of(F.col("url"))
