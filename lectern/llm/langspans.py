@@ -231,10 +231,11 @@ def learn(docs: DataFrame, learn_from, config: LangConfig = LangConfig(), id_col
     # at most max_docs narrow rows a language
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(chosen), ["id", "lang"], "left_semi")
     counts = texts.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_counts(config), "lang string, cell long, n long")
-    found = counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    langs = sorted(set(found["lang"]))
+    # at most cells times languages rows, kept as Arrow columns
+    found = counts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(pc.unique(found["lang"]).to_pylist())
     sums = np.zeros((config.cells + len(SCRIPTS), len(langs)))
-    sums[found["cell"], [langs.index(x) for x in found["lang"]]] = found["n"]
+    sums[found["cell"].to_numpy(), pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy()] = found["n"].to_numpy()
     grams, scripts = sums[: config.cells], sums[config.cells :]
     logs = np.log((grams + config.smooth) / (grams.sum(axis=0) + config.smooth * config.cells)) if langs else grams
     uses = scripts >= config.script_share * np.maximum(1, scripts.sum(axis=0)) if langs else scripts > 0
