@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.names import creator_name
 from lectern.functions.text import citation_key, venue_of, year_of
+from lectern.operators.paging import rows_of
 from lectern.operators.ranks import numbered
 
 
@@ -67,12 +68,12 @@ def bibliography(items: DataFrame) -> DataFrame:
 
 def export(entries: DataFrame, fmt: str, joiner: str = "\n\n") -> dict:
     """The envelope of an export: format, content in key order, count."""
-    rows = entries.orderBy("key").select("entry").collect()
+    rows = rows_of(entries.orderBy("key").select("entry"))
     return {"format": fmt, "content": joiner.join(r["entry"] for r in rows), "count": len(rows)}
 
 
 def hits_envelope(hits: DataFrame) -> dict:
-    rows = [json.loads(x) for x in hits.toJSON().collect()]
+    rows = [json.loads(r["line"]) for r in rows_of(hits.select(F.to_json(F.struct(*hits.columns)).alias("line")))]
     return {"hits": rows, "total": len(rows)}
 
 

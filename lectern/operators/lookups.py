@@ -156,6 +156,11 @@ def require_id(spark: SparkSession, table: DataFrame, refs: list[str], what: str
     return found.orderBy("pos")
 
 
+def kind_errors(rows: DataFrame, kind: str) -> DataFrame:
+    """key, error: of the rows that aren't of that item type."""
+    return rows.where(F.coalesce(F.col("item_type") != kind, F.lit(True))).select("key", F.concat(F.col("key"), F.lit(f" isn't of type {kind}")).alias("error"))
+
+
 def require_kind(rows: DataFrame, kind: str) -> DataFrame:
     """Rows of that item type; a row of another one fails the query that reads it."""
     wrong = F.concat(F.col("key"), F.lit(f" isn't of type {kind}"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import files, hierarchy, jobs, metadata, mutate, retrieve, scalars, search, streams, texts
+from lectern.plans import files, guards, hierarchy, jobs, metadata, mutate, retrieve, scalars, search, streams, texts
 from lectern.plans.query import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (retrieve, search, metadata, hierarchy, scalars, texts, mutate, files, jobs, streams):
+for _module in (retrieve, search, metadata, hierarchy, scalars, texts, mutate, files, jobs, streams, guards):
     QUERIES |= _module.QUERIES

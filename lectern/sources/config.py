@@ -111,3 +111,15 @@ def snake_column(name: Column) -> Column:
 def unknown_settings(updates: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of updates (pos, key) whose key isn't known, the first one first."""
     return updates.join(known.select("key"), "key", "left_anti").orderBy("pos")
+
+
+def applied(settings: DataFrame, updates: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settings, errors) after updates (owner, pos, key, value) to settings (owner, key, value): all of an owner's updates, or none if one has an unknown key.
+
+    errors: owner and key of the first unknown one. Of several updates of a key the last counts.
+    """
+    unknown = updates.join(known.select("key"), "key", "left_anti")
+    errors = unknown.groupBy("owner").agg(F.min_by("key", "pos").alias("key"))
+    good = updates.join(errors.select("owner"), "owner", "left_anti").groupBy("owner", "key").agg(F.max_by("value", "pos").alias("value"))
+    kept = settings.join(good.select("owner", "key"), ["owner", "key"], "left_anti")
+    return kept.select("owner", "key", "value").unionByName(good), errors

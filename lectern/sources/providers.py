@@ -16,42 +16,42 @@ from pyspark.sql import functions as F
 from lectern.errors import InvalidParams
 from lectern.functions.text import none_if_empty
 
-#: Provider, style of its requests, task names for queries and for documents, address.
+#: Provider, style of its requests, task names for queries and for documents.
 EMBEDDING_PROVIDERS = (
-    ("openai", "plain", None, None, "https://api.openai.com/v1/embeddings"),
-    ("zhipu", "plain", None, None, "https://open.bigmodel.cn/api/paas/v4/embeddings"),
-    ("dashscope", "plain", None, None, "https://dashscope.aliyuncs.com/compatible-mode/v1/embeddings"),
-    ("siliconflow", "plain", None, None, "https://api.siliconflow.cn/v1/embeddings"),
-    ("voyage", "voyage", "query", "document", "https://api.voyageai.com/v1/embeddings"),
-    ("jina", "jina", "retrieval.query", "retrieval.passage", "https://api.jina.ai/v1/embeddings"),
-    ("cohere", "cohere", "search_query", "search_document", "https://api.cohere.com/v2/embed"),
-    ("doubao", "plain", None, None, "https://ark.cn-beijing.volces.com/api/v3/embeddings/multimodal"),
-    ("gemini", "gemini", "RETRIEVAL_QUERY", "RETRIEVAL_DOCUMENT", "https://generativelanguage.googleapis.com/v1beta/models"),
+    ("openai", "plain", None, None),
+    ("zhipu", "plain", None, None),
+    ("dashscope", "plain", None, None),
+    ("siliconflow", "plain", None, None),
+    ("voyage", "voyage", "query", "document"),
+    ("jina", "jina", "retrieval.query", "retrieval.passage"),
+    ("cohere", "cohere", "search_query", "search_document"),
+    ("doubao", "plain", None, None),
+    ("gemini", "gemini", "RETRIEVAL_QUERY", "RETRIEVAL_DOCUMENT"),
 )
-#: Provider of recognised text, style of its requests, how it is authorised, address, whether responses can be read here.
+#: Provider of recognised text, style of its requests, how it is authorised, whether responses can be read here.
 OCR_PROVIDERS = (
-    ("glm", "glm-layout-parsing", "bearer", "https://open.bigmodel.cn/api/paas/v4/layout_parsing", True),
-    ("qwen", "dashscope-multimodal", "bearer", "https://dashscope.aliyuncs.com/api/v1/services/aigc/multimodal-generation/generation", True),
-    ("custom", "openai-vision", "bearer", None, True),
-    ("openai-vision-compat", "openai-vision", "bearer", None, False),
-    ("olmocr", "olmocr-vllm", "bearer", None, False),
-    ("mistral-ocr", "mistral-ocr", "bearer", "https://api.mistral.ai/v1/ocr", True),
-    ("mineru", "mineru-cli", "none", None, True),
-    ("paddleocr-vl", "openai-vision", "bearer", None, True),
-    ("mathpix", "mathpix", "header-key", "https://api.mathpix.com/v3/pdf", False),
-    ("doubao-ocr", "openai-vision", "bearer", None, False),
+    ("glm", "glm-layout-parsing", "bearer", True),
+    ("qwen", "dashscope-multimodal", "bearer", True),
+    ("custom", "openai-vision", "bearer", True),
+    ("openai-vision-compat", "openai-vision", "bearer", False),
+    ("olmocr", "olmocr-vllm", "bearer", False),
+    ("mistral-ocr", "mistral-ocr", "bearer", True),
+    ("mineru", "mineru-cli", "none", True),
+    ("paddleocr-vl", "openai-vision", "bearer", True),
+    ("mathpix", "mathpix", "header-key", False),
+    ("doubao-ocr", "openai-vision", "bearer", False),
 )
 ROLES = ("query", "document")
 
 
 def embedding_providers(spark: SparkSession) -> DataFrame:
-    """id, style, query_task, document_task, url; by id."""
-    return spark.createDataFrame(EMBEDDING_PROVIDERS, "id string, style string, query_task string, document_task string, url string").orderBy("id")
+    """id, style, query_task, document_task; by id."""
+    return spark.createDataFrame(EMBEDDING_PROVIDERS, "id string, style string, query_task string, document_task string").orderBy("id")
 
 
 def ocr_providers(spark: SparkSession) -> DataFrame:
-    """id, style, auth, url, readable; by id."""
-    return spark.createDataFrame(OCR_PROVIDERS, "id string, style string, auth string, url string, readable boolean").orderBy("id")
+    """id, style, auth, readable; by id."""
+    return spark.createDataFrame(OCR_PROVIDERS, "id string, style string, auth string, readable boolean").orderBy("id")
 
 
 def _row(table: tuple, provider: str, what: str) -> tuple:
@@ -65,7 +65,7 @@ def embedding_request(provider: str, model: str, texts: Column, role: str) -> Co
     """The request body as JSON for an array of texts: providers that know roles are told whether these are queries or documents."""
     if role not in ROLES:
         raise InvalidParams(f"unknown role: {role}")
-    _, style, query_task, document_task, _ = _row(EMBEDDING_PROVIDERS, provider, "embedding")
+    _, style, query_task, document_task = _row(EMBEDDING_PROVIDERS, provider, "embedding")
     task = F.lit(query_task if role == "query" else document_task)
     if style == "gemini":
         parts = F.transform(texts, lambda t: F.struct(t.alias("text")))
