@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.errors import EngineError
 from lectern.functions.names import creator_name
 from lectern.functions.text import citation_key, venue_of, year_of
 from lectern.operators.paging import rows_of
@@ -82,6 +84,21 @@ def hit_lines(hits: DataFrame) -> DataFrame:
     return hits.select(F.to_json(F.struct(*sorted(hits.columns))).alias("line"))
 
 
+def envelopes(rows: DataFrame, errors: Mapping[str, int]) -> DataFrame:
+    """id, envelope: the JSON-RPC answer of each row (id, result as JSON, error as the name of a kind, message). errors: code of each kind."""
+    codes = F.create_map(*[F.lit(x) for kv in errors.items() for x in kv])
+    code = F.coalesce(F.try_element_at(codes, F.col("error")), F.lit(EngineError.code))
+    head = F.concat(F.lit('{"jsonrpc":"2.0","id":'), F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2))
+    failed = F.concat(head, F.lit(',"error":'), F.to_json(F.struct(code.alias("code"), F.coalesce("message", F.lit("")).alias("message"))), F.lit("}"))
+    return rows.select("id", F.when(F.col("error").isNotNull(), failed).otherwise(F.concat(head, F.lit(',"result":'), F.coalesce("result", F.lit("null")), F.lit("}"))).alias("envelope"))
+
+
+def key_union(rows: DataFrame, json_col: str = "value", order: str = "place") -> DataFrame:
+    """key, first, n: the keys of all rows (place, value as JSON objects), where each comes first, and how many rows have it."""
+    keys = rows.select(order, F.posexplode(F.json_object_keys(json_col)).alias("__at", "key"))
+    return keys.groupBy("key").agg(F.min(F.struct(F.col(order).alias("place"), F.col("__at").alias("at"))).alias("first"), F.count("*").alias("n"))
+
+
 def table(rows: list[dict]) -> str:
     """Rows as a text table with the union of keys in first-seen order; JSON if a value is nested; null is empty."""
     if any(isinstance(v, (dict, list)) for r in rows for v in r.values()):

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import lookups, setops
+from lectern.errors import InvalidParams, InvalidRequest, MethodNotFound
+from lectern.operators import exports, lookups, setops
 from lectern.operators.seekpages import SeekTable
 from lectern.plans.bind import COLLECTIONS, ITEMS, collections, items, table, with_ctes
 from lectern.plans.query import registrar
@@ -58,3 +59,24 @@ def settings_applied(spark, sf):
     stored = table(spark, sf, "nation").select(F.col("n_nationkey").alias("owner"), F.explode(F.array(*[F.lit(f"s{k}") for k in range(5)])).alias("key"), F.lit("old").alias("value"))
     after, errors = config.applied(stored, updates, known)
     return after.withColumn("error", F.lit(None).cast("string")).unionByName(errors.select("owner", "key", F.lit(None).cast("string").alias("value"), F.lit("unknown setting").alias("error")))
+
+
+@query("K13", """SELECT doc_id AS id, '{"jsonrpc":"2.0","id":' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 5 = 1 THEN ',"error":{"code":-32602,"message":"no ' || lang || '"}}' WHEN doc_id % 5 = 2 THEN ',"error":{"code":-32603,"message":""}}'
+  WHEN doc_id % 5 = 3 THEN ',"result":null}' ELSE ',"result":{"source":"' || source || '","n":' || CAST(n_chars AS VARCHAR) || '}}' END AS envelope FROM documents""")
+def rpc_envelopes(spark, sf):
+    """Answers to a request for each document: results, nulls and errors of two kinds."""
+    n = F.col("doc_id") % 5
+    rows = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.when(~n.isin(1, 2, 3), F.to_json(F.struct("source", F.col("n_chars").alias("n")))).alias("result"),
+        F.when(n == 1, "InvalidParams").when(n == 2, "Broken").alias("error"), F.when(n == 1, F.concat(F.lit("no "), "lang")).alias("message"),
+    )
+    return exports.envelopes(rows, {e.__name__: e.code for e in (InvalidParams, MethodNotFound, InvalidRequest)})
+
+
+@query("A12", "WITH k AS (SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 0 THEN ['id', lang] ELSE ['id', 'more', source] END) AS key, unnest(CASE WHEN doc_id % 3 = 0 THEN [0, 1] ELSE [0, 1, 2] END) AS spot FROM documents) SELECT key, min(doc_id) AS place, arg_min(spot, doc_id) AS spot, count(*) AS n FROM k GROUP BY key")
+def key_unions(spark, sf):
+    """The columns that a table of all documents' objects would have, in order."""
+    quoted = lambda c: F.concat(F.lit(',"'), c, F.lit('":1'))
+    body = F.when(F.col("doc_id") % 3 == 0, quoted(F.col("lang"))).otherwise(F.concat(F.lit(',"more":{"x":2}'), quoted(F.col("source"))))
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("place"), F.concat(F.lit('{"id":0'), body, F.lit("}")).alias("value"))
+    return exports.key_union(rows).select("key", "first.place", F.col("first.at").alias("spot"), "n")
