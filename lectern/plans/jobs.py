@@ -9,7 +9,7 @@ from lectern.plans.bind import markdown_docs, table
 from lectern.plans.files import _responses
 from lectern.plans.query import registrar
 from lectern.plans.texts import _BODIES, _split_sql
-from lectern.sources import itemfiles
+from lectern.sources import itemfiles, providers
 from lectern.stages import Stages
 
 QUERIES, query = registrar()
@@ -91,3 +91,21 @@ def ocr_chunks(spark, sf):
 @query("M16 A6", f"WITH {_PARTS} SELECT 'D' || CAST(doc_id AS VARCHAR) AS item_key, status, coalesce(len(c), 0) AS chunks FROM state LEFT JOIN cut USING (doc_id)")
 def ocr_report(spark, sf):
     return _recognised(spark, sf)[2]
+
+
+_ENGINE = """state AS (SELECT doc_id, text, doc_id % 9 = 4 AS broken FROM documents),
+e AS (SELECT doc_id, broken, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS p FROM state)"""
+
+
+@query("V6 M16 S24", f"WITH {_ENGINE} SELECT 'E' || CAST(doc_id AS VARCHAR) AS item_key, CASE WHEN broken THEN 'error: the file isn''t UTF-8 text' ELSE 'ok' END AS status, CASE WHEN broken THEN 0 ELSE len(p) END AS blocks FROM e")
+def ocr_engine(spark, sf):
+    """Every document as a file of bytes that an engine reads, some of them broken; the job's report with the number of blocks."""
+    docs = table(spark, sf, "documents")
+    key = F.concat(F.lit("E"), F.col("doc_id").cast("string"))
+    files = docs.select(F.concat(F.lit("A"), key).alias("attachment_key"), key.alias("item_key"), F.concat(F.when(F.col("doc_id") % 9 == 4, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))), F.encode("text", "utf-8")).alias("content"))
+    payloads = Stages(spark, "engine").put(providers.payloads(files, providers.TextEngine), "payloads")
+    items = docs.select(key.alias("key"))
+    attachments = files.select(F.col("attachment_key").alias("key"), F.col("item_key").alias("parent_key"), F.lit("application/pdf").alias("content_type"), F.lit("f").alias("path"))
+    blocks, _, report = jobs.ocr_job(items, attachments, payloads, items.limit(0))
+    counts = blocks.groupBy("item_key").agg(F.count("*").alias("blocks"))
+    return report.join(counts, "item_key", "left").select("item_key", "status", F.coalesce("blocks", F.lit(0)).alias("blocks"))

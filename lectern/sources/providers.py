@@ -6,6 +6,7 @@ caller supplies as an `Engine` or an `Embedder`.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
@@ -138,6 +139,18 @@ class Engine(Protocol):
     def recognise(self, pdf: bytes) -> str: ...
 
 
+class TextEngine:
+    """An engine for files that hold their text plainly: UTF-8, else an error. Its response has the form of a layout parser's."""
+
+    provider, model = "glm", "plain-text"
+
+    def recognise(self, pdf: bytes) -> str:
+        try:
+            return json.dumps({"md_results": pdf.decode()}, ensure_ascii=False)
+        except UnicodeDecodeError:
+            raise InvalidParams("the file isn't UTF-8 text") from None
+
+
 def payloads(pdfs: DataFrame, make: Callable[[], Engine]) -> DataFrame:
     """pdfs (attachment_key, item_key, content) with provider, payload and error; the engine is made once a task, and an error is a row's, not the job's."""
 
