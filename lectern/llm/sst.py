@@ -242,8 +242,8 @@ class WordEncoder:
     """Ids of whole texts with the tokenizers library, a word at a time where that gives the library's ids.
 
     With a plain byte-level pre-tokenizer (checked on loading) no pre-token runs over a space followed by a visible character, so
-    a text's ids are those of its parts cut before such spaces. Each new part is encoded by the library once and then
-    looked up. Texts in which an added token stands, and all texts under any other pre-tokenizer, normaliser or model, are
+    a text's ids are those of its parts cut before such spaces. Each new part is encoded by the library once, with others in
+    one text, and then looked up. Texts in which an added token stands, and all texts under any other pre-tokenizer, normaliser or model, are
     encoded whole by the library. One text of each slice is encoded whole as well; should it differ, that is an error, and
     by_word=False has the library encode every text whole.
 
@@ -254,6 +254,8 @@ class WordEncoder:
     MOST_BYTES = 48 << 20
     #: What an entry of a table takes besides its characters and ids.
     ENTRY_BYTES = 200
+    #: New words that the library encodes as one text.
+    WORDS_AT_ONCE = 1024
 
     def __init__(self, path: str, id_bytes: int = 2, by_word: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -277,10 +279,37 @@ class WordEncoder:
             and not made["model"].get("dropout")
         )
         self.added = [t["content"] for t in added]
+        feed = self.tok.encode("\n", add_special_tokens=False).ids
+        #: The id of a line feed, if it is a single one.
+        self.feed = feed[0] if len(feed) == 1 else None
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, each with a space before it.
+
+        Words without white space go to the library by the thousand, parted by a line feed: the pre-tokenizer cuts before and behind one, its
+        own piece stands for nothing else, and its places part the ids. Should there be more or fewer of them, each word goes by itself.
+        """
+        out = [b""] * len(words)
+        plain = [k for k, w in enumerate(words) if w.split() == [w]] if self.feed is not None else []
+        groups = [plain[k : k + self.WORDS_AT_ONCE] for k in range(0, len(plain), self.WORDS_AT_ONCE)]
+        width, single = np.dtype(self.kind).itemsize, set(range(len(words))).difference(plain)
+        for group, found in zip(groups, self.tok.encode_batch_fast([" " + "\n ".join([words[k] for k in group]) for group in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, self.kind)
+            cuts = np.flatnonzero(ids == self.feed)
+            if len(cuts) != len(group) - 1:
+                single.update(group)
+                continue
+            data, starts, ends = ids.tobytes(), [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(ids) * width]
+            for k, a, b in zip(group, starts, ends):
+                out[k] = data[a:b]
+        rest = sorted(single)
+        for k, ids in zip(rest, self._encode([" " + words[k] for k in rest])):
+            out[k] = ids
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian numbers."""
         whole = [t or "" for t in texts]
@@ -300,15 +329,19 @@ class WordEncoder:
         """Ids of words, each with a space before it."""
         if self.young_bytes > self.MOST_BYTES:
             self.young, self.old, self.young_bytes = {}, self.young, 0
-        found = [self.young.get(w) for w in words]
-        for k, f in enumerate(found):
-            if f is None and (f := self.old.get(words[k])) is not None:
-                found[k] = self.young[words[k]] = f
-                self.young_bytes += len(words[k]) + len(f) + self.ENTRY_BYTES
-        new = [k for k, f in enumerate(found) if f is None]
-        for k, f in zip(new, self._encode([" " + words[k] for k in new])):
-            found[k] = self.young[words[k]] = f
-            self.young_bytes += len(words[k]) + len(f) + self.ENTRY_BYTES
+        young, old, grown = self.young, self.old, 0
+        found, new = list(map(young.get, words)), []
+        for k in [k for k, f in enumerate(found) if f is None]:
+            w = words[k]
+            if (f := old.get(w)) is None:
+                new.append(k)
+                continue
+            found[k] = young[w] = f
+            grown += len(w) + len(f) + self.ENTRY_BYTES
+        for k, f in zip(new, self._encode_words([words[k] for k in new])):
+            found[k] = young[words[k]] = f
+            grown += len(words[k]) + len(f) + self.ENTRY_BYTES
+        self.young_bytes += grown
         return found
 
     def _glued(self, text: str) -> list[str]:
