@@ -88,6 +88,20 @@ def test_encoders_that_disagree_raise(monkeypatch):
     assert pieces.Agenda(path, by_word=False).encode_batch(["some  text"]) == pieces.Agenda(path).encode_batch(["some  text"])
 
 
+def test_words_encoded_together(monkeypatch):
+    encoder = sst.WordEncoder(registry.tokenizer_path("byte_bpe_50k.json"))
+    r = random.Random(3)
+    parts = ["a", "Bc", "é", "中", "\u00a0", "\u2003", "\x1f", "\x85", "7", "'s", "'", ".", "\t", "\n", "\u200b", "😀", "Ċ"]
+    words = list(dict.fromkeys(["don't", "x\ny", "\n", "tail\u00a0", *("".join(r.choices(parts, k=r.randint(1, 5))) for _ in range(3000))]))
+    want = encoder._encode([" " + w for w in words])
+    for most in (1, 7, 1024):
+        monkeypatch.setattr(encoder, "WORDS_AT_ONCE", most)
+        assert encoder._encode_words(words) == want
+    # a line feed that isn't where it should be: each word by itself
+    monkeypatch.setattr(encoder, "feed", 0)
+    assert encoder._encode_words(words) == want and encoder._encode_words([]) == []
+
+
 def test_released_spares_other_threads(spark):
     inside, done, kept = threading.Event(), threading.Event(), []
 
