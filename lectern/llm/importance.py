@@ -9,8 +9,8 @@ How it runs: each task counts its own buckets and hands on one row a bucket, so
 driver sees `buckets` numbers. A checksum of a run comes from those of its words by the linearity of crc32 (the checksum
 of the words before, moved on by the length of the last one, by tables). Scores are whole numbers and are written once, five
 numbers a document. The draw counts documents by score, exactly; suffix sums over this histogram give every score's rank offset.
-The histogram can have as many rows as there are documents, so the sums are formed along the score's digits of 12 bits: no
-window sees more than 2 ** 12 rows of one prefix (2 ** 16 leading ones), and prefixes behind the last rank aren't followed. Only documents of
+The histogram can have as many rows as there are documents, so the sums are formed along the score's digits of 8 bits: no
+window sees more than 2 ** 8 rows of one prefix (2 ** 13 leading ones), and prefixes behind the last rank aren't followed. Only documents of
 surviving scores are numbered, by id within their score.
 
 Defined results: a null or empty text has no features, weight 0 and no rank; a null id counts as the empty text in the hash
@@ -35,7 +35,7 @@ from lectern.llm.common import Workspace, coded_words, slices_of
 #: Texts of about so many bytes are worked on together.
 SLICE_BYTES = 4 << 20
 #: Bits of a digit of the score, and digits below the leading one: scores are below 2 ** 52 in size.
-DIGIT, DIGITS = 12, 3
+DIGIT, DIGITS = 8, 5
 
 
 @dataclass(frozen=True)
