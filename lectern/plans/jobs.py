@@ -94,7 +94,7 @@ def ocr_report(spark, sf):
 
 
 _ENGINE = """state AS (SELECT doc_id, text, doc_id % 9 = 4 AS broken FROM documents),
-e AS (SELECT doc_id, broken, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS p FROM state)"""
+e AS (SELECT doc_id, broken, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS p FROM state)"""
 
 
 @query("V6 M16 S24", f"WITH {_ENGINE} SELECT 'E' || CAST(doc_id AS VARCHAR) AS item_key, CASE WHEN broken THEN 'error: the file isn''t UTF-8 text' ELSE 'ok' END AS status, CASE WHEN broken THEN 0 ELSE len(p) END AS blocks FROM e")
