@@ -54,8 +54,9 @@ def term_matches(spark, sf):
     docs = table(spark, sf, "documents")
     index = NgramIndex.build(spark, docs.select(F.col("doc_id").cast("string").alias("key"), F.lower("text").alias("value")))
     terms = docs.select(F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("term")).union(docs.select("lang")).distinct()
-    found = terms.join(index.matches(terms), "term", "left")
-    return found.groupBy("term").agg(F.count("key").alias("n"), F.coalesce(F.sum(F.col("key").cast("long")), F.lit(0)).alias("ids"))
+    found = index.matches(terms).groupBy("term").agg(F.count("key").alias("n"), F.sum(F.col("key").cast("long")).alias("ids"))
+    # a null term is found nowhere
+    return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.lit(0)).alias("ids"))
 
 
 def _slices(seek, name):
