@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from lectern.operators import setops
 from lectern.operators.chunks import find_sections, split_text
 from lectern.plans.catalogue import QUERIES
 
@@ -133,3 +134,15 @@ def test_citations_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(k, t, "en", "src1") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.chunk_index: r.markdown for r in QUERIES["citations"].run(spark, str(tmp_path)).collect()}
     assert got == {k: f"**{t}** — en [item:I{k}] (section: src1, score: {k}.50)\n\n> {t}\n" for k, t in enumerate(texts)}
+
+
+def test_relations_added_to_what_is_there(spark):
+    """Repeats, both directions, relations to itself and relations that stand one way only."""
+    frame = lambda rows: spark.createDataFrame(rows, "key_a long, key_b long")
+    got = setops.add_relations(frame([(1, 2), (2, 1), (4, 3), (5, 5)]), frame([(2, 1), (3, 4), (4, 3), (6, 6), (8, 7), (8, 7), (None, 1)]))
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (2, 1), (3, 4), (4, 3), (7, 8), (8, 7)]
+    left = setops.remove_relations(got, frame([(2, 1), (1, 2), (2, 1)]))
+    assert sorted(map(tuple, left.collect())) == [(3, 4), (4, 3), (7, 8), (8, 7)]
+    turned = setops.add_relations(frame([]), frame([(1, 2)]))._jdf.queryExecution().optimizedPlan().toString()
+    # the aggregate lies below the union of both directions
+    assert turned.index("Union") < turned.index("Aggregate")
