@@ -308,3 +308,12 @@ def test_folds_over_many_blocks(spark):
         got = spark.range(1).select(collecting_fold(F.slice(F.sequence(F.lit(1), F.lit(max(n, 1))), 1, F.lit(n)), start, step, lambda s: F.array(s["n"]), "array<int>", block=7).alias("x")).first().x
         sums = [k * (k + 1) // 2 for k in range(1, n + 1)]
         assert got == [s for s in sums if s % 3 == 0] + [sums[-1] if sums else 0]
+
+
+def test_headings_alone_are_read_once(spark):
+    items = spark.createDataFrame([("a", "A", None), ("b", "B", None)], "key string, title string, creators array<struct<first_name: string, last_name: string, name: string, creator_type: string>>")
+    texts = spark.createDataFrame([("a", "# One\n\n4708 only headings"), ("b", "text")], "key string, text string")
+    store, report = jobs.index_job(items, texts, dim=8)
+    assert sorted(map(tuple, report.collect())) == [("a", "ok", 0), ("b", "ok", 1)]
+    again, second = jobs.index_job(items, texts, store, dim=8, done=report.where("status = 'ok'").select(F.col("item_key").alias("key")))
+    assert sorted(map(tuple, second.collect())) == [("a", "skipped", 0), ("b", "skipped", 0)] and again.count() == 1
