@@ -139,6 +139,6 @@ cells AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 48 AS ce
 SELECT d.doc_id, 'hashing-48' AS model, CAST(48 AS INTEGER) AS dim, CAST(round(100 * coalesce(sum(abs(x)) / sqrt(nullif(sum(x * x), 0)), 0)) AS BIGINT) AS spread FROM documents d LEFT JOIN cells c ON c.doc_id = d.doc_id GROUP BY d.doc_id""")
 def embed_chunks(spark, sf):
     """Model, dimension and the sum of the weights' sizes."""
-    own = with_vectors(table(spark, sf, "documents").select("doc_id", "text"), dim=48)
-    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
+    own = with_vectors(table(spark, sf, "documents").select("doc_id", "text"), dim=48, dtype="float64")
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + F.abs(x))
     return own.select("doc_id", "model", F.size("vector").alias("dim"), F.round(100 * total).cast("long").alias("spread"))

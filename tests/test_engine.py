@@ -317,3 +317,12 @@ def test_headings_alone_are_read_once(spark):
     assert sorted(map(tuple, report.collect())) == [("a", "ok", 0), ("b", "ok", 1)]
     again, second = jobs.index_job(items, texts, store, dim=8, done=report.where("status = 'ok'").select(F.col("item_key").alias("key")))
     assert sorted(map(tuple, second.collect())) == [("a", "skipped", 0), ("b", "skipped", 0)] and again.count() == 1
+
+
+def test_vectors_in_double_precision(spark):
+    df = spark.createDataFrame([("a a b c",), ("",)], "text string")
+    fine, coarse = with_vectors(df, dim=8, dtype="float64"), with_vectors(df, dim=8)
+    assert fine.schema["vector"].dataType.elementType.simpleString() == "double" and coarse.schema["vector"].dataType.elementType.simpleString() == "float"
+    own, none = (r.vector for r in fine.collect())
+    assert abs(sum(x * x for x in own) - 1) < 1e-15 and not any(none)
+    assert abs(max(map(abs, own)) / min(abs(x) for x in own if x) - 1 - math.log(2)) < 1e-14 or len({x for x in own if x}) < 2
