@@ -326,3 +326,20 @@ def test_vectors_in_double_precision(spark):
     own, none = (r.vector for r in fine.collect())
     assert abs(sum(x * x for x in own) - 1) < 1e-15 and not any(none)
     assert abs(max(map(abs, own)) / min(abs(x) for x in own if x) - 1 - math.log(2)) < 1e-14 or len({x for x in own if x}) < 2
+
+
+def test_responses_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"A{i}", "glm", json.dumps({"md_results": f"# H\n\none {i}\n\ntwo"}), None) for i in range(12)]
+    payloads = spark.createDataFrame(rows, "attachment_key string, provider string, payload string, error string")
+    attachments = spark.createDataFrame([(f"A{i}", f"K{i}", "application/pdf", "f") for i in range(12)], "key string, parent_key string, content_type string, path string")
+    items = attachments.select(F.col("parent_key").alias("key"))
+    blocks, chunks, report = jobs.ocr_job(items, attachments, payloads.mapInArrow(counted, payloads.schema), items.limit(0))
+    assert blocks.count() == 36 and chunks.count() == 12 and {(r.status, r.chunks) for r in report.collect()} == {("ok", 1)}
+    assert seen.value == 12
