@@ -68,7 +68,7 @@ def resolve_collections(wanted: DataFrame, collections: DataFrame, index: NgramI
         fuzzy = rest.join(names, F.contains(normalized_name(F.col("name")), normalized_name(F.col("ref"))), "left").groupBy("ref").agg(F.count("key").alias("n"), F.min("key").alias("key"))
     else:
         rest = rest.withColumn("term", normalized_name(F.col("ref")))
-        found = index.matches(rest.select("term")).groupBy("term").agg(F.count("key").alias("n"), F.min("key").alias("key"))
+        found = index.counts(rest.select("term"))
         fuzzy = rest.join(found, "term", "left").select("ref", F.coalesce("n", F.lit(0)).alias("n"), "key")
     status = F.when(F.col("n") == 1, "hit").when(F.col("n") > 1, "ambiguous").otherwise("missing")
     return exact.unionByName(fuzzy).select("ref", status.alias("status"), F.when(F.col("n") == 1, F.col("key")).alias("key"), F.col("n").alias("candidates"))
