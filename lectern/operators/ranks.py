@@ -46,7 +46,8 @@ def numbered(df: DataFrame, order: Sequence[str], out: str = "number") -> DataFr
 
 def positions(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "position") -> DataFrame:
     """df with the place of each row in its group, from 0. Nulls in a group's columns are one group."""
-    whole = Stages(df.sparkSession, "positions").put(numbered(df, [*group, *order], "__number"), "numbered")
+    # read twice from the ranges, which are written: their first numbers without the other columns
+    whole = numbered(df, [*group, *order], "__number")
     first = whole.groupBy(*[F.col(c).alias(f"__{c}") for c in group]).agg(F.min("__number").alias("__first"))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group])
     return whole.join(first, same).withColumn(out, F.col("__number") - F.col("__first")).select(*df.columns, out)

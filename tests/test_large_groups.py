@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from lectern import stages
 from lectern.operators import aggregates, mutations, ranks, setops
+from lectern.plans import files
 from lectern.sources import stores
 
 N = 1_000_000
@@ -35,6 +37,31 @@ def test_positions_in_a_large_group(spark):
     assert placed.where("position < 3").orderBy("position").collect() == own.orderBy("k").limit(3).withColumn("position", F.monotonically_increasing_id()).collect()
 
 
+def _written(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_places_write_rows_once(spark, tmp_path, monkeypatch):
+    """What positions writes is the rows in their ranges, and no second copy of them."""
+    monkeypatch.setattr(stages, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    own = spark.range(2000).select((F.col("id") % 7).alias("g"), "id", F.concat(*[F.sha2(F.concat(F.lit(str(k)), "id"), 512) for k in range(8)]).alias("text"))
+    own.write.parquet(f"{tmp_path}/own")
+    placed = ranks.positions(own, ["g"], ["id"])
+    assert placed.agg(F.sum("position")).first()[0] == sum(k // 7 for k in range(2000))
+    assert _written(tmp_path / "shared") < 1.3 * _written(tmp_path / "own")
+
+
+def test_places_of_chunks_move_no_texts(spark, tmp_path, monkeypatch):
+    """The store's query finds places among ids: below the shared folder, ranks hold no texts."""
+    n = 300
+    text = F.concat(*[F.sha2(F.concat(F.lit(str(k)), "id"), 512) for k in range(40)])
+    spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.length(text).cast("long").alias("n_chars")).write.parquet(f"{tmp_path}/in/documents.parquet")
+    monkeypatch.setattr(stages, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    rows = files.artifact_store(spark, f"{tmp_path}/in").collect()
+    assert sorted((r.item_key, r.chunk_index, int(r.chunk_id)) for r in rows) == sorted((f"s{k % 3}", k // 3, k) for k in range(n))
+    assert _written(tmp_path / "shared") < 0.2 * _written(tmp_path / "in")
+
+
 def test_documents_of_a_large_collection(spark, tmp_path):
     n = 100_000
     row = spark.range(n).select(F.lit("C").alias("collection"), F.lit("1").alias("collection_id"), F.lit("m").alias("model"), F.format_string("i%03d", F.col("id") % 100).alias("item_key"), F.lit("t").alias("title"), F.lit("a").alias("authors"), F.lit("s").alias("section"), F.col("id").cast("int").alias("chunk_index"), F.lit("x").alias("text"), F.array(F.lit(1.0).cast("float")).alias("vector"))
