@@ -27,6 +27,8 @@ QUERY_BLOCK, BLOCK_BYTES = 1 << 12, 1 << 20
 CELL_QUERIES = 1 << 16
 #: Bytes of queries that every executor may hold.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of scores that a task holds at a time.
+SCORE_BYTES = 8 << 20
 #: Scores closer than this count as equal; products of other blocks round differently.
 DIGITS = 12
 
@@ -79,15 +81,18 @@ class _Best:
     def meet(self, units: np.ndarray, chunk: np.ndarray, item: np.ndarray) -> None:
         if units.shape[1] != self.units.shape[1]:
             raise InvalidParams("vectors of another dimension")
-        scores, slack = units @ self.units.T, 10.0**-DIGITS
-        if len(scores) > self.k and np.isneginf(self.least).any():
-            border = np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k]
-        else:
-            border = self.least
-        row, query = np.nonzero(scores >= np.maximum(border, self.least) - 2 * slack)
+        slack, border, found = 10.0**-DIGITS, self.least, []
+        most = max(1, SCORE_BYTES // (8 * max(1, len(self.units))))
+        for at in range(0, max(1, len(units)), most):
+            scores = units[at : at + most] @ self.units.T
+            if len(scores) > self.k and np.isneginf(border).any():
+                border = np.maximum(border, np.partition(scores, len(scores) - self.k, axis=0)[len(scores) - self.k])
+            row, query = np.nonzero(scores >= border - 2 * slack)
+            found.append((query, np.round(scores[row, query], DIGITS), row + at))
+        query, score, row = [np.concatenate(x) for x in zip(*found)]
         if not len(row):
             return
-        both = zip(self.held, (query, np.round(scores[row, query], DIGITS), chunk[row], item[row]))
+        both = zip(self.held, (query, score, chunk[row], item[row]))
         query, score, chunk, item = [np.concatenate(x) for x in both]
         order = np.lexsort((chunk, -score, query))
         starts = np.flatnonzero(np.diff(query[order], prepend=-1))

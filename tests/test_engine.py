@@ -6,8 +6,10 @@ import math
 import random
 import re
 import threading
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,25 @@ def test_many_queries_equal_brute_force(spark, block, broadcast_bytes, cell_quer
         vectorsearch.vector_hits_of(vectors, spark.createDataFrame([(1, [1.0])], "query_id int, vector array<double>")).collect()
 
 
+def test_scores_are_held_in_slices(monkeypatch):
+    """A block's scores never lie in memory whole, and the best are those of all of them, ties between slices included."""
+    r = np.random.default_rng(5)
+    units, asked = r.integers(-2, 3, (5000, 8)).astype(float), r.integers(-2, 3, (300, 8)).astype(float)
+    chunk, item = np.array([f"c{k:04d}" for k in range(5000)], object), np.array(["i"] * 5000, object)
+    monkeypatch.setattr(vectorsearch, "SCORE_BYTES", 1 << 20)
+    best = vectorsearch._Best(0, asked, pa.array(range(300)), 3)
+    tracemalloc.start()
+    best.meet(units[:4000], chunk[:4000], item[:4000])
+    best.meet(units[4000:], chunk[4000:], item[4000:])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4000 * 300 * 8 / 2
+    got = {}
+    for query, score, c in zip(*best.held[:3]):
+        got.setdefault(int(query), []).append((-score, c))
+    assert got == {q: sorted((-s, c) for s, c in zip(units @ asked[q], chunk))[:3] for q in range(300)}
+
+
 def test_row_programs(spark):
     df = spark.createDataFrame([(1, "en", ["a", "b"], ("x", 2)), (2, None, [], ("y", 3)), (3, "de", ["c"], ("z", None))], "n int, lang string, tags array<string>, meta struct<s: string, k: int>")
     run = lambda p: [tuple(r) for r in programs.run_program(df, p).collect()]
