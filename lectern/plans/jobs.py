@@ -103,7 +103,7 @@ def ocr_engine(spark, sf):
     docs = table(spark, sf, "documents")
     key = F.concat(F.lit("E"), F.col("doc_id").cast("string"))
     files = docs.select(F.concat(F.lit("A"), key).alias("attachment_key"), key.alias("item_key"), F.concat(F.when(F.col("doc_id") % 9 == 4, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))), F.encode("text", "utf-8")).alias("content"))
-    payloads = Stages(spark, "engine").put(providers.payloads(files, providers.TextEngine), "payloads")
+    payloads = providers.payloads(files, providers.TextEngine)
     items = docs.select(key.alias("key"))
     attachments = files.select(F.col("attachment_key").alias("key"), F.col("item_key").alias("parent_key"), F.lit("application/pdf").alias("content_type"), F.lit("f").alias("path"))
     blocks, _, report = jobs.ocr_job(items, attachments, payloads, items.limit(0))

@@ -7,6 +7,7 @@ import random
 import re
 import threading
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from lectern.errors import InvalidParams, NotFound, StaleArtifact
 from lectern.functions import files
 from lectern.functions.embed import HashingEmbedder, with_vectors
+from lectern.operators import blocks as block_ops
 from lectern.operators import chunks, hierarchy, jobs, lookups, paging, programs, retrieval, setops, vectorsearch
 from lectern.sources import artifacts, config, providers, rpc, stores
 from lectern.streaming import ingest
@@ -364,3 +366,51 @@ def test_responses_are_read_once(spark):
     blocks, chunks, report = jobs.ocr_job(items, attachments, payloads.mapInArrow(counted, payloads.schema), items.limit(0))
     assert blocks.count() == 36 and chunks.count() == 12 and {(r.status, r.chunks) for r in report.collect()} == {("ok", 1)}
     assert seen.value == 12
+
+
+def test_texts_are_written_once(spark):
+    """The job's report and the number of blocks: texts stand in the shared folder once, and pass no shuffle."""
+    r = random.Random(4)
+    texts = [f"# H\n\n{r.randbytes(5000).hex()}\n\n{r.randbytes(5000).hex()}" for _ in range(100)]
+    payloads = spark.createDataFrame([(f"A{i}", "glm", json.dumps({"md_results": t}), None) for i, t in enumerate(texts)], "attachment_key string, provider string, payload string, error string")
+    attachments = spark.createDataFrame([(f"A{i}", f"K{i}", "application/pdf", "f") for i in range(100)], "key string, parent_key string, content_type string, path string")
+    items = attachments.select(F.col("parent_key").alias("key"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    held = lambda: sum(p.stat().st_size for p in shared.rglob("*.parquet"))
+    before = held()
+    blocks, chunks, report = jobs.ocr_job(items, attachments, payloads, items.limit(0))
+    assert blocks.groupBy("item_key").count().count() == 100 and {(x.status, x.chunks) for x in report.collect()} == {("ok", 2)}
+    assert held() - before < 1.5 * sum(map(len, texts))
+    assert {t for x in chunks.collect() for t in x.text.split("\n\n")} == {t for x in texts for t in x.split("\n\n")[1:]}
+
+
+@pytest.mark.parametrize("structured", [True, False])
+def test_headings_of_a_response(spark, structured):
+    r = random.Random(structured)
+    rows, want = [], []
+    for i in range(60):
+        parts = [(r.random() < 0.4, f"t{i} {k}") for k in range(r.randint(0, 7))]
+        if structured:
+            payload = {"blocks": [x for h, t in parts for x in [{"type": "title" if h else "text", "text": t}, {"type": "title", "text": " "}]]}
+        else:
+            payload = {"markdown": "\n \n\n".join("# " * h + t for h, t in parts)}
+        rows.append((f"A{i}", f"I{i}", "p", json.dumps(payload)))
+        section = ""
+        for k, (h, t) in enumerate(parts):
+            section = t if h else section
+            own = section if structured or not h else ""
+            want.append((f"A{i}:p1:b{2 * k}" if structured else f"A{i}:p0:b{k}", f"I{i}", 2 * k if structured else k, "heading" if h else "paragraph", own, t))
+    got = block_ops.provider_blocks(spark.createDataFrame(rows, "attachment_key string, item_key string, provider string, payload string").repartition(3))
+    assert "Exchange" not in got.select("block_id")._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobinPartitioning(3)", "")
+    assert sorted((x.block_id, x.item_key, x.reading_order, x.type, x.section_heading, x.text) for x in got.collect()) == sorted(want)
+
+
+def test_a_response_without_an_item_and_one_of_two_items(spark):
+    rows = [("A", "glm", json.dumps({"md_results": "one\n\ntwo"}), None), ("B", "glm", json.dumps({"md_results": "left out"}), None), (None, "glm", "x", None), ("D", "unheard", "{}", None)]
+    payloads = spark.createDataFrame(rows, "attachment_key string, provider string, payload string, error string")
+    attachments = spark.createDataFrame([("A", "a", "application/pdf", "f"), ("A", "b", "application/pdf", "f"), ("C", "c", "application/pdf", "f"), ("D", "d", "application/pdf", "f")], "key string, parent_key string, content_type string, path string")
+    items = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "key string")
+    blocks, chunks, report = jobs.ocr_job(items, attachments, payloads, items.limit(0), max_chars=3)
+    assert sorted((x.item_key, x.block_id, x.text) for x in blocks.collect()) == [(i, f"A:p0:b{k}", t) for i in "ab" for k, t in enumerate(["one", "two"])]
+    assert sorted((x.item_key, x.text) for x in chunks.collect()) == [(i, t) for i in "ab" for t in ["one", "two"]]
+    assert sorted(map(tuple, report.collect())) == [("a", "ok", 2), ("b", "ok", 2), ("c", "error: no response", 0), ("d", "error: unreadable response of unheard", 0)]
